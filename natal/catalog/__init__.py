@@ -1,0 +1,6 @@
+"""Importing this package registers every query."""
+
+from natal.catalog import exposures  # noqa: F401
+from natal.catalog.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from natal.functions.columns import known, ratio
@@ -42,12 +42,8 @@ def weighted_share(
 ) -> DataFrame:
     """Weighted total per category and its share inside ``within``."""
     totals = df.groupBy(*within, category).agg(F.sum(weight).alias(total))
-    whole = totals.groupBy(*within).agg(F.sum(total).alias("_whole"))
-    return (
-        totals.join(whole, list(within))
-        .withColumn(share, ratio(total, "_whole"))
-        .drop("_whole")
-    )
+    # The window sees one row per category, not the respondents.
+    return totals.withColumn(share, ratio(total, F.sum(total).over(Window.partitionBy(*within))))
 
 
 def tabulate(df: DataFrame, column: str, count: str = "n", percent: str = "percent") -> DataFrame:
@@ -72,7 +68,6 @@ def interval(
     """
     tail = (1 - width) / 2
     q = F.percentile(F.col(value), F.array(F.lit(tail), F.lit(0.5), F.lit(1 - tail)))
-    centre = F.avg(value) if point == "mean" else F.get("_q", F.lit(1))
     grouped = df.groupBy(*by) if by else df.groupBy()
     out = grouped.agg(q.alias("_q"), F.avg(value).alias("_mean"))
     centre = F.col("_mean") if point == "mean" else F.get("_q", F.lit(1))
