@@ -94,6 +94,14 @@ def by_supplier_nation(
     )
 
 
+def whole(column: str) -> Column:
+    """Hundredths as whole numbers: their sums are exact in any order."""
+    return F.round(F.col(column) * 100).cast("bigint")
+
+
+WHOLE_SQL = "CAST(round({} * 100) AS BIGINT)"
+
+
 def panel(spark: SparkSession, sf_dir: str, year: str = "src_year", nations: int = PANEL_NATIONS) -> DataFrame:
     """Country-year panel with three measures and one logged measure."""
     means = by_supplier_nation(
@@ -101,9 +109,9 @@ def panel(spark: SparkSession, sf_dir: str, year: str = "src_year", nations: int
         sf_dir,
         {year: F.year("l_shipdate")},
         {
-            "corrupt": F.col("l_discount"),
+            "corrupt": whole("l_discount"),
             "polity2": F.col("l_quantity"),
-            "gdpcap": F.col("l_extendedprice"),
+            "gdpcap": whole("l_extendedprice"),
         },
     )
     return means.filter(F.col("cowcode") < nations).withColumn("ln_gdpcap", F.log("gdpcap"))
@@ -112,8 +120,9 @@ def panel(spark: SparkSession, sf_dir: str, year: str = "src_year", nations: int
 PANEL_SQL = f"""
 panel AS (
   SELECT s_nationkey AS cowcode, CAST(year(l_shipdate) AS INTEGER) AS src_year,
-         avg(l_discount) AS corrupt, avg(l_quantity) AS polity2, avg(l_extendedprice) AS gdpcap,
-         ln(avg(l_extendedprice)) AS ln_gdpcap
+         avg({WHOLE_SQL.format("l_discount")}) AS corrupt, avg(l_quantity) AS polity2,
+         avg({WHOLE_SQL.format("l_extendedprice")}) AS gdpcap,
+         ln(avg({WHOLE_SQL.format("l_extendedprice")})) AS ln_gdpcap
   FROM lineitem JOIN supplier ON l_suppkey = s_suppkey
   WHERE s_nationkey < {PANEL_NATIONS}
   GROUP BY ALL)"""

@@ -1,0 +1 @@
+"""Logit models fitted and summarised through Spark aggregates."""
