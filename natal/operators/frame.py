@@ -15,20 +15,29 @@ def complete_cases(df: DataFrame, columns: Sequence[str] | None = None) -> DataF
     return df.na.drop("any", subset=list(columns) if columns else None)
 
 
-def standardize(df: DataFrame, columns: Sequence[str], n_sd: float = 1, suffix: str = "_z") -> DataFrame:
+def standardize(
+    df: DataFrame, columns: Sequence[str], n_sd: float = 1, suffix: str = "_z", weight: str | None = None
+) -> DataFrame:
     """Add z-scores over all rows; a constant column gives null.
 
     Mean and SD come from one aggregate that the planner runs as a scalar subquery, so no
-    window over the whole table and no join is needed.
+    window over the whole table and no join is needed. With ``weight`` every row stands for
+    that many rows, which gives respondent z-scores from counted patterns.
     """
+    if weight is None:
+        parts = {c: (F.avg(known(c)), F.stddev_samp(known(c))) for c in columns}
+    else:
+        n = F.col(weight)
+        means = df.agg(F.struct(*[(F.sum(n * F.col(c)) / F.sum(n)).alias(c) for c in columns])).scalar()
+        parts = {
+            c: (
+                F.first(means.getField(c)),
+                F.sqrt(F.try_divide(F.sum(n * F.pow(F.col(c) - means.getField(c), 2)), F.sum(n) - 1)),
+            )
+            for c in columns
+        }
     stats = df.agg(
-        F.struct(
-            *[
-                part
-                for c in columns
-                for part in (F.avg(known(c)).alias(f"m_{c}"), F.stddev_samp(known(c)).alias(f"s_{c}"))
-            ]
-        )
+        F.struct(*[p for c, (m, s) in parts.items() for p in (m.alias(f"m_{c}"), s.alias(f"s_{c}"))])
     ).scalar()
     staged = df.withColumn("_stats", stats)
     scores = {
