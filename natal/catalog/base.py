@@ -11,6 +11,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from natal.functions.columns import bands, ratio, recode
 from natal.operators.joins import lookup_join
@@ -22,8 +23,15 @@ VOTE_CODES = {"F": 2, "O": 1, "P": 96}
 INCOME_BY_BALANCE = ((300, None, 0), (710, 0.01, 2000), (820, 2000.01, 4000), (840, 4000.01, 6000), (842, 6000.01, 8000))
 
 
+_SCHEMAS: dict[str, StructType] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """One of the shared tables; its schema is inferred once, as a catalog would keep it."""
+    path = f"{sf_dir}/{name}.parquet"
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[path]).parquet(path)
 
 
 def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,10 +104,10 @@ def by_supplier_nation(
 
 def whole(column: str) -> Column:
     """Hundredths as whole numbers: their sums are exact in any order."""
-    return F.round(F.col(column) * 100).cast("bigint")
+    return F.floor(F.col(column) * 100 + 0.5)
 
 
-WHOLE_SQL = "CAST(round({} * 100) AS BIGINT)"
+WHOLE_SQL = "CAST(floor({} * 100 + 0.5) AS BIGINT)"
 
 
 def panel(spark: SparkSession, sf_dir: str, year: str = "src_year", nations: int = PANEL_NATIONS) -> DataFrame:

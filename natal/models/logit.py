@@ -36,29 +36,37 @@ class LogitFit:
         return self.terms[1:]
 
 
-def linear(terms: Sequence[str], beta: Sequence[float]) -> Column:
-    """Linear predictor with the intercept first."""
-    eta = F.lit(float(beta[0]))
-    for name, b in zip(terms[1:], beta[1:]):
-        eta = eta + F.col(name) * float(b)
-    return eta
+def number(value: float) -> str:
+    return f"{float(value)!r}D"
 
 
-def log_likelihood(eta: Column, hits: Column, trials: Column) -> Column:
-    """Stable for large linear predictors."""
-    return hits * eta - trials * (F.greatest(eta, F.lit(0.0)) + F.log1p(F.exp(-F.abs(eta))))
+def linear(terms: Sequence[str], beta: Sequence[float]) -> str:
+    """Linear predictor as SQL text, the intercept first."""
+    return " + ".join([number(beta[0]), *[f"{number(b)} * `{t}`" for t, b in zip(terms[1:], beta[1:])]])
 
 
-def score_sums(terms: Sequence[str], eta: Column) -> list[Column]:
-    """Sums of the log-likelihood, gradient and upper triangle of the information matrix."""
-    x = [F.lit(1.0), *[F.col(t) for t in terms[1:]]]
-    hits, trials = F.col(HITS), F.col(TRIALS)
-    p = 1.0 / (1.0 + F.exp(-eta))
-    resid, weight = hits - trials * p, trials * p * (1.0 - p)
-    sums = [F.sum(log_likelihood(eta, hits, trials)).alias("ll")]
-    sums += [F.sum(resid * x[j]).alias(f"g{j}") for j in range(len(x))]
-    sums += [F.sum(weight * x[j] * x[l]).alias(f"h{j}_{l}") for j in range(len(x)) for l in range(j, len(x))]
-    return sums
+def scored(df: DataFrame, terms: Sequence[str], eta: str, keep: Sequence[str] = ()) -> DataFrame:
+    """Design columns ``x0..``, linear predictor, residual and weight of every row.
+
+    SQL text keeps the number of driver calls per Newton step small.
+    """
+    design = ["1D AS x0", *[f"`{t}` AS x{j}" for j, t in enumerate(terms[1:], 1)]]
+    base = df.selectExpr(*keep, TRIALS, HITS, *design, f"{eta} AS _eta")
+    return base.selectExpr("*", "1 / (1 + exp(-_eta)) AS _p").selectExpr(
+        "*", f"{HITS} - {TRIALS} * _p AS _r", f"{TRIALS} * _p * (1 - _p) AS _w"
+    )
+
+
+def score_sums(k: int) -> list[Column]:
+    """Sums of the log-likelihood, gradient and upper triangle of the information matrix.
+
+    The log-likelihood is written so that large linear predictors do not overflow.
+    """
+    ll = f"{HITS} * _eta - {TRIALS} * (greatest(_eta, 0D) + log1p(exp(-abs(_eta))))"
+    sums = [f"sum({ll}) AS ll"]
+    sums += [f"sum(_r * x{j}) AS g{j}" for j in range(k)]
+    sums += [f"sum(_w * x{j} * x{l}) AS h{j}_{l}" for j in range(k) for l in range(j, k)]
+    return [F.expr(s) for s in sums]
 
 
 def unpack(row, k: int) -> tuple[float, np.ndarray, np.ndarray]:
@@ -92,7 +100,7 @@ def fit_logit(
         penalty = np.diag(priors.precision(k))
         beta, last = np.zeros(k), None
         for step in range(1, max_steps + 1):
-            row = data.agg(F.sum(TRIALS).alias("n"), *score_sums(terms, linear(terms, beta))).first()
+            row = scored(data, terms, linear(terms, beta)).agg(F.sum(TRIALS).alias("n"), *score_sums(k)).first()
             if not row["n"]:
                 raise ValueError("no complete rows to fit")
             ll, grad, info = unpack(row, k)

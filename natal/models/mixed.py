@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from natal.models.draws import DRAWS, DrawMatrix, normals
-from natal.models.logit import INTERCEPT, fit_logit, score_sums
+from natal.models.logit import INTERCEPT, fit_logit, number, score_sums, scored
 from natal.models.patterns import pattern_counts
 from natal.models.priors import Priors
 from natal.models.scoring import CROSS, CURVES, MODES, STREAM, group_offsets, map_blocks, with_stream
@@ -104,6 +104,12 @@ def fit_random_intercept(
             data.unpersist()
 
 
+def _array(values: np.ndarray) -> str:
+    """Numbers as a SQL array, nested like ``values``."""
+    parts = [number(v) if np.ndim(v) == 0 else _array(v) for v in values]
+    return f"array({', '.join(parts)})"
+
+
 def _refine(grid: np.ndarray, log_post: np.ndarray, points: int = 9) -> np.ndarray:
     """Evenly spaced log SDs over the stretch that holds the posterior mass."""
     x = np.linspace(np.log(grid[0]), np.log(grid[-1]), 400)
@@ -155,22 +161,20 @@ class _Newton:
         points = F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias("s")
         keys = [self.group, "s"] if per_point else [self.group]
         rows = lookup_join(self.data.select("*", points), state, keys, "inner", self.n_groups * (m if per_point else 1))
-        coef = F.get(F.lit(beta.tolist()), F.col("s"))
-        eta = F.col("b") + F.get(coef, F.lit(0))
-        for j, name in enumerate(self.terms[1:], 1):
-            eta = eta + F.get(coef, F.lit(j)) * F.col(name)
-        rows = rows.withColumn("_eta", eta)
-        return rows.groupBy(self.group, "s").agg(F.first("b").alias("b"), *score_sums(self.terms, F.col("_eta")))
+        coef = f"get({_array(beta)}, s)"
+        eta = " + ".join(["b", f"get({coef}, 0)", *[f"get({coef}, {j}) * `{t}`" for j, t in enumerate(self.terms[1:], 1)]])
+        rows = scored(rows, self.terms, eta, [f"`{self.group}`", "s", "b"])
+        return rows.groupBy(self.group, "s").agg(F.first("b").alias("b"), *score_sums(self.k))
 
     def run(self, sds: np.ndarray, beta: np.ndarray, state: DataFrame, per_point: bool) -> _Point:
         k, m = self.k, len(sds)
         penalty = np.diag(self.priors.precision(k))
-        tau = F.get(F.lit((1.0 / sds**2).tolist()), F.col("s"))
+        tau = f"get({_array(1.0 / sds**2)}, s)"
         for _ in range(self.max_steps):
             sums = self.block_sums(m, beta, state, per_point)
-            sums = sums.withColumns({"d": F.col("h0_0") + tau, "r": F.col("g0") - tau * F.col("b")})
-            blocks = cut_lineage(sums)
-            reduced = blocks.groupBy("s").agg(*self.schur_sums()).orderBy("s").collect()  # one row per grid point
+            blocks = cut_lineage(sums.selectExpr("*", f"h0_0 + {tau} AS d", f"g0 - {tau} * b AS r"))
+            # One row per grid point.
+            reduced = sorted(blocks.groupBy("s").agg(*self.schur_sums()).collect(), key=lambda row: row["s"])
             grad = np.array([[r[f"g{j}"] for j in range(k)] for r in reduced]) - beta @ penalty
             schur = np.array(
                 [[[r[f"h{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)] for r in reduced]
@@ -181,22 +185,17 @@ class _Newton:
             if gain.max() < self.tol:
                 log_post = self.log_posterior(sds, beta, reduced, schur)
                 return _Point(beta, np.linalg.inv(schur), log_post, blocks, k)
-            step = F.get(F.lit(move.tolist()), F.col("s"))
-            shift = sum((F.col(f"h0_{j}") * F.get(step, F.lit(j)) for j in range(1, k)), F.col("h0_0") * F.get(step, F.lit(0)))
-            state = blocks.select(self.group, "s", (F.col("b") + (F.col("r") - shift) / F.col("d")).alias("b"))
+            shift = " + ".join(f"h0_{j} * get(get({_array(move)}, s), {j})" for j in range(k))
+            state = blocks.selectExpr(f"`{self.group}`", "s", f"b + (r - ({shift})) / d AS b")
             beta, per_point = beta + move, True
         raise RuntimeError(f"no convergence in {self.max_steps} steps")
 
     def schur_sums(self):
-        c = [F.col(f"h0_{j}") for j in range(self.k)]
-        r, d = F.col("r"), F.col("d")
-        sums = [F.sum("ll").alias("ll"), F.sum(F.col("b") * F.col("b")).alias("bb"), F.sum(F.log(d)).alias("logdet")]
-        sums += [F.sum(r * r / d).alias("own")]
-        sums += [F.sum(F.col(f"g{j}") - c[j] * r / d).alias(f"g{j}") for j in range(self.k)]
-        sums += [
-            F.sum(F.col(f"h{j}_{l}") - c[j] * c[l] / d).alias(f"h{j}_{l}") for j in range(self.k) for l in range(j, self.k)
-        ]
-        return sums
+        k = self.k
+        sums = ["sum(ll) AS ll", "sum(b * b) AS bb", "sum(ln(d)) AS logdet", "sum(r * r / d) AS own"]
+        sums += [f"sum(g{j} - h0_{j} * r / d) AS g{j}" for j in range(k)]
+        sums += [f"sum(h{j}_{l} - h0_{j} * h0_{l} / d) AS h{j}_{l}" for j in range(k) for l in range(j, k)]
+        return [F.expr(e) for e in sums]
 
     def log_posterior(self, sds, beta, reduced, schur):
         """Laplace log posterior of the log group SD, up to a constant."""
