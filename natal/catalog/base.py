@@ -94,7 +94,8 @@ def by_supplier_nation(
         .agg(*parts)
     )
     suppliers = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey")
-    joined = lookup_join(per_supplier, suppliers, ["l_suppkey"], "inner")
+    # One row per supplier and key is left, so no supplier can be heavy here.
+    joined = lookup_join(per_supplier, suppliers, ["l_suppkey"], "inner", spread=False)
     return (
         joined.withColumnRenamed("s_nationkey", "cowcode")
         .groupBy("cowcode", *keys)
@@ -149,5 +150,9 @@ expo AS (
 
 
 def rounded(df: DataFrame, columns: Sequence[str], places: int = 6) -> DataFrame:
-    """Round for comparison: engines add doubles in different orders."""
-    return df.withColumns({c: F.round(c, places) for c in columns})
+    """Round for comparison: engines add doubles in different orders.
+
+    Plain arithmetic; ``round`` on doubles goes through a decimal object per value.
+    """
+    unit = 10.0**places
+    return df.withColumns({c: F.floor(F.col(c) * unit + 0.5) / unit for c in columns})

@@ -1,7 +1,5 @@
 """Exposure-window queries."""
 
-from pyspark.sql import functions as F
-
 from natal.catalog.base import (
     EXPOSURE_SQL,
     PANEL_SQL,
@@ -38,21 +36,18 @@ def exposure_mean(spark, sf_dir):
 @query(
     "exposure_mean_pooled",
     f"""WITH {RESPONDENTS_SQL}, {PANEL_SQL}
-    SELECT age, min(src_year - svy_year) AS first_diff, count(*) AS n_years, round(avg(corrupt), 6) AS fuzzy_corrupt
-    FROM (SELECT age, cowcode, svy_year FROM resp) r JOIN panel p
-      ON r.cowcode = p.cowcode AND src_year BETWEEN svy_year - {WINDOW} AND svy_year GROUP BY age""",
+    SELECT age, count(*) AS n_years, round(avg(corrupt), 6) AS fuzzy_corrupt, arg_min(cowcode, o) AS cowcode,
+           arg_min(svy_year, o) AS svy_year, CAST(arg_min(first_year - svy_year, o) AS INTEGER) AS year_diff
+    FROM (SELECT *, (first_year, cowcode, svy_year) AS o FROM (
+            SELECT age, r.cowcode, svy_year, corrupt, min(src_year) OVER (PARTITION BY r.cowcode, svy_year) AS first_year
+            FROM resp r JOIN panel p ON r.cowcode = p.cowcode AND src_year BETWEEN svy_year - {WINDOW} AND svy_year))
+    GROUP BY age""",
 )
 def exposure_mean_pooled(spark, sf_dir):
-    """Repeated ids (here: ages) pool all their exposure years."""
+    """Repeated ids (here: ages) pool all their years and keep the columns of their earliest one."""
     people = respondents(spark, sf_dir).select("age", "cowcode", "svy_year")
-    rows = exposure.exposure_mean(people, panel(spark, sf_dir), "age", "cowcode", "svy_year", ["corrupt"], WINDOW)
-    # The carried row is the earliest panel year, whose distance to the survey year varies.
-    earliest = (
-        exposure.exposure_rows(people, panel(spark, sf_dir), "cowcode", "svy_year", WINDOW)
-        .groupBy("age")
-        .agg(F.min("year_diff").alias("first_diff"))
-    )
-    return rounded(rows.join(earliest, "age").select("age", "first_diff", "n_years", "fuzzy_corrupt"), ["fuzzy_corrupt"])
+    out = exposure.exposure_mean(people, panel(spark, sf_dir), "age", "cowcode", "svy_year", ["corrupt"], WINDOW)
+    return rounded(out, ["fuzzy_corrupt"])
 
 
 @query(

@@ -61,7 +61,7 @@ def order_means(spark, sf_dir):
     )
     nations = customers(spark, sf_dir).select("c_custkey", "c_nationkey")
     return (
-        joins.lookup_join(per_customer, nations, ["c_custkey"], "inner", nations.count())
+        joins.lookup_join(per_customer, nations, ["c_custkey"], "inner", nations.count(), spread=False)
         .groupBy(F.col("c_nationkey").alias("cowcode"), "src_year")
         .agg((F.sum("s") / F.sum("n")).alias("polity2"))
         .filter((F.col("cowcode") > 2) & (F.col("src_year") >= 1997))

@@ -51,10 +51,11 @@ def mean_of_logs(spark, sf_dir):
 
 def monthly_wide(spark, sf_dir):
     """Nation by month table: one column per month, named month/year."""
-    monthly = by_supplier_nation(
-        spark, sf_dir, {"month": F.date_format("l_shipdate", "MM/yyyy")}, {"value": whole("l_discount")}
-    )
-    return monthly.groupBy("cowcode").pivot("month", MONTHS).agg(F.first("value"))
+    # Months stay numbers until the line items are folded.
+    number = F.year("l_shipdate") * 100 + F.month("l_shipdate")
+    monthly = by_supplier_nation(spark, sf_dir, {"ym": number}, {"value": whole("l_discount")})
+    name = F.format_string("%02d/%d", F.col("ym") % 100, F.floor(F.col("ym") / 100))
+    return monthly.withColumn("month", name).groupBy("cowcode").pivot("month", MONTHS).agg(F.first("value"))
 
 
 MONTHLY_SQL = f"""

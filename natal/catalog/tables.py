@@ -56,23 +56,31 @@ joined AS (SELECT cpsidp, r.cowcode, voted, weight, corrupt FROM resp r
            LEFT JOIN panel p ON r.cowcode = p.cowcode AND svy_year = src_year)"""
 
 
+def joined(spark, sf_dir):
+    source = panel(spark, sf_dir).select("cowcode", F.col("src_year").alias("svy_year"), "corrupt")
+    return joins.derived_lookup_join(respondents(spark, sf_dir), source, ["cowcode", "svy_year"]).select(
+        "cpsidp", "cowcode", "voted", "weight", "corrupt"
+    )
+
+
 @query(
     "complete_cases",
     f"""WITH {JOINED_SQL}
-    SELECT count(*) AS n_rows, count(cowcode) AS n_country,
-           count(*) FILTER (WHERE cowcode IS NOT NULL AND corrupt IS NOT NULL) AS nobs FROM joined""",
+    SELECT cpsidp, cowcode, voted, weight, round(corrupt, 6) AS corrupt FROM joined
+    WHERE cowcode IS NOT NULL AND corrupt IS NOT NULL""",
 )
 def complete_cases(spark, sf_dir):
-    source = panel(spark, sf_dir).select("cowcode", F.col("src_year").alias("svy_year"), "corrupt")
-    people = respondents(spark, sf_dir)
-    df = joins.derived_lookup_join(people, source, ["cowcode", "svy_year"]).select(
-        "cpsidp", "cowcode", "voted", "weight", "corrupt"
-    )
-    counts = [
-        d.agg(F.count("*").alias("n")).scalar()
-        for d in (df, frame.complete_cases(df, ["cowcode"]), frame.complete_cases(df))
-    ]
-    return spark.range(1).select(*[c.alias(n) for c, n in zip(counts, ["n_rows", "n_country", "nobs"])])
+    return rounded(frame.complete_cases(frame.complete_cases(joined(spark, sf_dir), ["cowcode"])), ["corrupt"])
+
+
+@query(
+    "case_counts",
+    f"""WITH {JOINED_SQL}
+    SELECT count(*) AS n_rows, count(cowcode) AS n_cowcode, count(corrupt) AS n_corrupt,
+           count(*) FILTER (WHERE cowcode IS NOT NULL AND corrupt IS NOT NULL) AS nobs FROM joined""",
+)
+def case_counts(spark, sf_dir):
+    return frame.case_counts(joined(spark, sf_dir), ["cowcode", "corrupt"])
 
 
 def sql_z(columns):

@@ -81,9 +81,9 @@ def fit_random_intercept(
     priors = priors or Priors()
     data = pattern_counts(df, outcome, predictors, group) if patterns is None else patterns
     data = data.filter(F.col(group).isNotNull()).persist()
+    groups = data.select(group).distinct().persist()
     try:
         start = fit_logit(data, outcome, predictors, priors, patterns=data)
-        groups = data.select(group).distinct().persist()
         n_groups = groups.count()
         job = _Newton(data, group, (INTERCEPT, *predictors), priors, n_groups, max_steps, tol)
         grid = np.array(sds if sds is not None else COARSE)
@@ -100,8 +100,8 @@ def fit_random_intercept(
             job.terms, group, grid, weights / weights.sum(), fit.beta, fit.covs, fit.table(group), n_groups, start.nobs, priors
         )
     finally:
-        if patterns is None:
-            data.unpersist()
+        groups.unpersist()
+        data.unpersist()
 
 
 def _array(values: np.ndarray) -> str:

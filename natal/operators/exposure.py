@@ -83,13 +83,14 @@ def exposure_mean(
     repeated respondents pool all their years and keep the columns of their earliest one.
     """
     sums = exposure_sums(panel, code, variables, reference_year, window, panel_year)
-    joined = derived_lookup_join(respondents, sums, [code, reference_year], "inner").withColumn(
-        "year_diff", (F.col("_first_year") - F.col(reference_year)).cast("int")
-    )
+    diff = (F.col("_first_year") - F.col(reference_year)).cast("int").alias("year_diff")
     carried = [*respondents.columns, "year_diff"]
     if unique:
         means = [ratio(f"_sum_{v}", f"_n_{v}").alias(f"{prefix}{v}") for v in variables]
-        return joined.select(*carried, *means, F.col("_rows").alias("n_years"))
+        ready = sums.select(code, reference_year, diff, *means, F.col("_rows").alias("n_years"))
+        joined = derived_lookup_join(respondents, ready, [code, reference_year], "inner")
+        return joined.select(*carried, *[f"{prefix}{v}" for v in variables], "n_years")
+    joined = derived_lookup_join(respondents, sums, [code, reference_year], "inner").select("*", diff)
     others = [c for c in carried if c != respondent]
     order = F.struct("_first_year", *[F.col(c) for c in others])
     first = F.min_by(F.struct(*others), order).alias("_first")

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from natal.functions.columns import known, ratio
+from natal.session import cut_lineage
 
 
 def complete_cases(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -15,15 +17,36 @@ def complete_cases(df: DataFrame, columns: Sequence[str] | None = None) -> DataF
     return df.na.drop("any", subset=list(columns) if columns else None)
 
 
+def case_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Rows, rows known per column and rows complete in all columns, in one pass."""
+    present = {c: F.col(c).isNotNull() & ~F.equal_null(F.isnan(F.col(c).try_cast("double")), F.lit(True)) for c in columns}
+    complete = reduce(lambda a, b: a & b, present.values())
+    return df.agg(
+        F.count("*").alias("n_rows"),
+        *[F.count_if(p).alias(f"n_{c}") for c, p in present.items()],
+        F.count_if(complete).alias("nobs"),
+    )
+
+
 def standardize(
-    df: DataFrame, columns: Sequence[str], n_sd: float = 1, suffix: str = "_z", weight: str | None = None
+    df: DataFrame,
+    columns: Sequence[str],
+    n_sd: float = 1,
+    suffix: str = "_z",
+    weight: str | None = None,
+    materialise: bool = False,
 ) -> DataFrame:
     """Add z-scores over all rows; a constant column gives null.
 
     Mean and SD come from one aggregate that the planner runs as a scalar subquery, so no
     window over the whole table and no join is needed. With ``weight`` every row stands for
     that many rows, which gives respondent z-scores from counted patterns.
+
+    The rows are needed twice, once for the statistics. By default they are computed twice,
+    which suits a scan with broadcast joins; ``materialise`` writes them to the shared folder
+    in between, which suits rows that come out of a shuffle.
     """
+    df = cut_lineage(df) if materialise else df
     if weight is None:
         parts = {c: (F.avg(known(c)), F.stddev_samp(known(c))) for c in columns}
     else:

@@ -60,16 +60,19 @@ def lookup_join(
     on: Sequence[str],
     how: str = "left",
     rows: int | None = None,
+    spread: bool = True,
 ) -> DataFrame:
     """Join ``fact`` to ``lookup`` on equal column names, ``how`` as seen from ``fact``.
 
     ``rows`` is the known size of the lookup; a plain file scan is counted from its footers.
+    ``spread=False`` states that no key of ``fact`` is heavy (it was aggregated by that key),
+    which saves the search for heavy keys.
     """
     on = list(on)
     rows = lookup.count() if rows is None else rows
     if fits_broadcast(lookup, rows):
         return fact.join(F.broadcast(lookup), on, how)
-    return salted_join(fact, lookup, on, how)
+    return salted_join(fact, lookup, on, how) if spread else fact.join(lookup, on, how)
 
 
 def derived_lookup_join(fact: DataFrame, lookup: DataFrame, on: Sequence[str], how: str = "left") -> DataFrame:

@@ -177,5 +177,7 @@ def exposed(base: DataFrame, panel: DataFrame, parent: Parent, window: int = rul
 def exposure_table(base: DataFrame, panel: DataFrame, parent: Parent, unique: bool = False) -> DataFrame:
     people = exposed(base, panel, parent, unique=unique)
     fuzzy = containing(people, "fuzzy")
-    table = analysis_table(people, [*_IDS, parent.arrival, "year_diff", *fuzzy], ["age", *fuzzy])
+    # Without unique ids the rows come out of a shuffle, so they are kept for the second use.
+    keep = [*_IDS, parent.arrival, "year_diff", *fuzzy]
+    table = analysis_table(people, keep, ["age", *fuzzy], materialise=not unique)
     return entity.attach_state(table)

@@ -28,10 +28,12 @@ LEVELS: Mapping[str, Sequence[str]] = {
 }
 
 
-def analysis_table(df: DataFrame, keep: Sequence[str], z_columns: Sequence[str], n_sd: float = 1) -> DataFrame:
+def analysis_table(
+    df: DataFrame, keep: Sequence[str], z_columns: Sequence[str], n_sd: float = 1, materialise: bool = False
+) -> DataFrame:
     """Select, recode, drop incomplete rows, then standardise over the rows that are left.
 
     The order matters: z-scores are over complete respondents, not over countries.
     """
     recoded = df.select(*keep).withColumns(recodes())
-    return standardize(complete_cases(recoded), z_columns, n_sd)
+    return standardize(complete_cases(recoded), z_columns, n_sd, materialise=materialise)
