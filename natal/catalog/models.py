@@ -243,6 +243,16 @@ def coef_table(spark, sf_dir):
     return rounded(summaries.tidy(fold_draws(spark, sf_dir)), ["estimate", "conf_low", "conf_high"])
 
 
+@query(
+    "coef_summary",
+    f"""WITH {FOLD_SQL}
+    SELECT model, term, round(avg(value), 6) AS estimate, round(stddev_samp(value), 6) AS est_error,
+           round(quantile_cont(value, 0.025), 6) AS lower, round(quantile_cont(value, 0.975), 6) AS upper FROM draws GROUP BY ALL""",
+)
+def coef_summary(spark, sf_dir):
+    return rounded(summaries.posterior_summary(fold_draws(spark, sf_dir)), ["estimate", "est_error", "lower", "upper"])
+
+
 @query(
     "model_table",
     f"""WITH {FOLD_SQL},
@@ -336,6 +346,32 @@ def effect_curve(spark, sf_dir):
     return rounded(out, ["corrupt_z", "estimate", "lower", "upper"])
 
 
+@query(
+    "effect_curves",
+    f"""WITH {VOTERS_SQL}, {DRAWS_SQL},
+    r AS (SELECT min(x1) AS lo1, max(x1) AS hi1, min(x2) AS lo2, max(x2) AS hi2, sum(x1 * n) / sum(n) AS a1,
+                 sum(x2 * n) / sum(n) AS a2 FROM pat),
+    grid AS (SELECT unnest(range(10)) AS i, * FROM r),
+    g AS (SELECT 'corrupt_z' AS effect, i, lo1 + i * ((hi1 - lo1) / 9) AS v, lo1 + i * ((hi1 - lo1) / 9) AS x1, a2 AS x2 FROM grid
+          UNION ALL SELECT 'polity2_z', i, lo2 + i * ((hi2 - lo2) / 9), a1, lo2 + i * ((hi2 - lo2) / 9) FROM grid),
+    p AS (SELECT effect, i, v, 1 / (1 + exp(-({literal_eta(SLOPES)}))) AS p FROM g, draws)
+    SELECT effect, CAST(i AS INTEGER) AS point, round(v, 6) AS value, round(quantile_cont(p, 0.5), 6) AS estimate,
+           round(quantile_cont(p, 0.025), 6) AS lower, round(quantile_cont(p, 0.975), 6) AS upper FROM p GROUP BY effect, i, v""",
+)
+def effect_curves(spark, sf_dir):
+    out = effects.effect_curves(counted(spark, sf_dir), literal_draws(X[:2], SLOPES), points=10)
+    return rounded(out, ["value", "estimate", "lower", "upper"])
+
+
+@query("ame_sampled")
+def ame_sampled(spark, sf_dir):
+    """Marginal effect over a tenth of the respondents, the sampling being what is asked for."""
+    from natal.operators.frame import interval
+
+    draws = literal_draws(X[:2], SLOPES)
+    return interval(effects.average_marginal_effect(counted(spark, sf_dir), draws, "corrupt_z", prop=0.1), [], "ame")
+
+
 @query(
     "random_effects",
     f"""WITH {VOTERS_SQL},

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,23 +20,26 @@ def average_marginal_effect(
 ) -> DataFrame:
     """Average of ``beta_x * p * (1 - p)`` over respondents, one row per draw.
 
-    ``prop`` below 1 averages over a random share of the rows, as asked for by the caller.
-    Each task sends one partial sum per draw.
+    ``prop`` below 1 averages over a random share of the respondents, where the caller wants
+    that: each one is kept with this probability, also within a counted pattern. Each task
+    sends one partial sum per draw.
     """
-    rows = patterns if prop >= 1 else patterns.sample(prop, seed=seed)
     at = draws.terms.index(x)
 
-    def reduce(blocks, d):
+    def score(blocks, d):
         total, n = np.zeros(len(d)), 0.0
-        for block in blocks:
+        for i, block in enumerate(blocks):
             w = block[weight].to_numpy(dtype=float)
+            if prop < 1:
+                stream = np.array([seed, TaskContext.get().partitionId() * 2**32 + i], dtype=np.uint64)
+                w = np.random.Generator(np.random.Philox(key=stream)).binomial(w.astype("int64"), prop).astype(float)
             p = logistic(eta_of(block, d))
             total += w @ (p * (1 - p))
             n += w.sum()
         if n:
             yield pd.DataFrame({"draw": np.arange(len(d)), "s": total * d.values[:, at], "n": n})
 
-    partial = map_blocks(rows, draws, reduce, "draw bigint, s double, n double")
+    partial = map_blocks(patterns, draws, score, "draw bigint, s double, n double")
     return partial.groupBy("draw").agg((F.sum("s") / F.sum("n")).alias("ame"))
 
 
@@ -56,9 +62,20 @@ def effect_curve(
     )
     tail = (1 - width) / 2
 
-    def reduce(blocks, d):
+    def score(blocks, d):
         for block in blocks:
             q = np.quantile(logistic(eta_of(block, d)), [tail, 0.5, 1 - tail], axis=1)
             yield pd.DataFrame({"point": block["i"], x: block[x], "estimate": q[1], "lower": q[0], "upper": q[2]})
 
-    return map_blocks(grid, draws, reduce, f"point int, `{x}` double, estimate double, lower double, upper double")
+    return map_blocks(grid, draws, score, f"point int, `{x}` double, estimate double, lower double, upper double")
+
+
+def effect_curves(patterns: DataFrame, draws: DrawMatrix, width: float = 0.95, points: int = 100, weight: str = TRIALS) -> DataFrame:
+    """Curves of all predictors in one long table."""
+    curves = [
+        effect_curve(patterns, draws, x, width, points, weight)
+        .withColumnRenamed(x, "value")
+        .select(F.lit(x).alias("effect"), "point", "value", "estimate", "lower", "upper")
+        for x in draws.predictors
+    ]
+    return reduce(DataFrame.unionByName, curves)

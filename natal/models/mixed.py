@@ -172,6 +172,7 @@ class _Newton:
         tau = f"get({_array(1.0 / sds**2)}, s)"
         for _ in range(self.max_steps):
             sums = self.block_sums(m, beta, state, per_point)
+            # Kept outside the executors and without history, so a lost one costs one step at most.
             blocks = cut_lineage(sums.selectExpr("*", f"h0_0 + {tau} AS d", f"g0 - {tau} * b AS r"))
             # One row per grid point.
             reduced = sorted(blocks.groupBy("s").agg(*self.schur_sums()).collect(), key=lambda row: row["s"])

@@ -17,6 +17,13 @@ def tidy(draws: DataFrame, width: float = 0.9) -> DataFrame:
     return interval(draws, ["model", "term"], "value", width, "median", "conf_low", "conf_high")
 
 
+def posterior_summary(draws: DataFrame, width: float = 0.95) -> DataFrame:
+    """Mean, posterior SD and equal-tailed interval per model and term."""
+    keys = ["model", "term"]
+    centre = interval(draws, keys, "value", width, "mean", "lower", "upper")
+    return centre.join(draws.groupBy(*keys).agg(F.stddev_samp("value").alias("est_error")), keys)
+
+
 def glance(rows: DataFrame) -> DataFrame:
     """Size of the estimation sample."""
     return rows.agg(F.count("*").alias("n"))

@@ -14,6 +14,8 @@ DEFAULTS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Plans here have many columns; recording a call site for each costs more than it tells.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 

@@ -50,7 +50,11 @@ def with_levels(df: DataFrame, levels: Mapping[str, Sequence[str]]) -> DataFrame
 
 
 def level_violations(df: DataFrame, levels: Mapping[str, Sequence[str]]) -> DataFrame:
-    """Values outside their column's domain, with how many rows hold them. One pass."""
+    """Values outside their column's domain, with how many rows hold them.
+
+    One pass; rows without a violation are dropped before the columns are turned into rows.
+    """
+    any_bad = reduce(lambda a, b: a | b, [F.coalesce(~F.col(c).isin(*allowed), F.lit(False)) for c, allowed in levels.items()])
     cells = F.array(
         *[
             F.struct(F.lit(c).alias("variable"), F.col(c).cast("string").alias("value"))
@@ -62,7 +66,8 @@ def level_violations(df: DataFrame, levels: Mapping[str, Sequence[str]]) -> Data
         [(F.col("cell.variable") == c) & ~F.col("cell.value").isin(*allowed) for c, allowed in levels.items()],
     )
     return (
-        df.select(F.explode(cells).alias("cell"))
+        df.filter(any_bad)
+        .select(F.explode(cells).alias("cell"))
         .filter(bad)
         .groupBy("cell.variable", "cell.value")
         .agg(F.count("*").alias("n"))
