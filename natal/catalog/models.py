@@ -127,10 +127,37 @@ def logit_fixed_prior(spark, sf_dir):
     return terms_frame(spark, sf_dir, fit_logit(data, "voted_re", X[:2], WEAK, patterns=data))
 
 
-@query("logit_full")
+def full_logit_sql(precision):
+    """Newton steps for an intercept and three predictors; the step solves by elimination."""
+    k = 4
+    x = ["1", "x1", "x2", "x3"]
+    b = [f"b{i}" for i in range(k)]
+    sums = [f"sum(r * {x[i]}) - {precision} * b{i} AS g{i}" for i in range(k)]
+    sums += [f"sum(w * {x[i]} * {x[j]}) + {precision if i == j else 0} AS h{i}_{j}" for i in range(k) for j in range(k)]
+    step = f"""SELECT i, {", ".join(b)}, {", ".join(sums)}
+      FROM (SELECT *, h - n * p AS r, n * p * (1 - p) AS w FROM (
+        SELECT it.*, pat.*, 1 / (1 + exp(-(b0 + b1 * x1 + b2 * x2 + b3 * x3))) AS p FROM it, pat WHERE i < 8))
+      GROUP BY i, {", ".join(b)}"""
+    for p in range(k - 1):
+        done = [f"g{i}" for i in range(p + 1)] + [f"h{i}_{j}" for i in range(p + 1) for j in range(i, k)]
+        rest = [f"g{i} - h{i}_{p} / h{p}_{p} * g{p} AS g{i}" for i in range(p + 1, k)]
+        rest += [f"h{i}_{j} - h{i}_{p} / h{p}_{p} * h{p}_{j} AS h{i}_{j}" for i in range(p + 1, k) for j in range(p + 1, k)]
+        step = f"SELECT i, {', '.join(b + done + rest)} FROM ({step})"
+    for p in reversed(range(k)):
+        known = "".join(f" - h{p}_{j} * d{j}" for j in range(p + 1, k))
+        step = f"SELECT *, (g{p}{known}) / h{p}_{p} AS d{p} FROM ({step})"
+    return f"""WITH RECURSIVE {VOTERS_SQL},
+    it(i, {", ".join(b)}) AS (
+      SELECT 0, {", ".join(["0.0::DOUBLE"] * k)}
+      UNION ALL SELECT i + 1, {", ".join(f"b{i} + d{i}" for i in range(k))} FROM ({step}))
+    SELECT unnest(['Intercept', 'corrupt_z', 'polity2_z', 'gdpcap_z']) AS term,
+           unnest([round(b0, 5), round(b1, 5), round(b2, 5), round(b3, 5)]) AS estimate FROM it WHERE i = 8"""
+
+
+@query("logit_full", full_logit_sql(1 / 2.5**2))
 def logit_full(spark, sf_dir):
     data = counted(spark, sf_dir)
-    return terms_frame(spark, sf_dir, fit_logit(data, "voted_re", X, WEAK, patterns=data))
+    return terms_frame(spark, sf_dir, fit_logit(data, "voted_re", X, WEAK, patterns=data)).drop("se")
 
 
 SD = 0.5
@@ -464,3 +491,11 @@ def loo_fitted(spark, sf_dir):
     models = {"base": draw_matrix(base, 1000), "country": mixed.mixed_draws(country, 1000)}
     points = compare.pointwise(mixed.attach_groups(data, country), models)
     return compare.loo_summary(points, list(models))
+
+
+@query("model_ranking")
+def model_ranking(spark, sf_dir):
+    """All five models: fit, leave-one-out comparison and stacking weights."""
+    from natal.plans.model_suite import fit_suite
+
+    return fit_suite(None, "voted_re", X, "cowcode", WEAK, 1000, patterns=counted(spark, sf_dir)).ranking()

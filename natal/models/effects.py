@@ -52,20 +52,20 @@ def effect_curve(
     """
     others = [p for p in draws.predictors if p != x]
     stats = patterns.agg(
-        F.min(x).alias("lo"),
-        F.max(x).alias("hi"),
+        F.min(x).alias("_lo"),
+        F.max(x).alias("_hi"),
         *[(F.sum(F.col(o) * F.col(weight)) / F.sum(weight)).alias(o) for o in others],
     )
-    step = (F.col("hi") - F.col("lo")) / (points - 1)
-    grid = stats.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(points - 1)))).select(
-        "i", (F.col("lo") + F.col("i") * step).alias(x), *others
+    step = (F.col("_hi") - F.col("_lo")) / (points - 1)
+    grid = stats.withColumn("_point", F.explode(F.sequence(F.lit(0), F.lit(points - 1)))).select(
+        "_point", (F.col("_lo") + F.col("_point") * step).alias(x), *others
     )
     tail = (1 - width) / 2
 
     def score(blocks, d):
         for block in blocks:
             q = np.quantile(logistic(eta_of(block, d)), [tail, 0.5, 1 - tail], axis=1)
-            yield pd.DataFrame({"point": block["i"], x: block[x], "estimate": q[1], "lower": q[0], "upper": q[2]})
+            yield pd.DataFrame({"point": block["_point"], x: block[x], "estimate": q[1], "lower": q[0], "upper": q[2]})
 
     return map_blocks(grid, draws, score, f"point int, `{x}` double, estimate double, lower double, upper double")
 

@@ -20,13 +20,14 @@ from pyspark.sql import functions as F
 
 from natal.models.draws import DRAWS, DrawMatrix, normals
 from natal.models.logit import INTERCEPT, fit_logit, number, score_sums, scored
-from natal.models.patterns import pattern_counts
+from natal.models.patterns import HITS, TRIALS, pattern_counts
 from natal.models.priors import Priors
 from natal.models.scoring import CROSS, CURVES, MODES, STREAM, group_offsets, map_blocks, with_stream
 from natal.operators.joins import lookup_join
 from natal.session import cut_lineage
 
 COARSE = tuple(np.exp(np.linspace(np.log(0.02), np.log(4.0), 9)))
+GROUP = "_grp"
 DEPTH = 6.0  # log-posterior drop at which the fine grid ends
 
 
@@ -80,24 +81,29 @@ def fit_random_intercept(
     """
     priors = priors or Priors()
     data = pattern_counts(df, outcome, predictors, group) if patterns is None else patterns
-    data = data.filter(F.col(group).isNotNull()).persist()
-    groups = data.select(group).distinct().persist()
+    # Inside the fit the columns have fixed names, whatever the caller calls them.
+    inner = [f"x{j}" for j in range(1, len(predictors) + 1)]
+    data = data.filter(F.col(group).isNotNull()).select(
+        F.col(group).alias(GROUP), *[F.col(p).alias(x) for p, x in zip(predictors, inner)], TRIALS, HITS
+    )
+    data = data.persist()
+    groups = data.select(GROUP).distinct().persist()
     try:
-        start = fit_logit(data, outcome, predictors, priors, patterns=data)
+        start = fit_logit(data, outcome, inner, priors, patterns=data)
         n_groups = groups.count()
-        job = _Newton(data, group, (INTERCEPT, *predictors), priors, n_groups, max_steps, tol)
+        job = _Newton(data, (INTERCEPT, *inner), priors, n_groups, max_steps, tol)
         grid = np.array(sds if sds is not None else COARSE)
         state = groups.withColumn("b", F.lit(0.0))
         fit = job.run(grid, np.tile(start.mode, (len(grid), 1)), state, per_point=False)
         if sds is None:
             fine = _refine(grid, fit.log_post)
             near = np.abs(np.log(fine)[:, None] - np.log(grid)[None, :]).argmin(axis=1)
-            state = _restart(fit.blocks, group, near)
+            state = _restart(fit.blocks, near)
             fit = job.run(fine, fit.beta[near], state, per_point=True)
             grid = fine
         weights = np.exp(fit.log_post - fit.log_post.max())
         return MixedFit(
-            job.terms, group, grid, weights / weights.sum(), fit.beta, fit.covs, fit.table(group), n_groups, start.nobs, priors
+            (INTERCEPT, *predictors), group, grid, weights / weights.sum(), fit.beta, fit.covs, fit.table(group), n_groups, start.nobs, priors
         )
     finally:
         groups.unpersist()
@@ -117,11 +123,11 @@ def _refine(grid: np.ndarray, log_post: np.ndarray, points: int = 9) -> np.ndarr
     return np.exp(np.linspace(inside[0], inside[-1], points))
 
 
-def _restart(blocks: DataFrame, group: str, near: np.ndarray) -> DataFrame:
+def _restart(blocks: DataFrame, near: np.ndarray) -> DataFrame:
     """Start values for a new grid: the effects found at the nearest old grid point."""
     targets = [[int(t) for t in np.flatnonzero(near == s)] for s in range(int(near.max()) + 1)]
     return blocks.filter(F.col("s") <= int(near.max())).select(
-        group, F.explode(F.get(F.lit(targets).cast("array<array<int>>"), F.col("s"))).alias("s"), "b"
+        GROUP, F.explode(F.get(F.lit(targets).cast("array<array<int>>"), F.col("s"))).alias("s"), "b"
     )
 
 
@@ -137,9 +143,9 @@ class _Point:
         """One row per group with arrays over the grid, as many entries as grid points."""
         cross = F.array(*[F.col(f"h0_{j}") for j in range(self.k)])
         entry = F.struct("s", "b", "d", cross.alias("c"))
-        rows = self.blocks.groupBy(group).agg(F.array_sort(F.collect_list(entry)).alias("e"))
+        rows = self.blocks.groupBy(GROUP).agg(F.array_sort(F.collect_list(entry)).alias("e"))
         out = rows.select(
-            group,
+            F.col(GROUP).alias(group),
             F.transform("e", lambda e: e["b"]).alias(MODES),
             F.transform("e", lambda e: e["d"]).alias(CURVES),
             F.flatten(F.transform("e", lambda e: e["c"])).alias(CROSS),
@@ -148,8 +154,8 @@ class _Point:
 
 
 class _Newton:
-    def __init__(self, data, group, terms, priors, n_groups, max_steps, tol):
-        self.data, self.group, self.terms, self.priors = data, group, terms, priors
+    def __init__(self, data, terms, priors, n_groups, max_steps, tol):
+        self.data, self.terms, self.priors = data, terms, priors
         self.n_groups, self.max_steps, self.tol = n_groups, max_steps, tol
         self.k = len(terms)
 
@@ -159,12 +165,12 @@ class _Newton:
         ``state`` holds the current group effects, per grid point or shared by all.
         """
         points = F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias("s")
-        keys = [self.group, "s"] if per_point else [self.group]
+        keys = [GROUP, "s"] if per_point else [GROUP]
         rows = lookup_join(self.data.select("*", points), state, keys, "inner", self.n_groups * (m if per_point else 1))
         coef = f"get({_array(beta)}, s)"
         eta = " + ".join(["b", f"get({coef}, 0)", *[f"get({coef}, {j}) * `{t}`" for j, t in enumerate(self.terms[1:], 1)]])
-        rows = scored(rows, self.terms, eta, [f"`{self.group}`", "s", "b"])
-        return rows.groupBy(self.group, "s").agg(F.first("b").alias("b"), *score_sums(self.k))
+        rows = scored(rows, self.terms, eta, [GROUP, "s", "b"])
+        return rows.groupBy(GROUP, "s").agg(F.first("b").alias("b"), *score_sums(self.k))
 
     def run(self, sds: np.ndarray, beta: np.ndarray, state: DataFrame, per_point: bool) -> _Point:
         k, m = self.k, len(sds)
@@ -187,7 +193,7 @@ class _Newton:
                 log_post = self.log_posterior(sds, beta, reduced, schur)
                 return _Point(beta, np.linalg.inv(schur), log_post, blocks, k)
             shift = " + ".join(f"h0_{j} * get(get({_array(move)}, s), {j})" for j in range(k))
-            state = blocks.selectExpr(f"`{self.group}`", "s", f"b + (r - ({shift})) / d AS b")
+            state = blocks.selectExpr(GROUP, "s", f"b + (r - ({shift})) / d AS b")
             beta, per_point = beta + move, True
         raise RuntimeError(f"no convergence in {self.max_steps} steps")
 

@@ -17,5 +17,7 @@ def pattern_counts(df: DataFrame, outcome: str, predictors: Sequence[str], group
     survey of any size folds to some thousand rows; with respondent-level predictors the
     result has about as many rows as the survey and everything downstream still works.
     """
+    if {TRIALS, HITS} & {c.lower() for c in [*predictors, group or ""]}:
+        raise ValueError(f"{TRIALS!r} and {HITS!r} are taken by the counts; rename the column")
     keys = ([group] if group else []) + [p for p in predictors if p != group]
     return df.groupBy(*keys).agg(F.count(outcome).alias(TRIALS), F.sum(outcome).cast("double").alias(HITS))

@@ -16,17 +16,32 @@ from natal.functions.names import select_renamed
 NA = "NA"
 
 
-def read_csv(spark: SparkSession, path: str, schema: str | T.StructType | None = None, sample: float | None = None) -> DataFrame:
+def read_csv(
+    spark: SparkSession,
+    path: str,
+    schema: str | T.StructType | None = None,
+    sample: float | None = None,
+    declared: Mapping[str, str] | None = None,
+) -> DataFrame:
     """CSV with header and ``NA`` for missing.
 
     With a schema there is one pass and the wanted columns are parsed only. Without one,
-    types are inferred from all rows, or from a share of them with ``sample``.
+    types are inferred from all rows, or from a share of them with ``sample``; ``declared``
+    fixes the types of some columns and leaves the others to inference.
     """
     reader = spark.read.option("header", True).option("nullValue", NA)
-    if schema is not None:
-        return nan_to_null(reader.schema(schema).csv(path))
-    reader = reader.option("inferSchema", True)
-    return nan_to_null((reader.option("samplingRatio", sample) if sample else reader).csv(path))
+    if schema is None:
+        guess = spark.read.option("header", True).option("nullValue", NA).option("inferSchema", True)
+        schema = (guess.option("samplingRatio", sample) if sample else guess).csv(path).schema
+    if declared:
+        if isinstance(schema, str):
+            schema = T.StructType.fromDDL(schema)
+        schema = T.StructType([T.StructField(f.name, _type(declared.get(f.name)) or f.dataType) for f in schema])
+    return nan_to_null(reader.schema(schema).csv(path))
+
+
+def _type(ddl: str | None) -> T.DataType | None:
+    return T.StructType.fromDDL(f"c {ddl}")["c"].dataType if ddl else None
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
@@ -40,9 +55,14 @@ def write_stage(df: DataFrame, path: str, mode: str = "errorifexists") -> DataFr
     return df.sparkSession.read.parquet(path)
 
 
-def read_levels(spark: SparkSession, path: str, schema: str | T.StructType, levels: Mapping[str, Sequence[str]]) -> DataFrame:
-    """CSV with closed domains: values outside a column's levels become null."""
-    return with_levels(read_csv(spark, path, schema), levels)
+def read_levels(
+    spark: SparkSession, path: str, levels: Mapping[str, Sequence[str]], schema: str | T.StructType | None = None
+) -> DataFrame:
+    """CSV with closed domains: values outside a column's levels become null.
+
+    Columns with levels are text; without a schema the other columns are inferred.
+    """
+    return with_levels(read_csv(spark, path, schema, declared=dict.fromkeys(levels, "string")), levels)
 
 
 def with_levels(df: DataFrame, levels: Mapping[str, Sequence[str]]) -> DataFrame:

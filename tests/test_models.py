@@ -263,3 +263,34 @@ def test_priors_and_table(spark):
         (2, "Corruption", "estimate", None, "2.00"), (2, "Corruption", "interval", None, "[1.00, 3.00]"),
         (3, "Observations", "n", "10", "20"),
     ]
+
+
+def test_suite(spark, tmp_path):
+    from natal.plans.model_suite import fit_suite
+
+    rng = np.random.default_rng(9)
+    g = np.repeat(np.arange(25), 120)
+    c, r, i = (rng.normal(size=25) for _ in range(3))
+    b = rng.normal(0, 0.7, 25)
+    y = rng.random(len(g)) < 1 / (1 + np.exp(-(0.2 - 0.4 * c[g] + b[g])))
+    df = spark.createDataFrame(pd.DataFrame({"g": g, "c": c[g], "r": r[g], "i": i[g], "y": y.astype(int)}))
+    suite = fit_suite(df, "y", ["c", "r", "i"], "g", WEAK, n_draws=400)
+    assert suite.models == ["base", "dem", "full", "dem_country", "full_country"]
+    points = suite.pointwise()
+    assert points.agg(F.sum("n")).first()[0] == len(g)
+    ranking = suite.ranking(points).toPandas().set_index("model")
+    assert ranking.elpd_diff.idxmax().endswith("_country") and ranking.weight.sum() == pytest.approx(1)
+    assert ranking.loc["base", "elpd_diff"] < -20
+    ame = suite.marginal_effects("c").toPandas().set_index("model")
+    assert (ame.lower < ame.estimate).all() and len(ame) == 5
+    wide = {m: ame.upper[m] - ame.lower[m] for m in ame.index}
+    assert wide["dem_country"] > wide["dem"]
+    assert suite.curves("c", points=5).count() == 25
+    countries = suite.country_effects().toPandas()
+    one = countries[countries.model == "dem_country"].sort_values("condition")
+    assert len(countries) == 50 and np.corrcoef(one.estimate, b)[0, 1] > 0.8
+    store = str(tmp_path / "draws")
+    first = suite.coefficient_draws(store).count()
+    assert first == suite.coefficient_draws(store).count() == 400 * (2 + 3 + 4 + 3 + 4)
+    table = suite.table({"Intercept": "Intercept", "c": "Corruption"}).toPandas()
+    assert list(table.columns[-5:]) == suite.models and (table[table.statistic == "n"][suite.models] == str(len(g))).all().all()

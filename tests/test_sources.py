@@ -48,8 +48,11 @@ def test_csv_round_trip(spark, tmp_path):
 def test_levels(spark, tmp_path):
     (tmp_path / "f.csv").write_text("id,age_re,v\n1,18-29,1\n2,17,2\n3,NA,x\n")
     levels = {"age_re": ["18-29", "30-44"]}
-    df = tables.read_levels(spark, str(tmp_path / "f.csv"), "id int, age_re string, v string", levels)
-    assert [r["age_re"] for r in df.orderBy("id").collect()] == ["18-29", None, None]
+    for schema in ("id int, age_re string, v string", None):
+        df = tables.read_levels(spark, str(tmp_path / "f.csv"), levels, schema)
+        assert [r["age_re"] for r in df.orderBy("id").collect()] == ["18-29", None, None]
+    years = tables.read_levels(spark, str(tmp_path / "f.csv"), {"id": ["1", "2"]})
+    assert [r["id"] for r in years.collect()] == ["1", "2", None] and dict(years.dtypes)["v"] == "string"
     raw = tables.read_csv(spark, str(tmp_path / "f.csv"), "id int, age_re string, v string")
     assert [tuple(r) for r in tables.level_violations(raw, levels).collect()] == [("age_re", "17", 1)]
 
