@@ -36,13 +36,16 @@ def counted(spark, sf_dir):
     return scored.withColumnsRenamed(dict(zip([f"{c}_z" for c in RAW], X))).drop(*RAW)
 
 
+# The SQL averages every respondent's window anew, so equal predictors may differ in the last
+# bit there; nine places bring them together again.
 VOTERS_SQL = f"""{EXPOSURE_SQL},
 vote AS (SELECT *, voted - 1 AS y FROM expo WHERE voted < 3),
 stats AS (SELECT avg(fuzzy_corrupt) AS m1, stddev_samp(fuzzy_corrupt) AS s1, avg(fuzzy_polity2) AS m2,
                  stddev_samp(fuzzy_polity2) AS s2, avg(fuzzy_ln_gdpcap) AS m3, stddev_samp(fuzzy_ln_gdpcap) AS s3 FROM vote),
 est AS (SELECT cpsidp, cowcode, y, (fuzzy_corrupt - m1) / s1 AS x1, (fuzzy_polity2 - m2) / s2 AS x2,
                (fuzzy_ln_gdpcap - m3) / s3 AS x3 FROM vote, stats),
-pat AS (SELECT cowcode, x1, x2, x3, count(*) AS n, sum(y) AS h FROM est GROUP BY ALL)"""
+pat AS (SELECT cowcode, x1, x2, x3, count(*) AS n, sum(y) AS h
+        FROM (SELECT cowcode, y, round(x1, 9) AS x1, round(x2, 9) AS x2, round(x3, 9) AS x3 FROM est) GROUP BY ALL)"""
 
 
 @query(
