@@ -10,7 +10,7 @@ import math
 from collections.abc import Sequence
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -104,13 +104,21 @@ def heavy_keys(df: DataFrame, on: Sequence[str], partitions: int) -> DataFrame |
     )
 
 
+def split_number(columns: Sequence[str], splits: Column) -> Column:
+    """Which split a row goes to: a hash of the row and of the input partition it came from.
+
+    The partition tells identical copies apart. Both parts are the same when a task runs
+    again after a lost executor, so every row is sent to the same place.
+    """
+    return F.pmod(F.xxhash64(F.lit(17), F.spark_partition_id(), *columns), splits).cast("int")
+
+
 def salted_join(
     left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "left", partitions: int | None = None
 ) -> DataFrame:
     """Shuffle join in which rows of a heavy left key are spread over several tasks.
 
-    The matching right rows are repeated once per split. The split number is a hash of the
-    row, so a task that runs again after a lost executor sends every row to the same place.
+    The matching right rows are repeated once per split, so any split number is right.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"salted_join keeps left rows; {how!r} is not supported")
@@ -120,11 +128,10 @@ def salted_join(
     if heavy is None:
         return left.join(right, on, how)
     heavy = F.broadcast(heavy)  # at most HEAVY_KEYS rows
-    names = left.columns
     salted_left = (
         left.withColumn(_HASH, F.xxhash64(*on))
         .join(heavy, _HASH, "left")
-        .withColumn(_SALT, F.pmod(F.xxhash64(F.lit(17), *names), F.coalesce(_SPLITS, F.lit(1))).cast("int"))
+        .withColumn(_SALT, split_number(left.columns, F.coalesce(_SPLITS, F.lit(1))))
         .drop(_HASH, _SPLITS)
     )
     salted_right = (

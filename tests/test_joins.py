@@ -36,6 +36,13 @@ def test_salting_spreads_the_heavy_key(hot):
     assert splits[hashes[0]] >= 5 and splits[hashes[None]] >= 5
 
 
+def test_copies_are_spread(spark, lookup):
+    copies = spark.range(8000).repartition(8).select(F.lit(3).alias("k"), F.lit("same").alias("v"))
+    salted = copies.withColumn("s", joins.split_number(copies.columns, F.lit(16)))
+    assert salted.groupBy("s").count().agg(F.max("count")).first()[0] <= 4000
+    assert joins.salted_join(copies, lookup, ["k"], "inner", partitions=8).count() == 8000
+
+
 def test_no_heavy_keys(spark):
     assert joins.heavy_keys(spark.range(5000), ["id"], 8) is None
 
