@@ -6,10 +6,12 @@ from natal.catalog.base import (
     NULLED_NATION,
     PANEL_NATIONS,
     PANEL_SQL,
+    WHOLE_SQL,
     customers,
     panel,
     rounded,
     table,
+    whole,
 )
 from natal.catalog.registry import query
 from natal.operators import entity, joins
@@ -57,7 +59,7 @@ def order_means(spark, sf_dir):
     per_customer = (
         table(spark, sf_dir, "orders")
         .groupBy(F.col("o_custkey").alias("c_custkey"), F.year("o_orderdate").alias("src_year"))
-        .agg(F.sum("o_totalprice").alias("s"), F.count("o_totalprice").alias("n"))
+        .agg(F.sum(whole("o_totalprice")).alias("s"), F.count("o_totalprice").alias("n"))
     )
     nations = customers(spark, sf_dir).select("c_custkey", "c_nationkey")
     return (
@@ -68,9 +70,9 @@ def order_means(spark, sf_dir):
     )
 
 
-ORDER_MEANS_SQL = """
+ORDER_MEANS_SQL = f"""
 order_means AS (
-  SELECT c_nationkey AS cowcode, CAST(year(o_orderdate) AS INTEGER) AS src_year, avg(o_totalprice) AS polity2
+  SELECT c_nationkey AS cowcode, CAST(year(o_orderdate) AS INTEGER) AS src_year, avg({WHOLE_SQL.format("o_totalprice")}) AS polity2
   FROM orders JOIN customer ON o_custkey = c_custkey
   WHERE c_nationkey > 2 AND year(o_orderdate) >= 1997 GROUP BY ALL)"""
 

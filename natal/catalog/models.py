@@ -234,8 +234,8 @@ FOLDS = 20
 FOLD_SQL = f"""{VOTERS_SQL},
 fold AS (
   SELECT model, cpsidp % {FOLDS} AS draw,
-         sum(y) FILTER (WHERE x1 <= 0) + 0.5 AS c, sum(1 - y) FILTER (WHERE x1 <= 0) + 0.5 AS d,
-         sum(y) FILTER (WHERE x1 > 0) + 0.5 AS a, sum(1 - y) FILTER (WHERE x1 > 0) + 0.5 AS b
+         count_if(x1 <= 0 AND y = 1) + 0.5 AS c, count_if(x1 <= 0 AND y = 0) + 0.5 AS d,
+         count_if(x1 > 0 AND y = 1) + 0.5 AS a, count_if(x1 > 0 AND y = 0) + 0.5 AS b
   FROM (SELECT 'base' AS model, * FROM est UNION ALL SELECT 'dem', * FROM est WHERE cowcode < 12) GROUP BY ALL),
 draws AS (SELECT model, draw, 'Intercept' AS term, ln(c / d) AS value FROM fold
           UNION ALL SELECT model, draw, 'corrupt_z', ln(a * d / (b * c)) FROM fold),

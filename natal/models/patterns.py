@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 TRIALS, HITS = "n", "hits"
+ROWS_PER_TASK = 250
+FEW_ROWS = 5_000_000
 
 
 def pattern_counts(df: DataFrame, outcome: str, predictors: Sequence[str], group: str | None = None) -> DataFrame:
@@ -21,3 +24,16 @@ def pattern_counts(df: DataFrame, outcome: str, predictors: Sequence[str], group
         raise ValueError(f"{TRIALS!r} and {HITS!r} are taken by the counts; rename the column")
     keys = ([group] if group else []) + [p for p in predictors if p != group]
     return df.groupBy(*keys).agg(F.count(outcome).alias(TRIALS), F.sum(outcome).cast("double").alias(HITS))
+
+
+def spread_patterns(patterns: DataFrame, rows: int) -> DataFrame:
+    """Spread counted patterns over tasks by work instead of by bytes.
+
+    A pattern is a few bytes, but scoring multiplies it with thousands of draws; adaptive
+    execution would put all of them into one task. Large inputs keep their partitions.
+    """
+    tasks = min(math.ceil(rows / ROWS_PER_TASK), 4 * patterns.sparkSession.sparkContext.defaultParallelism)
+    if tasks <= 1 or rows > FEW_ROWS:
+        return patterns
+    keys = [c for c in patterns.columns if c not in (TRIALS, HITS)]
+    return patterns.repartition(tasks, *keys)

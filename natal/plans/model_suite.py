@@ -13,9 +13,10 @@ from natal.models import compare, effects, mixed, summaries
 from natal.models.draws import DRAWS, DrawMatrix, draw_matrix, draws_table
 from natal.models.logit import LogitFit, fit_logit
 from natal.models.mixed import MixedFit
-from natal.models.patterns import pattern_counts
+from natal.models.patterns import pattern_counts, spread_patterns
 from natal.models.priors import FLAT, Priors
 from natal.operators.frame import interval
+from natal.operators.joins import measured
 from natal.session import cut_lineage
 from natal.sources.tables import load_or_compute
 
@@ -109,7 +110,9 @@ def fit_suite(
     """
     corruption, regime, income = predictors
     counts = pattern_counts(table, outcome, predictors, group) if patterns is None else patterns
-    counts = cut_lineage(counts.filter(F.col(group).isNotNull()))
+    kept, rows = measured(counts.filter(F.col(group).isNotNull()))
+    counts = cut_lineage(spread_patterns(kept, rows))
+    kept.unpersist()
     nested = {"base": [corruption], "dem": [corruption, regime], "full": [corruption, regime, income]}
     fits: dict[str, LogitFit | MixedFit] = {
         m: fit_logit(counts, outcome, xs, priors, patterns=counts) for m, xs in nested.items()

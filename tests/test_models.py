@@ -294,3 +294,14 @@ def test_suite(spark, tmp_path):
     assert first == suite.coefficient_draws(store).count() == 400 * (2 + 3 + 4 + 3 + 4)
     table = suite.table({"Intercept": "Intercept", "c": "Corruption"}).toPandas()
     assert list(table.columns[-5:]) == suite.models and (table[table.statistic == "n"][suite.models] == str(len(g))).all().all()
+
+
+def test_patterns_are_spread_by_work(spark):
+    from natal.models.patterns import spread_patterns
+
+    df = spark.range(2000).coalesce(1).select(F.col("id").alias("x"), F.lit(1).alias("n"), F.lit(0.0).alias("hits"))
+    out = spread_patterns(df, 2000)
+    assert out.rdd.getNumPartitions() == 8 and out.count() == 2000
+    assert spread_patterns(df, 100) is df and spread_patterns(df, 10_000_000) is df
+    with pytest.raises(ValueError, match="taken"):
+        pattern_counts(df, "hits", ["n"])
