@@ -7,7 +7,6 @@ from natal.catalog.base import (
     NULLED_NATION,
     PANEL_SQL,
     RESPONDENTS_SQL,
-    VARIABLES,
     customers,
     panel,
     respondents,
@@ -17,7 +16,7 @@ from natal.catalog.base import (
 from natal.catalog.exposures import FUZZY, exposed
 from natal.catalog.joins import ORDER_MEANS_SQL, order_means
 from natal.catalog.panels import MONTHLY_SQL, MONTHS, monthly_wide
-from natal.catalog.recodes import RECODED_SQL, STATUS_LABELS
+from natal.catalog.recodes import RECODED_SQL
 from natal.catalog.registry import query
 from natal.operators import frame, joins
 from natal.operators.panel import period_mean
