@@ -34,6 +34,8 @@ _UNSURE = re.compile(r"\s (?:\s|\Z)")
 PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 #: Below this character all Unicode versions agree on what is a letter, a number or white space.
 _SETTLED = re.compile("[\0-\u024f]*")
+#: Marks that the pattern takes together after a word.
+_MARKS = ".,;:!?()\"%&*#$"
 #: Fragments kept per worker; clearing the store changes no result.
 KEPT = 400_000
 #: Rank of a pair that no merge joins, and the bits below a rank that hold the new id.
@@ -93,12 +95,13 @@ class Codec:
                 b = np.frombuffer(token, dtype=np.uint8)
                 inside[b[:-1], b[1:]] = True
         self.inside = inside
-        self.joined = {bytes([a, b]) for a, b in zip(*np.nonzero(inside))}
+        self.joined = set(zip(*(a.tolist() for a in np.nonzero(inside))))
         self.split = ByteLevel(add_prefix_space=False, use_regex=True)
         self.byte_of = byte_of
+        self.whole = self._engine(vocabulary)
         self.fragments = _Kept(self._fragment)
-        self.firsts = _Kept(self._chunk)
-        self.spaced = _Kept(lambda word: self._chunk(" " + word))
+        self.firsts = _Kept(lambda word: self._chunk("", word))
+        self.spaced = _Kept(lambda word: self._chunk(" ", word))
         self.cuts = re.compile("|".join(re.escape(t) for t in self.special)) if self.special else None
 
     def pieces(self, text: str) -> list[bytes]:
@@ -107,19 +110,50 @@ class Codec:
             return [p.encode() for p in PATTERN.findall(text)]
         return [bytes(map(self.byte_of.__getitem__, shown)) for shown, _ in self.split.pre_tokenize_str(text)]
 
-    def forced(self, piece: bytes) -> Iterator[bytes]:
+    def forced(self, piece: bytes) -> list[bytes]:
         """Cut a piece wherever its neighbouring bytes are neighbours inside no token."""
-        start, joined = 0, self.joined
-        for i in range(1, len(piece)):
-            if piece[i - 1 : i + 1] not in joined:
-                yield piece[start:i]
-                start = i
-        yield piece[start:]
-
-    def _chunk(self, text: str) -> bytes:
-        return b"".join(self.fragments[f] for piece in self.pieces(text) for f in self.forced(piece))
+        if self.joined.issuperset(zip(piece, piece[1:])):
+            return [piece]
+        cuts = [i for i, pair in enumerate(zip(piece, piece[1:]), 1) if pair not in self.joined]
+        return [piece[a:b] for a, b in zip([0, *cuts], [*cuts, len(piece)])]
+
+    def _piece(self, piece: bytes) -> bytes:
+        found = self.forced(piece)
+        return self._fragment(piece) if len(found) == 1 else b"".join(map(self.fragments.__getitem__, found))
+
+    def _chunk(self, lead: str, word: str) -> bytes:
+        """Ids of what stands between two certain spaces; ``lead`` is the first space or empty."""
+        same = self.spaced if lead else self.firsts
+        core = word.rstrip(_MARKS)
+        if core.isalpha() and (core.isascii() or _SETTLED.fullmatch(core)):
+            if len(core) == len(word):
+                return self._piece((lead + word).encode())
+            return same[core] + self.firsts[word[len(core) :]]
+        if len(word) <= LONG:  # a line break between two words is a piece of its own
+            left, line, right = word.partition("\n")
+            if line and left and right and not left[-1].isspace() and not right[0].isspace():
+                return same[left] + self.fragments[b"\n"] + self.firsts[right]
+        return self._split(lead + word)
+
+    def _split(self, text: str) -> bytes:
+        return b"".join(map(self._piece, self.pieces(text)))
+
+    def _engine(self, vocabulary: dict[bytes, int]):
+        """The rank-based engine for whole fragments, where ids rise with the ranks of merges."""
+        new = [m & ((1 << _BITS) - 1) for m in self.merges.values()]
+        if sorted(vocabulary.values()) != list(range(len(vocabulary))) or new != sorted(set(new)) or max(self.byte_ids) > new[0]:
+            return None
+        import tiktoken
+
+        return tiktoken.Encoding("fragments", pat_str=r"(?s:.+)", mergeable_ranks=vocabulary, special_tokens={}).encode_ordinary
 
     def _fragment(self, fragment: bytes) -> bytes:
+        if self.whole and len(fragment) <= LONG:
+            try:
+                ids = self.whole(fragment.decode())
+                return struct.pack(f"<{len(ids)}I", *ids)
+            except UnicodeDecodeError:  # cut inside a character
+                pass
         ids = [self.byte_ids[b] for b in fragment]
         ids = self._merge_few(ids) if len(ids) <= 48 else self._merge_many(ids)
         return struct.pack(f"<{len(ids)}I", *ids)
@@ -159,7 +193,7 @@ class Codec:
 
     def _plain(self, text: str) -> bytes:
         if _UNSURE.search(text):
-            return b"".join(self.fragments[f] for piece in self.pieces(text) for f in self.forced(piece))
+            return self._split(text)
         first, *rest = text.split(" ")
         return (self.firsts[first] if first else b"") + b"".join(map(self.spaced.__getitem__, rest))
 
