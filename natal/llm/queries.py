@@ -5,13 +5,19 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from natal.llm import bpe, packing, simhash
+from natal.llm import bpe, html_tree, kneser_ney, multi_index, packing, quality, simhash, sketch, token_rollup, toxicity
 from natal.llm.common import table
+from natal.session import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -20,16 +26,91 @@ def op3_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(table(spark, sf_dir, "documents"))
 
 
+_WORDS = r"[^\x20\x09-\x0D]+"
+_PARTS = r"[A-Za-z]+|[0-9]+|[^A-Za-z0-9\x20\x09-\x0D]+"
+_TOKENIZERS = {
+    "words-1": F.regexp_count("text", F.lit(_WORDS)),
+    "parts-2": F.regexp_count("text", F.lit(_PARTS)),
+}
+
+
+_NOTICES = ("licensed under", "all rights reserved")
+
+
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals after four batches: all documents inserted; sources renamed to capitals and licence
+    lines dropped, as a revision; texts under five words deleted; the revision once more."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", F.coalesce("text", F.lit("")).alias("text"))
+
+    def plain(line):
+        return ~(F.lower(line).contains(_NOTICES[0]) | F.lower(line).contains(_NOTICES[1]))
+
+    cleaned = docs.withColumns({"text": F.array_join(F.filter(F.split("text", "\n"), plain), "\n"), "source": F.upper("source")})
+    first, second = token_rollup.counted(docs, _TOKENIZERS), token_rollup.counted(cleaned, _TOKENIZERS)
+    short = cleaned.filter(F.regexp_count("text", F.lit(_WORDS)) < 5)
+    rollup = token_rollup.Rollup(spark, scratch_path(spark, "token-rollup"))
+    revised = token_rollup.revisions(first, second)
+    rollup.commit("1", token_rollup.inserts(first))
+    rollup.commit("2", revised)
+    rollup.commit("3", token_rollup.deletes(token_rollup.counted(short, _TOKENIZERS)))
+    rollup.commit("2", revised)
+    return rollup.totals()
+
+
+OP4_SQL = r"""
+WITH lines AS (SELECT upper(source) AS source, lang, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+cleaned AS (
+  SELECT source, lang, array_to_string(list_filter(l, lambda x: NOT (contains(lower(x), 'licensed under')
+         OR contains(lower(x), 'all rights reserved'))), chr(10)) AS text
+  FROM lines),
+counted AS (
+  SELECT source, lang, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS w,
+         len(regexp_extract_all(text, '[A-Za-z]+|[0-9]+|[^A-Za-z0-9\x20\x09-\x0D]+')) AS p
+  FROM cleaned),
+kept AS (SELECT * FROM counted WHERE w >= 5)
+SELECT source, lang, 'words-1' AS tokenizer, count(*) AS documents, CAST(sum(w) AS BIGINT) AS tokens FROM kept GROUP BY ALL
+UNION ALL
+SELECT source, lang, 'parts-2', count(*), CAST(sum(p) AS BIGINT) FROM kept GROUP BY ALL
+"""
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op6_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kneser_ney.score_documents(table(spark, sf_dir, "documents"))
+
+
+def op7_multi_index_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multi_index.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicate_report(table(spark, sf_dir, "documents"))
 
 
+def op9_scaled_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sketch.fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op10_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_tree.extract(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
+        op1_toxicity,
         op2_best_fit_packing,
         op3_bpe_round_trip,
+        op4_token_counts,
+        op5_quality,
+        op6_kneser_ney,
+        op7_multi_index_near_dedup,
         op8_simhash_near_dedup,
+        op9_scaled_sketch,
+        op10_html_main_text,
     )
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op4_token_counts": OP4_SQL}
