@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from natal.session import scratch_path
 
@@ -46,3 +47,13 @@ def rows_of(batch: pa.RecordBatch, column: str, step: int = 128) -> Iterator:
     values = batch.column(column)
     for at in range(0, len(values), step):
         yield from values.slice(at, step).to_pylist()
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    """(row, text): every column of a row in one struct, so that no added column can clash."""
+    return docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), docs["text"].alias("text"))
+
+
+def extended(df: DataFrame, keep: tuple[str, ...], **added) -> StructType:
+    """The schema of the columns ``keep`` of ``df`` and of those added."""
+    return StructType([df.schema[c] for c in keep] + [StructField(n, t) for n, t in added.items()])

@@ -29,8 +29,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
-from natal.llm.common import rows_of
+from natal.llm.common import extended, packed, rows_of
 from natal.llm.labelled import held_out
 
 #: Trusted positives and unlabelled rows to learn from, at most.
@@ -84,8 +85,6 @@ def features(text: str | None) -> list[float]:
 
 
 def featured(df: DataFrame, keep: tuple[str, ...]) -> DataFrame:
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name in keep)
-
     def run(batches):
         for batch in batches:
             rows = np.array([features(t) for t in rows_of(batch, "text")], dtype=float).reshape(-1, FEATURES)
@@ -93,7 +92,7 @@ def featured(df: DataFrame, keep: tuple[str, ...]) -> DataFrame:
             lists = pa.ListArray.from_arrays(offsets, pa.array(rows.ravel()))
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], lists], [*keep, "features"])
 
-    return df.select(*keep, "text").mapInArrow(run, schema + ", features array<double>")
+    return df.select(*keep, "text").mapInArrow(run, extended(df, keep, features=ArrayType(DoubleType())))
 
 
 def samples(docs: DataFrame, labels: DataFrame, label: str, positives: int, unlabelled: int) -> DataFrame:
@@ -236,14 +235,12 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", positives: i
 
 def score(model: Model, df: DataFrame, keep: tuple[str, ...]) -> DataFrame:
     """``keep`` and ``score`` for every row of ``df``."""
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name in keep)
-
     def run(batches):
         for batch in batches:
             x = np.array([features(t) for t in rows_of(batch, "text")], dtype=float).reshape(-1, FEATURES)
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(model.scores(x))], [*keep, "score"])
 
-    return df.select(*keep, "text").mapInArrow(run, schema + ", score double")
+    return df.select(*keep, "text").mapInArrow(run, extended(df, keep, score=DoubleType()))
 
 
 def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -251,3 +248,8 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     model = fit(docs, labels)
     scored = score(model, docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), ("doc_id",))
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+
+
+def good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` that score ``threshold`` or more, with all their columns."""
+    return score(fit(docs, labels), packed(docs), ("row",)).filter(F.col("score") >= threshold).select("row.*")

@@ -22,10 +22,11 @@ from itertools import combinations, repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
-from natal.llm.common import rows_of, tasks, written
+from natal.llm.common import extended, packed, rows_of, tasks, written
 from natal.llm.components import components
 
 SHINGLE = 3
@@ -55,15 +56,15 @@ def fingerprint(text: str | None, size: int = SHINGLE) -> int:
     return int(np.packbits(2 * ones > len(h), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp) with the fingerprint as a signed 64-bit number."""
+def fingerprints(df: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """``keep`` and ``fp``: the fingerprint of ``text`` as a signed 64-bit number."""
 
     def run(batches):
         for batch in batches:
             fp = np.array([fingerprint(t) for t in rows_of(batch, "text")], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(fp)], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(fp)], [*keep, "fp"])
 
-    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "doc_id bigint, fp bigint")
+    return df.select(*keep, "text").mapInArrow(run, extended(df, keep, fp=LongType()))
 
 
 def grids(blocks: int = BLOCKS, distance: int = DISTANCE) -> list[int]:
@@ -180,17 +181,42 @@ def near_links(prints: DataFrame, blocks: int = BLOCKS, block: int = BLOCK) -> D
     return dealt.mapInArrow(run, "a bigint, b bigint")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp, component_id) for every row of ``docs``."""
-    printed = written(fingerprints(docs), "simhash")
-    classes = written(printed.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-classes")
+def _classes(printed: DataFrame, doc_id) -> DataFrame:
+    """(fp, first_id, component, component_id) for every different fingerprint of ``printed``."""
+    classes = written(printed.groupBy("fp").agg(F.min(doc_id).alias("first_id")), "simhash-classes")
     of = components(near_links(classes.select("fp")), "simhash-links").withColumnRenamed("node", "fp")
     reached = classes.join(of, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     named = reached.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    classes = reached.join(named, "component").select("fp", "component_id")
+    return reached.join(named, "component")
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """(doc_id, fp, component_id) for every row of ``docs``."""
+    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    printed = written(fingerprints(docs), "simhash")
+    classes = _classes(printed, F.col("doc_id")).select("fp", "component_id")
     return printed.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """One row of each component, with all its columns: the one with the smallest doc_id.
+
+    A component without any id keeps a row of its smallest fingerprint; of rows that share the
+    smallest id, the smallest fingerprint, and of equal ones any, stays.
+    """
+    printed = written(fingerprints(packed(docs), ("row",)), "simhash-rows")
+    doc_id = F.col("row.doc_id").cast("bigint")
+    classes = _classes(printed, doc_id).filter(F.col("first_id").eqNullSafe(F.col("component_id")))
+    winners = classes.groupBy("component").agg(F.min("fp").alias("fp"), F.first("component_id").alias("stays"))
+    kept = printed.join(winners.select("fp", "stays"), "fp").filter(doc_id.eqNullSafe(F.col("stays"))).select("fp", "row")
+    # Only rows repeated with id and fingerprint are left to choose from: seldom any.
+    again = kept.groupBy("fp").count().filter("count > 1").select("fp", F.lit(True).alias("again"))
+    marked = kept.join(again, "fp", "left")
+    number = F.row_number().over(Window.partitionBy("fp").orderBy(F.xxhash64("row.text")))
+    once = marked.filter("again").withColumn("number", number).filter("number = 1").select("row")
+    return marked.filter("again is null").select("row").unionByName(once).select("row.*")
+
+
 def near_duplicate_report(docs: DataFrame) -> DataFrame:
     """The query's columns: the fingerprint as 16 hexadecimal digits."""
     return near_duplicates(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

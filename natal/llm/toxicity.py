@@ -26,8 +26,9 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
-from natal.llm.common import rows_of, written
+from natal.llm.common import extended, packed, rows_of, written
 from natal.llm.labelled import held_out, sample
 
 #: Labelled rows to learn from, at most.
@@ -152,8 +153,6 @@ def lexicon(rows: DataFrame, keep: int = LEXICON) -> Lexicon:
 
 def featured(df: DataFrame, words: Lexicon, keep: tuple[str, ...]) -> DataFrame:
     """The columns ``keep`` and ``features`` (array of doubles) for every row with a ``text``."""
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name in keep)
-
     def run(batches):
         by_word, by_stem = words.readers()
         for batch in batches:
@@ -162,7 +161,7 @@ def featured(df: DataFrame, words: Lexicon, keep: tuple[str, ...]) -> DataFrame:
             lists = pa.ListArray.from_arrays(offsets, pa.array(rows.ravel()))
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], lists], [*keep, "features"])
 
-    return df.select(*keep, "text").mapInArrow(run, schema + ", features array<double>")
+    return df.select(*keep, "text").mapInArrow(run, extended(df, keep, features=ArrayType(DoubleType())))
 
 
 @dataclass
@@ -211,3 +210,8 @@ def score_documents(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) ->
     """The query's columns for every document."""
     scored = fit(docs, labels, bound=bound).score(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), ("doc_id",))
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+
+
+def clean(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, bound: int = SAMPLE) -> DataFrame:
+    """The rows of ``docs`` that score below ``threshold``, with all their columns."""
+    return fit(docs, labels, bound=bound).score(packed(docs), ("row",)).filter(F.col("score") < threshold).select("row.*")
