@@ -110,20 +110,22 @@ def samples(docs: DataFrame, labels: DataFrame, label: str, positives: int, unla
     return docs.select(ids, F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id").select("positive", "text")
 
 
-def prior(positive: np.ndarray, unlabelled: np.ndarray, margin: float = 1.0) -> float:
+def prior(positive: np.ndarray, unlabelled: np.ndarray, margin: float = 2.0) -> float:
     """Share of positives among the unlabelled, from scores of both samples.
 
     Above any cut, unlabelled rows hold at least p times the share of positives there; the cut
-    where the ratio is smallest, chance allowed for, bounds p best.
+    where the ratio is smallest, chance allowed for, bounds p best. Cuts leave at least 30 % of the
+    positives above, so that no ratio rests on a few rows.
     """
     if not len(positive) or not len(unlabelled):
         return float(len(positive) > 0)
-    grid = np.unique(np.quantile(positive, np.linspace(0, 0.99, 200)))
+    grid = np.unique(np.quantile(positive, np.linspace(0, 0.7, 200)))
     above_p = 1 - np.searchsorted(np.sort(positive), grid, side="left") / len(positive)
     above_u = 1 - np.searchsorted(np.sort(unlabelled), grid, side="left") / len(unlabelled)
-    slack = margin * np.sqrt(above_u * (1 - above_u) / len(unlabelled) + 1 / (4 * len(unlabelled)))
-    ratio = (above_u + slack) / np.maximum(above_p, 1e-9)
-    best = np.argmin(ratio)
+    ratio = above_u / np.maximum(above_p, 1e-9)
+    # Standard error of the ratio, from both samples.
+    noise = np.sqrt((1 - above_u) / np.maximum(above_u, 1e-9) / len(unlabelled) + (1 - above_p) / np.maximum(above_p, 1e-9) / len(positive))
+    best = np.argmin(ratio * (1 + margin * noise))
     return float(np.clip(above_u[best] / above_p[best], 0.02, 0.99))
 
 
@@ -145,6 +147,8 @@ class Model:
         return self.constant + sum((w[b] for w, b in zip(self.weights, self.bins(x))), np.zeros(len(x)))
 
     def scores(self, x: np.ndarray) -> np.ndarray:
+        if not self.prior:  # one of the samples was empty
+            return np.full(len(x), self.chance[0])
         g = self.odds(x)
         # Between the steps chances are joined as log odds; a small share of the plain logistic
         # keeps the order inside a step.

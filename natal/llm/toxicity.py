@@ -153,6 +153,7 @@ def lexicon(rows: DataFrame, keep: int = LEXICON) -> Lexicon:
 
 def featured(df: DataFrame, words: Lexicon, keep: tuple[str, ...]) -> DataFrame:
     """The columns ``keep`` and ``features`` (array of doubles) for every row with a ``text``."""
+
     def run(batches):
         by_word, by_stem = words.readers()
         for batch in batches:
