@@ -17,12 +17,17 @@ def snake_case(name: str) -> str:
 
 
 def clean_names(names: Sequence[str]) -> list[str]:
-    """Snake case; later duplicates get ``_2``, ``_3`` and so on."""
-    seen: dict[str, int] = {}
-    out = []
-    for name in map(snake_case, names):
-        seen[name] = seen.get(name, 0) + 1
-        out.append(name if seen[name] == 1 else f"{name}_{seen[name]}")
+    """Snake case; later duplicates get ``_2``, ``_3`` and so on, past names that are taken."""
+    cleaned = [snake_case(n) for n in names]
+    seen, taken, out = dict.fromkeys(cleaned, 0), set(cleaned), []
+    for name in cleaned:
+        seen[name] += 1
+        new = name
+        if seen[name] > 1:
+            while (new := f"{name}_{seen[name]}") in taken:
+                seen[name] += 1
+        taken.add(new)
+        out.append(new)
     return out
 
 

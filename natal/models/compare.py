@@ -188,7 +188,8 @@ def stacking_weights(points: DataFrame, models: Sequence[str], max_steps: int =
                 *[F.sum(F.col("n") * u[j] * u[l]).alias(f"h{j}_{l}") for j in range(k) for l in range(j, k)],
             ).first()
             grad = np.array([row[f"g{j}"] for j in range(k)]) / total
-            if grad.max() - 1 < tol:  # optimality gap of the mean log score
+            gap = grad.max() - 1  # optimality gap of the mean log score
+            if gap < tol:
                 break
             curve = np.array([[row[f"h{min(j, l)}_{max(j, l)}"] for l in range(k)] for j in range(k)]) / total
             target = _quadratic_step(curve, 1 - grad, w)
@@ -198,8 +199,12 @@ def stacking_weights(points: DataFrame, models: Sequence[str], max_steps: int =
             scores = data.agg(*[F.sum(F.col("n") * F.log(_mixture(t))) for t in [w, *trial]]).first()
             best = int(np.argmax([s if s is not None else -np.inf for s in scores]))
             if best == 0:
-                break
+                if gap < 1e-6:  # as good as sums of doubles can tell
+                    break
+                raise RuntimeError(f"no step improves the stacking weights; the optimality gap is {gap:g}")
             w = trial[best - 1]
+        else:
+            raise RuntimeError(f"stacking weights did not converge in {max_steps} steps")
         return literal_table(
             points.sparkSession, {"model": list(models), "weight": [float(x) for x in w]}, "model string, weight double"
         )
@@ -211,15 +216,30 @@ def _mixture(w: np.ndarray):
     return sum((F.col(f"e{j}") * float(v) for j, v in enumerate(w)), F.lit(0.0))
 
 
-def _quadratic_step(curve: np.ndarray, slope: np.ndarray, w: np.ndarray, sweeps: int = 2000) -> np.ndarray:
-    """Minimise the local quadratic over non-negative weights, one coordinate at a time."""
-    curve = curve + 1e-10 * np.eye(len(w))
-    x = w.copy()
-    for _ in range(sweeps):
-        before = x.copy()
-        for j in range(len(x)):
-            g = slope[j] + curve[j] @ (x - w)
-            x[j] = max(0.0, x[j] - g / curve[j, j])
-        if np.abs(x - before).max() < 1e-13:
-            break
-    return x
+def _quadratic_step(curve: np.ndarray, slope: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Minimise the local quadratic over non-negative weights.
+
+    Active sets as in non-negative least squares (Lawson and Hanson 1974): weights enter one by
+    one, and those that a step would make negative leave again.
+    """
+    k = len(w)
+    curve = curve + 1e-10 * np.eye(k)
+    target = curve @ w - slope
+    x, free = np.zeros(k), np.zeros(k, dtype=bool)
+    for _ in range(30 * k):
+        pull = target - curve @ x
+        pull[free] = -np.inf
+        if pull.max() < 1e-12:
+            return x
+        free[pull.argmax()] = True
+        while True:
+            s = np.zeros(k)
+            s[free] = np.linalg.solve(curve[np.ix_(free, free)], target[free])
+            low = free & (s <= 0)
+            if not low.any():
+                x = s
+                break
+            x = x + (x[low] / (x[low] - s[low])).min() * (s - x)
+            free &= x > 1e-14
+            x[~free] = 0.0
+    raise RuntimeError("the quadratic step did not settle")

@@ -6,7 +6,6 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +13,8 @@ from natal.models.draws import DrawMatrix
 from natal.models.patterns import TRIALS
 from natal.models.scoring import eta_of, logistic, map_blocks
 
+_KEY = "_natal_key"
+
 
 def average_marginal_effect(
     patterns: DataFrame, draws: DrawMatrix, x: str, prop: float = 1.0, seed: int = 42, weight: str = TRIALS
@@ -21,18 +22,22 @@ def average_marginal_effect(
     """Average of ``beta_x * p * (1 - p)`` over respondents, one row per draw.
 
     ``prop`` below 1 averages over a random share of the respondents, where the caller wants
-    that: each one is kept with this probability, also within a counted pattern. Each task
-    sends one partial sum per draw.
+    that: each one is kept with this probability, also within a counted pattern. The choice hangs
+    on the seed and the pattern alone, so it is the same at any partitioning. Patterns with an
+    unknown predictor are left out. Each task sends one partial sum per draw.
     """
     at = draws.terms.index(x)
+    patterns = patterns.na.drop("any", subset=list(draws.predictors))
+    if prop < 1:
+        keys = sorted(c for c in patterns.columns if not c.startswith("_natal"))
+        patterns = patterns.withColumn(_KEY, F.xxhash64(*keys))
 
     def score(blocks, d):
         total, n = np.zeros(len(d)), 0.0
-        for i, block in enumerate(blocks):
+        for block in blocks:
             w = block[weight].to_numpy(dtype=float)
             if prop < 1:
-                stream = np.array([seed, TaskContext.get().partitionId() * 2**32 + i], dtype=np.uint64)
-                w = np.random.Generator(np.random.Philox(key=stream)).binomial(w.astype("int64"), prop).astype(float)
+                w = np.array([_thinned(seed, int(k), int(n), prop) for k, n in zip(block[_KEY], w)], dtype=float)
             p = logistic(eta_of(block, d))
             total += w @ (p * (1 - p))
             n += w.sum()
@@ -43,6 +48,12 @@ def average_marginal_effect(
     return partial.groupBy("draw").agg((F.sum("s") / F.sum("n")).alias("ame"))
 
 
+def _thinned(seed: int, key: int, n: int, prop: float) -> int:
+    """How many of ``n`` respondents of a pattern are kept."""
+    stream = np.array([seed, key], dtype=np.int64).astype(np.uint64)
+    return int(np.random.Generator(np.random.Philox(key=stream)).binomial(n, prop))
+
+
 def effect_curve(
     patterns: DataFrame, draws: DrawMatrix, x: str, width: float = 0.9, points: int = 100, weight: str = TRIALS
 ) -> DataFrame:
@@ -51,6 +62,7 @@ def effect_curve(
     Median and equal-tailed band per grid point; group effects are left out.
     """
     others = [p for p in draws.predictors if p != x]
+    patterns = patterns.na.drop("any", subset=list(draws.predictors))
     stats = patterns.agg(
         F.min(x).alias("_lo"),
         F.max(x).alias("_hi"),

@@ -94,7 +94,7 @@ def fit_logit(
     """
     terms = (INTERCEPT, *predictors)
     k = len(terms)
-    data = pattern_counts(df, outcome, predictors) if patterns is None else patterns
+    data = pattern_counts(df, outcome, predictors) if patterns is None else patterns.na.drop("any", subset=list(predictors))
     data = data.persist()
     try:
         penalty = np.diag(priors.precision(k))
@@ -115,5 +115,4 @@ def fit_logit(
             beta = beta + move
         raise RuntimeError(f"no convergence in {max_steps} steps; a predictor may separate the outcome")
     finally:
-        if patterns is None:
-            data.unpersist()
+        data.unpersist()

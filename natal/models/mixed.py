@@ -26,9 +26,14 @@ from natal.models.scoring import CROSS, CURVES, MODES, STREAM, group_offsets, ma
 from natal.operators.joins import lookup_join
 from natal.session import cut_lineage
 
-COARSE = tuple(np.exp(np.linspace(np.log(0.02), np.log(4.0), 9)))
+#: Group SDs at which the search for the posterior mass starts; it goes beyond them where it must.
+COARSE = (0.02, 4.0)
+POINTS = 11
+#: Points that the final grid has inside the posterior mass, at least; and where the mass leans
+#: to one side, as it does for an SD near zero.
+INSIDE, INSIDE_LEANING = 6, 40
 GROUP = "_grp"
-DEPTH = 6.0  # log-posterior drop at which the fine grid ends
+DEPTH = 6.0  # log-posterior drop at which the grid may end
 
 
 @dataclass(frozen=True)
@@ -71,13 +76,15 @@ def fit_random_intercept(
     priors: Priors | None = None,
     sds: Sequence[float] | None = None,
     patterns: DataFrame | None = None,
-    max_steps: int = 30,
+    max_steps: int = 40,
     tol: float = 1e-6,
+    max_grids: int = 20,
 ) -> MixedFit:
     """Fit ``outcome ~ predictors + (1 | group)``.
 
-    ``sds`` fixes the grid of group SDs; by default a coarse grid is refined once around
-    the posterior mass.
+    ``sds`` fixes the grid of group SDs. By default an evenly spaced grid of log SDs is moved,
+    widened and narrowed until its ends lie ``DEPTH`` below the best point and ``INSIDE`` points
+    hold the mass between, however many groups make it narrow.
     """
     priors = priors or Priors()
     data = pattern_counts(df, outcome, predictors, group) if patterns is None else patterns
@@ -92,15 +99,19 @@ def fit_random_intercept(
         start = fit_logit(data, outcome, inner, priors, patterns=data)
         n_groups = groups.count()
         job = _Newton(data, (INTERCEPT, *inner), priors, n_groups, max_steps, tol)
-        grid = np.array(sds if sds is not None else COARSE)
-        state = groups.withColumn("b", F.lit(0.0))
+        state = groups.select(GROUP, F.lit(0.0).alias("b"), F.lit(0.0).alias("p"))
+        grid = np.array(sds) if sds is not None else np.exp(np.linspace(*np.log(COARSE), POINTS))
         fit = job.run(grid, np.tile(start.mode, (len(grid), 1)), state, per_point=False)
-        if sds is None:
-            fine = _refine(grid, fit.log_post)
-            near = np.abs(np.log(fine)[:, None] - np.log(grid)[None, :]).argmin(axis=1)
-            state = _restart(fit.blocks, near)
-            fit = job.run(fine, fit.beta[near], state, per_point=True)
-            grid = fine
+        for _ in range(max_grids if sds is None else 0):
+            log_sds = next_grid(np.log(grid), fit.log_post)
+            if log_sds is None:
+                break
+            near = np.abs(log_sds[:, None] - np.log(grid)[None, :]).argmin(axis=1)
+            grid = np.exp(log_sds)
+            fit = job.run(grid, fit.beta[near], _restart(fit.blocks, near), per_point=True)
+        else:
+            if sds is None:
+                raise RuntimeError(f"the posterior of the group SD was not enclosed in {max_grids} grids")
         weights = np.exp(fit.log_post - fit.log_post.max())
         return MixedFit(
             (INTERCEPT, *predictors), group, grid, weights / weights.sum(), fit.beta, fit.covs, fit.table(group), n_groups, start.nobs, priors
@@ -116,18 +127,24 @@ def _array(values: np.ndarray) -> str:
     return f"array({', '.join(parts)})"
 
 
-def _refine(grid: np.ndarray, log_post: np.ndarray, points: int = 9) -> np.ndarray:
-    """Evenly spaced log SDs over the stretch that holds the posterior mass."""
-    x = np.linspace(np.log(grid[0]), np.log(grid[-1]), 400)
-    inside = x[np.interp(x, np.log(grid), log_post) > log_post.max() - DEPTH]
-    return np.exp(np.linspace(inside[0], inside[-1], points))
+def next_grid(x: np.ndarray, log_post: np.ndarray, points: int = POINTS) -> np.ndarray | None:
+    """Log SDs to try after ``x``; ``None`` where ``x`` encloses the mass with enough points inside."""
+    inside = np.flatnonzero(log_post > log_post.max() - DEPTH)
+    first, last, width = inside[0], inside[-1], x[-1] - x[0]
+    if first == 0 or last == len(x) - 1:
+        return np.linspace(x[0] - width * (first == 0), x[-1] + width * (last == len(x) - 1), points)
+    sides = sorted((x[last] - x[log_post.argmax()], x[log_post.argmax()] - x[first]))
+    leaning = len(inside) >= INSIDE and sides[1] > 1.5 * sides[0] + x[1] - x[0]
+    if len(inside) >= (INSIDE_LEANING if leaning else INSIDE):
+        return None
+    return np.linspace(x[first - 1], x[last + 1], INSIDE_LEANING + 6 if leaning else points)
 
 
 def _restart(blocks: DataFrame, near: np.ndarray) -> DataFrame:
     """Start values for a new grid: the effects found at the nearest old grid point."""
     targets = [[int(t) for t in np.flatnonzero(near == s)] for s in range(int(near.max()) + 1)]
     return blocks.filter(F.col("s") <= int(near.max())).select(
-        GROUP, F.explode(F.get(F.lit(targets).cast("array<array<int>>"), F.col("s"))).alias("s"), "b"
+        GROUP, F.explode(F.get(F.lit(targets).cast("array<array<int>>"), F.col("s"))).alias("s"), "b", F.col("b").alias("p")
     )
 
 
@@ -169,13 +186,14 @@ class _Newton:
         rows = lookup_join(self.data.select("*", points), state, keys, "inner", self.n_groups * (m if per_point else 1))
         coef = f"get({_array(beta)}, s)"
         eta = " + ".join(["b", f"get({coef}, 0)", *[f"get({coef}, {j}) * `{t}`" for j, t in enumerate(self.terms[1:], 1)]])
-        rows = scored(rows, self.terms, eta, [GROUP, "s", "b"])
-        return rows.groupBy(GROUP, "s").agg(F.first("b").alias("b"), *score_sums(self.k))
+        rows = scored(rows, self.terms, eta, [GROUP, "s", "b", "p"])
+        return rows.groupBy(GROUP, "s").agg(F.first("b").alias("b"), F.first("p").alias("p"), *score_sums(self.k))
 
     def run(self, sds: np.ndarray, beta: np.ndarray, state: DataFrame, per_point: bool) -> _Point:
         k, m = self.k, len(sds)
         penalty = np.diag(self.priors.precision(k))
         tau = f"get({_array(1.0 / sds**2)}, s)"
+        reached, before = np.full(m, -np.inf), beta
         for _ in range(self.max_steps):
             sums = self.block_sums(m, beta, state, per_point)
             # Kept outside the executors and without history, so a lost one costs one step at most.
@@ -186,15 +204,23 @@ class _Newton:
             schur = np.array(
                 [[[r[f"h{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)] for r in reduced]
             ) + penalty
+            value = np.array([r["ll"] for r in reduced]) - 0.5 * np.array([r["bb"] for r in reduced]) / sds**2
+            value -= 0.5 * np.einsum("sk,kl,sl->s", beta, penalty, beta)
+            over = value < reached - 1e-9 * np.abs(reached)  # overshot: these points go back half way
             move = np.linalg.solve(schur, grad[:, :, None])[:, :, 0]
             # Newton decrement of the joint step: coefficients after elimination, plus group effects.
             gain = np.einsum("sk,sk->s", move, grad) + np.array([r["own"] for r in reduced])
-            if gain.max() < self.tol:
+            if gain.max() < self.tol and not over.any():
                 log_post = self.log_posterior(sds, beta, reduced, schur)
                 return _Point(beta, np.linalg.inv(schur), log_post, blocks, k)
             shift = " + ".join(f"h0_{j} * get(get({_array(move)}, s), {j})" for j in range(k))
-            state = blocks.selectExpr(GROUP, "s", f"b + (r - ({shift})) / d AS b")
-            beta, per_point = beta + move, True
+            back = f"get(array({', '.join('true' if o else 'false' for o in over)}), s)"
+            state = blocks.selectExpr(
+                GROUP, "s", f"if({back}, (b + p) / 2, b + (r - ({shift})) / d) AS b", f"if({back}, p, b) AS p"
+            )
+            reached = np.where(over, reached, value)
+            beta, before = np.where(over[:, None], (beta + before) / 2, beta + move), np.where(over[:, None], before, beta)
+            per_point = True
         raise RuntimeError(f"no convergence in {self.max_steps} steps")
 
     def schur_sums(self):

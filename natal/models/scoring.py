@@ -74,7 +74,7 @@ def map_blocks(
     schema: str,
 ) -> DataFrame:
     """Run ``reduce`` over memory-bounded blocks with the draws shipped once per executor."""
-    shared = df.sparkSession.sparkContext.broadcast(draws)  # bounded by MAX_CELLS per model
+    shared = df.sparkSession.sparkContext.broadcast(draws)  # draws times terms per model
     width = max(len(d) for d in draws.values()) if isinstance(draws, Mapping) else len(draws)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

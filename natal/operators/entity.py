@@ -33,9 +33,12 @@ def attach_code(
 ) -> DataFrame:
     """Numeric code of a named entity; manual overrides win over the lookup.
 
-    ``names`` holds columns ``name`` and ``code``, with one row per entity name.
+    ``names`` holds columns ``name`` and ``code``. Names that compare as equal must have one code;
+    where they have several, joining fails instead of repeating rows.
     """
-    lookup = names.select(name_key("name").alias("_key"), F.col("code").cast("int").alias(code))
+    keyed_names = names.select(name_key("name").alias("_key"), F.col("code").cast("int").alias(code))
+    one = F.when(F.count_distinct(code) > 1, F.raise_error(F.concat(F.lit("several codes for the name "), F.col("_key")))).otherwise(F.max(code))
+    lookup = keyed_names.groupBy("_key").agg(one.cast("int").alias(code))
     keyed = lookup_join(df.withColumn("_key", name_key(name)), lookup, ["_key"], "left", rows).drop("_key")
     return keyed.withColumn(code, override(code, name, overrides)) if overrides else keyed
 

@@ -50,14 +50,15 @@ def standardize(
     if weight is None:
         parts = {c: (F.avg(known(c)), F.stddev_samp(known(c))) for c in columns}
     else:
-        n = F.col(weight)
-        means = df.agg(F.struct(*[(F.sum(n * F.col(c)) / F.sum(n)).alias(c) for c in columns])).scalar()
+        # A row counts for a column only where that column is known.
+        of = {c: F.when(known(c).isNotNull(), F.col(weight)) for c in columns}
+        means = df.agg(F.struct(*[F.try_divide(F.sum(n * known(c)), F.sum(n)).alias(c) for c, n in of.items()])).scalar()
         parts = {
             c: (
                 F.first(means.getField(c)),
-                F.sqrt(F.try_divide(F.sum(n * F.pow(F.col(c) - means.getField(c), 2)), F.sum(n) - 1)),
+                F.sqrt(F.try_divide(F.sum(n * F.pow(known(c) - means.getField(c), 2)), F.sum(n) - 1)),
             )
-            for c in columns
+            for c, n in of.items()
         }
     stats = df.agg(
         F.struct(*[p for c, (m, s) in parts.items() for p in (m.alias(f"m_{c}"), s.alias(f"s_{c}"))])

@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 BROADCAST_BYTES = 64 * 1024 * 1024
-HEAVY_KEYS = 5_000
 _HASH, _SPLITS, _SALT = "_natal_hash", "_natal_splits", "_natal_salt"
 
 
@@ -84,10 +83,11 @@ def derived_lookup_join(fact: DataFrame, lookup: DataFrame, on: Sequence[str], h
 def heavy_keys(df: DataFrame, on: Sequence[str], partitions: int) -> DataFrame | None:
     """Hashes of keys above half a fair partition share, with the number of splits each needs.
 
-    One pass with a frequent-items sketch, so no key is shuffled. The result has at most
-    ``HEAVY_KEYS`` rows. It steers the split only; which rows come out never depends on it.
+    One pass with a frequent-items sketch, so no key is shuffled. At most ``2 * partitions`` keys
+    can hold more than half a share, and the sketch is sized for as many. It steers the split
+    only; which rows come out never depends on it.
     """
-    k = min(2 * partitions, HEAVY_KEYS)
+    k = 2 * partitions
     found = (
         df.select(F.xxhash64(*on).alias(_HASH))
         .agg(F.expr(f"approx_top_k({_HASH}, {k}, {max(16 * k, 1024)})").alias("top"), F.count("*").alias("n"))
@@ -127,7 +127,7 @@ def salted_join(
     heavy = heavy_keys(left, on, partitions)
     if heavy is None:
         return left.join(right, on, how)
-    heavy = F.broadcast(heavy)  # at most HEAVY_KEYS rows
+    heavy = F.broadcast(heavy)  # at most 2 * partitions rows of two numbers
     salted_left = (
         left.withColumn(_HASH, F.xxhash64(*on))
         .join(heavy, _HASH, "left")
@@ -160,18 +160,23 @@ def null_safe_join(fact: DataFrame, lookup: DataFrame, on: Sequence[str], how: s
     types = {f.name: f.dataType for f in fact.schema}
 
     def filled(df):
+        # Any value of the right type serves where the flag says that the key is missing.
+        keys_ = {c: F.col(c).try_cast(types[c]) for c in on}
         return df.withColumns(
             {flag: F.col(c).isNull() for flag, c in zip(flags, on)}
-            | {f"_natal_key_{c}": F.coalesce(F.col(c).cast(types[c]), F.lit(_zero(types[c])).cast(types[c])) for c in on}
+            | {f"_natal_key_{c}": F.coalesce(k, F.lit(_ZEROS.get(types[c].typeName(), "0")).cast(types[c])) for c, k in keys_.items()}
+            | {f"_natal_odd_{c}": F.col(c).isNotNull() & k.isNull() for c, k in keys_.items()}
         )
 
-    keys = [*flags, *[f"_natal_key_{c}" for c in on]]
+    # A lookup key that is no value of the fact's type matches nothing.
+    odd = [f"_natal_odd_{c}" for c in on]
+    keys = [*flags, *[f"_natal_key_{c}" for c in on], *odd]
     joined = lookup_join(filled(fact), filled(lookup).drop(*on), keys, how, rows)
     return joined.drop(*keys)
 
 
-def _zero(dtype: T.DataType):
-    return "" if isinstance(dtype, T.StringType) else 0
+#: A value of each type, written as text.
+_ZEROS = {"string": "", "date": "1970-01-01", "timestamp": "1970-01-01 00:00:00", "timestamp_ntz": "1970-01-01 00:00:00", "boolean": "false"}
 
 
 def enrich(fact: DataFrame, cross_sections: Sequence[DataFrame], on: str) -> DataFrame:

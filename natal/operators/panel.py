@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from natal.functions.columns import mean, to_number
 from natal.functions.names import period_name
-from natal.operators.joins import lookup_join, literal_table
+from natal.operators.joins import derived_lookup_join, literal_table, lookup_join
 from natal.rules import Splice
 
 
@@ -60,6 +60,8 @@ def splice(
     Rows outside an entity's kept years go; an entity without a rule is untouched.
     """
     rules = list(rules)
+    if len({r.entity for r in rules}) < len(rules):
+        raise ValueError("an entity has two rules, which would repeat its rows")
     table = literal_table(
         panel.sparkSession,
         {
@@ -89,14 +91,14 @@ def duplicate_keys(df: DataFrame, keys: Sequence[str], count: str = "dupe_count"
 
 def duplicate_rows(df: DataFrame, keys: Sequence[str], count: str = "dupe_count") -> DataFrame:
     """All rows whose key repeats, with the count attached."""
-    from natal.operators.joins import derived_lookup_join
-
     return derived_lookup_join(df, duplicate_keys(df, keys, count), keys, "inner")
 
 
 def keep_panel(base: DataFrame, other: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Keep every row of ``base`` and add ``other`` where the composite key matches.
 
-    Missing years of ``base`` (before independence, say) drop the other panel's rows.
+    Missing years of ``base`` (before independence, say) drop the other panel's rows. A panel that
+    is counted and found small is broadcast; beyond that heavy and missing keys of ``base`` are
+    split over tasks.
     """
-    return base.join(other, list(keys), "left")
+    return derived_lookup_join(base, other, keys, "left")

@@ -14,6 +14,8 @@ DEFAULTS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Checkpoint files go as soon as nothing refers to them any more.
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     # Plans here have many columns; recording a call site for each costs more than it tells.
     "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
@@ -34,12 +36,14 @@ def tuned_session(app: str, master: str | None = None, **conf: str) -> SparkSess
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as named in ``spark.checkpoint.dir``.
 
-    A machine-local folder is used only where the setting is absent (tests, one machine).
+    A machine-local folder is used only where the setting is absent and all runs on one machine.
     """
     sc = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
         configured = sc.getCheckpointDir()
+    if not configured and not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors reach")
     if not configured:
         configured = tempfile.mkdtemp(prefix="natal-")
     if not sc.getCheckpointDir():

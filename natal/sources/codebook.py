@@ -42,15 +42,32 @@ def read_fixed_width(spark: SparkSession, path: str, layout: DataFrame, columns:
     return lines.select([_field(v).alias(v["var"]) for v in wanted.orderBy("start").collect()])
 
 
+def _text(v) -> Column:
+    return F.nullif(F.trim(F.substring("value", v["start"], v["end"] - v["start"] + 1)), F.lit(""))
+
+
 def _field(v) -> Column:
-    text = F.trim(F.substring("value", v["start"], v["end"] - v["start"] + 1))
-    text = F.nullif(text, F.lit(""))
+    text = _text(v)
     if v["type"] != "numeric":
         return text
     width = v["end"] - v["start"] + 1
     if v["decimals"]:
         return text.try_cast("double") / float(10 ** v["decimals"])
-    return text.try_cast("int" if width <= 9 else "bigint")
+    return text.try_cast("int" if width <= 9 else "bigint" if width <= 18 else "decimal(38,0)")
+
+
+def unread_fields(lines: DataFrame, layout: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """(var, n): numeric fields that hold something which is no number, and in how many lines."""
+    wanted = layout.filter(F.col("type") == "numeric")
+    wanted = wanted.filter(F.col("var").isin(columns)) if columns else wanted
+    fields = wanted.orderBy("start").collect()
+    counts = [
+        F.count_if(_text(v).isNotNull() & _field(v).isNull()).alias(v["var"]) for v in fields
+    ]
+    if not counts:
+        return lines.sparkSession.createDataFrame([], "var string, n bigint")
+    row = lines.agg(F.array(*[F.struct(F.lit(v["var"]).alias("var"), c.alias("n")) for v, c in zip(fields, counts)]).alias("a"))
+    return row.select(F.inline("a"))
 
 
 def with_label(df: DataFrame, labels: DataFrame, var: str, suffix: str = "_factor") -> DataFrame:

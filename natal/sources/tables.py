@@ -8,12 +8,13 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.utils import AnalysisException
 
 from natal.functions.columns import in_levels, nan_to_null
 from natal.functions.names import select_renamed
 
 NA = "NA"
+#: Quotes inside a quoted field are doubled, and a quoted field may hold line breaks.
+DIALECT = {"header": True, "nullValue": NA, "quote": '"', "escape": '"', "multiLine": True}
 
 
 def read_csv(
@@ -22,16 +23,21 @@ def read_csv(
     schema: str | T.StructType | None = None,
     sample: float | None = None,
     declared: Mapping[str, str] | None = None,
+    multiline: bool = True,
 ) -> DataFrame:
-    """CSV with header and ``NA`` for missing.
+    """CSV with header and ``NA`` for missing; quotes inside quoted fields are doubled.
+
+    A quoted field may hold line breaks, for which a file cannot be split between tasks. Where
+    no field does, ``multiline=False`` splits large files.
 
     With a schema there is one pass and the wanted columns are parsed only. Without one,
     types are inferred from all rows, or from a share of them with ``sample``; ``declared``
     fixes the types of some columns and leaves the others to inference.
     """
-    reader = spark.read.option("header", True).option("nullValue", NA)
+    dialect = DIALECT | {"multiLine": multiline}
+    reader = spark.read.options(**dialect)
     if schema is None:
-        guess = spark.read.option("header", True).option("nullValue", NA).option("inferSchema", True)
+        guess = spark.read.options(**dialect, inferSchema=True)
         schema = (guess.option("samplingRatio", sample) if sample else guess).csv(path).schema
     if declared:
         if isinstance(schema, str):
@@ -46,7 +52,7 @@ def _type(ddl: str | None) -> T.DataType | None:
 
 def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """CSV export with header and ``NA`` for missing; one file per partition."""
-    df.write.mode(mode).option("header", True).option("nullValue", NA).csv(path)
+    df.write.mode(mode).options(**{k: v for k, v in DIALECT.items() if k != "multiLine"}).csv(path)
 
 
 def write_stage(df: DataFrame, path: str, mode: str = "errorifexists") -> DataFrame:
@@ -118,10 +124,12 @@ def read_panel(
 
 
 def load_or_compute(spark: SparkSession, path: str, compute: Callable[[], DataFrame]) -> DataFrame:
-    """Stored result of a fit or stage: read it if it is there, else compute and store it."""
-    try:
+    """Stored result of a fit or stage: read it if it is there whole, else compute and store it.
+
+    A folder without the mark of a finished write, as a crash leaves it, does not count and is
+    written over.
+    """
+    mark = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/_SUCCESS")
+    if mark.getFileSystem(spark._jsc.hadoopConfiguration()).exists(mark):
         return spark.read.parquet(path)
-    except AnalysisException as e:
-        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-            raise
-    return write_stage(compute(), path)
+    return write_stage(compute(), path, mode="overwrite")

@@ -1,5 +1,6 @@
 """Missing-value rules, recodes and names."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -143,3 +144,15 @@ def test_flag(spark):
 def test_literal_table_has_known_size(spark):
     df = literal_table(spark, {"a": [1, None], "b": ["x", "y"]}, "a int, b string")
     assert df.schema.simpleString() == "struct<a:int,b:string>" and df.count() == 2
+
+
+def test_clean_names_never_collide():
+    assert names.clean_names(["a", "a_2", "a"]) == ["a", "a_2", "a_3"]
+    assert names.clean_names(["a", "a", "a_2", "a_2"]) == ["a", "a_3", "a_2", "a_2_2"]
+
+
+def test_weighted_standardize_with_unknown_values(spark):
+    df = spark.createDataFrame([(1.0, 2), (3.0, 2), (None, 50), (float("nan"), 7)], "x double, n int")
+    out = {r.x: r.x_z for r in frame.standardize(df, ["x"], weight="n").collect() if r.x is not None and r.x == r.x}
+    sd = np.std([1, 1, 3, 3], ddof=1)
+    assert out == pytest.approx({1.0: -1 / sd, 3.0: 1 / sd})

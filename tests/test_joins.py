@@ -88,3 +88,25 @@ def test_unmatched_and_unique(spark, lookup):
 def test_enrich_keeps_row_count(hot, lookup):
     out = joins.enrich(hot, [lookup, lookup.withColumnRenamed("w", "w2")], "k")
     assert out.count() == hot.count() and out.columns == ["k", "v", "w", "w2"]
+
+
+def test_null_safe_join_of_other_types(spark):
+    import datetime as dt
+
+    day, when = dt.date(2020, 1, 2), dt.datetime(2020, 1, 2, 3)
+    rows = [(day, when, True), (None, None, None), (day, when, False)]
+    for c, k in (("d", 0), ("t", 1), ("b", 2)):
+        left = spark.createDataFrame(rows, "d date, t timestamp, b boolean").select(c)
+        right = spark.createDataFrame([(rows[0][k], 1), (None, 2)], f"{c} {left.dtypes[0][1]}, v int")
+        got = joins.null_safe_join(left, right, [c]).collect()
+        assert sorted((r[c] is None, r.v or 0) for r in got) == sorted((r[k] is None, 2 if r[k] is None else int(r[k] == rows[0][k])) for r in rows)
+    odd = joins.null_safe_join(spark.createDataFrame([(0,), (7,)], "k int"), spark.createDataFrame([("x", 1), ("7", 2)], "k string, v int"), ["k"])
+    assert sorted((r.k, r.v) for r in odd.collect() if r.v) == [(7, 2)]
+
+
+def test_keep_panel_with_many_missing_codes(spark):
+    from natal.operators.panel import keep_panel
+
+    base = spark.range(9000).selectExpr("if(id % 3 = 0, null, int(id % 50)) AS cowcode", "int(1990 + id % 7) AS year")
+    other = spark.range(350).selectExpr("int(id % 50) AS cowcode", "int(1990 + id % 7) AS year", "id AS v")
+    assert keep_panel(base, other, ["cowcode", "year"]).count() == base.join(other, ["cowcode", "year"], "left").count()

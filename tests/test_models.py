@@ -118,9 +118,9 @@ def test_draws_do_not_depend_on_partitions(spark, simulated):
     assert matrix_from_table(table.repartition(5), m.terms).values == pytest.approx(m.values)
 
 
-def test_draw_limit():
-    with pytest.raises(ValueError, match="limit"):
-        DrawMatrix(("Intercept",), np.zeros((3_000_000, 1)))
+def test_any_number_of_draws(spark):
+    draws = DrawMatrix(("Intercept", "x"), np.arange(1_500_000.0 * 2).reshape(-1, 2))
+    assert len(draws) == 1_500_000
 
 
 def test_effect_needs_no_compression(spark, simulated):
@@ -302,6 +302,84 @@ def test_patterns_are_spread_by_work(spark):
     df = spark.range(2000).coalesce(1).select(F.col("id").alias("x"), F.lit(1).alias("n"), F.lit(0.0).alias("hits"))
     out = spread_patterns(df, 2000)
     assert out.rdd.getNumPartitions() == 8 and out.count() == 2000
-    assert spread_patterns(df, 100) is df and spread_patterns(df, 10_000_000) is df
+    assert spread_patterns(df, 100) is df
+    assert spread_patterns(df, 10_000_000).rdd.getNumPartitions() == 20_000
     with pytest.raises(ValueError, match="taken"):
         pattern_counts(df, "hits", ["n"])
+
+
+def group_sd_posterior(b, var, x):
+    """Log posterior of log SDs for normal group effects known up to a variance."""
+    v = np.exp(2 * x)[:, None] + var
+    return -0.5 * (np.log(v) + b**2 / v).sum(axis=1) + x
+
+
+@pytest.mark.parametrize("groups", [8, 20, 150, 400, 2000])
+@pytest.mark.parametrize("sd", [0.01, 0.335, 6.0])
+def test_grid_encloses_the_group_sd(groups, sd):
+    rng = np.random.default_rng(groups)
+    b, var = rng.normal(0, np.hypot(sd, 0.1), groups), 0.01
+    x = np.linspace(*np.log(mixed.COARSE), mixed.POINTS)
+    for _ in range(20):
+        lp = group_sd_posterior(b, var, x)
+        new = mixed.next_grid(x, lp)
+        if new is None:
+            break
+        x = new
+    else:
+        pytest.fail("not enclosed")
+    assert 0 < lp.argmax() < len(x) - 1
+    assert lp[0] < lp.max() - mixed.DEPTH and lp[-1] < lp.max() - mixed.DEPTH
+    dense = np.linspace(x[0] - 1, x[-1] + 1, 20_001)
+    moments = []
+    for g, p in ((x, lp), (dense, group_sd_posterior(b, var, dense))):
+        w = np.exp(p - p.max())
+        w /= w.sum()
+        moments.append((w @ np.exp(g), np.sqrt(w @ np.exp(g) ** 2 - (w @ np.exp(g)) ** 2)))
+    assert moments[0] == pytest.approx(moments[1], rel=0.03)
+
+
+def test_group_sd_of_many_groups(spark):
+    """150 groups: the mass is narrow and lies off the first grid's points."""
+    df, _, _ = grouped(spark, 5, 150, 60, 0.335)
+    fit = mixed.fit_random_intercept(df, "y", ["x"], "g")
+    top = fit.weights.max()
+    assert fit.weights[0] < 0.01 * top and fit.weights[-1] < 0.01 * top
+    assert 0.2 < fit.sd < 0.5
+    dense = np.exp(np.linspace(np.log(fit.sds[0]), np.log(fit.sds[-1]), 41))
+    fine = mixed.fit_random_intercept(df, "y", ["x"], "g", sds=dense)
+    spread = lambda f: np.sqrt(f.weights @ f.sds**2 - f.sd**2)
+    assert fit.sd == pytest.approx(fine.sd, rel=0.02)
+    assert spread(fit) == pytest.approx(spread(fine), rel=0.05)
+
+
+def test_unknown_predictors_do_not_count(spark):
+    rng = np.random.default_rng(2)
+    n = 300
+    x, z = rng.normal(size=n), rng.normal(size=n)
+    y = (rng.random(n) < 1 / (1 + np.exp(-x))).astype(int)
+    rows = [(float(a), float(b), int(c)) for a, b, c in zip(x, z, y)]
+    spoiled = rows + [(None, 1.0, 1)] * 80 + [(2.0, float("nan"), 0)] * 70 + [(1.0, 1.0, None)] * 50
+    full, bad = (spark.createDataFrame(r, "x double, z double, y int") for r in (rows, spoiled))
+    one, two = fit_logit(full, "y", ["x", "z"]), fit_logit(bad, "y", ["x", "z"])
+    assert two.nobs == one.nobs == n and two.mode == pytest.approx(one.mode)
+    draws = draw_matrix(one, 50)
+    loose = bad.filter("y is not null").groupBy("x", "z").agg(F.count("y").alias("n"), F.sum("y").cast("double").alias("hits"))
+    want = {r.draw: r.ame for r in effects.average_marginal_effect(pattern_counts(full, "y", ["x", "z"]), draws, "x").collect()}
+    for counts in (pattern_counts(bad, "y", ["x", "z"]), loose):
+        assert {r.draw: r.ame for r in effects.average_marginal_effect(counts, draws, "x").collect()} == pytest.approx(want)
+        assert fit_logit(None, "y", ["x", "z"], patterns=counts).nobs == n
+    curves = [effects.effect_curve(c, draws, "x", points=5).toPandas().estimate.tolist() for c in (pattern_counts(full, "y", ["x", "z"]), loose)]
+    assert curves[0] == pytest.approx(curves[1])
+
+
+def test_sampled_effect_does_not_depend_on_partitions(spark, simulated):
+    counts = pattern_counts(simulated, "y", ["b"])
+    draws = draw_matrix(fit_logit(simulated, "y", ["b"]), 20)
+    runs = [effects.average_marginal_effect(counts.repartition(k), draws, "b", prop=0.3).orderBy("draw").toPandas().ame.tolist() for k in (1, 2, 7)]
+    assert runs[0] == pytest.approx(runs[1], rel=1e-12) and runs[0] == pytest.approx(runs[2], rel=1e-12)
+
+
+def test_stacking_reports_what_did_not_converge(spark):
+    with pytest.raises(RuntimeError, match="converge"):
+        compare.stacking_weights(points_frame(spark)[0], ["m0", "m1", "m2"], max_steps=1)

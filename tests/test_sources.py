@@ -92,3 +92,20 @@ def test_shared_dir_comes_from_the_session(spark):
     assert scratch_path(spark, "a") != scratch_path(spark, "a")
     cut = cut_lineage(spark.range(10).withColumn("x", F.col("id") * 2))
     assert cut.count() == 10 and "Range" not in cut._jdf.queryExecution().toString()
+
+
+def test_csv_with_quotes_and_line_breaks(spark, tmp_path):
+    rows = [(1, 'The "X", Y', 2), (2, "line\nbreak", None), (3, None, 4), (4, "a,b", 5), (5, '"', 6)]
+    df = spark.createDataFrame(rows, "id int, name string, n int")
+    tables.write_csv(df, str(tmp_path / "out"))
+    for schema in (df.schema, None):
+        assert sorted(map(tuple, tables.read_csv(spark, str(tmp_path / "out"), schema).collect())) == rows
+    (tmp_path / "r.csv").write_text('id,name,n\n1,"The ""X"", Y",2\n2,"two\nlines",NA\n')
+    assert [tuple(r) for r in tables.read_csv(spark, str(tmp_path / "r.csv")).collect()] == [(1, 'The "X", Y', 2), (2, "two\nlines", None)]
+
+
+def test_half_written_store_is_written_again(spark, tmp_path):
+    (tmp_path / "fit").mkdir()
+    (tmp_path / "fit" / "part-0.parquet").write_text("cut off")
+    for _ in range(2):
+        assert tables.load_or_compute(spark, str(tmp_path / "fit"), lambda: spark.range(3)).count() == 3
