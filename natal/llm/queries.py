@@ -28,10 +28,7 @@ def op3_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _WORDS = r"[^\x20\x09-\x0D]+"
 _PARTS = r"[A-Za-z]+|[0-9]+|[^A-Za-z0-9\x20\x09-\x0D]+"
-_TOKENIZERS = {
-    "words-1": F.regexp_count("text", F.lit(_WORDS)),
-    "parts-2": F.regexp_count("text", F.lit(_PARTS)),
-}
+_TOKENIZERS = {"words-1": _WORDS, "parts-2": _PARTS}
 
 
 _NOTICES = ("licensed under", "all rights reserved")
@@ -46,13 +43,14 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
         return ~(F.lower(line).contains(_NOTICES[0]) | F.lower(line).contains(_NOTICES[1]))
 
     cleaned = docs.withColumns({"text": F.array_join(F.filter(F.split("text", "\n"), plain), "\n"), "source": F.upper("source")})
-    first, second = token_rollup.counted(docs, _TOKENIZERS), token_rollup.counted(cleaned, _TOKENIZERS)
+    tokenizers = {version: F.regexp_count("text", F.lit(pattern)) for version, pattern in _TOKENIZERS.items()}
+    first, second = token_rollup.counted(docs, tokenizers), token_rollup.counted(cleaned, tokenizers)
     short = cleaned.filter(F.regexp_count("text", F.lit(_WORDS)) < 5)
     rollup = token_rollup.Rollup(spark, scratch_path(spark, "token-rollup"))
     revised = token_rollup.revisions(first, second)
     rollup.commit("1", token_rollup.inserts(first))
     rollup.commit("2", revised)
-    rollup.commit("3", token_rollup.deletes(token_rollup.counted(short, _TOKENIZERS)))
+    rollup.commit("3", token_rollup.deletes(token_rollup.counted(short, tokenizers)))
     rollup.commit("2", revised)
     return rollup.totals()
 
