@@ -203,7 +203,7 @@ def logit_random_intercept(spark, sf_dir):
     """Two predictors and a country effect, group SD integrated out."""
     data = counted(spark, sf_dir)
     fit = mixed.fit_random_intercept(data, "voted_re", X[:2], "cowcode", WEAK, patterns=data)
-    draws = mixed.mixed_draws(fit, 1000)
+    draws = mixed.mixed_draws(fit)
     fixed = draws_table(spark, draws, "dem_country")
     coefficients = summaries.tidy(fixed).drop("model")
     effects_ = summaries.random_effects(mixed.group_draws(fit, draws), width=0.9)
@@ -222,7 +222,7 @@ def posterior_draws(spark, sf_dir):
 
     def compute():
         data = counted(spark, sf_dir)
-        return draws_table(spark, draw_matrix(fit_logit(data, "voted_re", X[:2], patterns=data), 1000), "dem")
+        return draws_table(spark, draw_matrix(fit_logit(data, "voted_re", X[:2], patterns=data)), "dem")
 
     stored = load_or_compute(spark, path, compute)
     again = matrix_from_table(stored, ["Intercept", *X[:2]])
@@ -236,7 +236,7 @@ fold AS (
   SELECT model, cpsidp % {FOLDS} AS draw,
          count_if(x1 <= 0 AND y = 1) + 0.5 AS c, count_if(x1 <= 0 AND y = 0) + 0.5 AS d,
          count_if(x1 > 0 AND y = 1) + 0.5 AS a, count_if(x1 > 0 AND y = 0) + 0.5 AS b
-  FROM (SELECT 'base' AS model, * FROM est UNION ALL SELECT 'dem', * FROM est WHERE cowcode < 12) GROUP BY ALL),
+  FROM (SELECT 'base' AS model, * FROM est UNION ALL SELECT 'dem', * REPLACE (x2 AS x1) FROM est) GROUP BY ALL),
 draws AS (SELECT model, draw, 'Intercept' AS term, ln(c / d) AS value FROM fold
           UNION ALL SELECT model, draw, 'corrupt_z', ln(a * d / (b * c)) FROM fold),
 tidy AS (SELECT model, term, quantile_cont(value, 0.5) AS estimate, quantile_cont(value, 0.05) AS conf_low,
@@ -244,17 +244,18 @@ tidy AS (SELECT model, term, quantile_cont(value, 0.5) AS estimate, quantile_con
 
 
 def fold_draws(spark, sf_dir):
-    v = voters(spark, sf_dir).select("cpsidp", "cowcode", "voted_re", "fuzzy_corrupt")
-    z = standardize(v, ["fuzzy_corrupt"])
-    y, high = F.col("voted_re"), F.col("fuzzy_corrupt_z") > 0
-    models = F.array(F.lit("base"), F.when(F.col("cowcode") < 12, F.lit("dem")))
+    v = voters(spark, sf_dir).select("cpsidp", "voted_re", *RAW[:2])
+    z = standardize(v, RAW[:2])
+    y, high = F.col("voted_re"), F.col("m.z") > 0
+    # The base model splits by corruption, the other one by regime.
+    models = F.array(*[F.struct(F.lit(m).alias("model"), F.col(f"{c}_z").alias("z")) for m, c in zip(("base", "dem"), RAW)])
 
     def cell(side, outcome):
         return F.coalesce(F.sum(F.when(side, outcome)), F.lit(0)) + 0.5
 
     fold = (
-        z.withColumn("model", F.explode(F.array_compact(models)))
-        .groupBy("model", (F.col("cpsidp") % FOLDS).alias("draw"))
+        z.withColumn("m", F.explode(models))
+        .groupBy(F.col("m.model").alias("model"), (F.col("cpsidp") % FOLDS).alias("draw"))
         .agg(cell(~high, y).alias("c"), cell(~high, 1 - y).alias("d"), cell(high, y).alias("a"), cell(high, 1 - y).alias("b"))
     )
     wide = fold.select(
@@ -292,15 +293,13 @@ def coef_summary(spark, sf_dir):
              unnest(['estimate', 'interval']) AS statistic,
              unnest([printf('%.2f', estimate), printf('[%.2f, %.2f]', conf_low, conf_high)]) AS cell FROM tidy
       UNION ALL SELECT 'base', 5, 'Observations', 'n', CAST(count(*) AS VARCHAR) FROM vote
-      UNION ALL SELECT 'dem', 5, 'Observations', 'n', CAST(count(*) AS VARCHAR) FROM vote WHERE cowcode < 12)
+      UNION ALL SELECT 'dem', 5, 'Observations', 'n', CAST(count(*) AS VARCHAR) FROM vote)
     SELECT CAST(position AS INTEGER) AS position, label, statistic, max(cell) FILTER (WHERE model = 'base') AS base,
            max(cell) FILTER (WHERE model = 'dem') AS dem FROM cells GROUP BY ALL""",
 )
 def model_table(spark, sf_dir):
-    sizes = voters(spark, sf_dir).agg(F.count("*").alias("base"), F.count_if(F.col("cowcode") < 12).alias("dem")).first()
-    return summaries.model_table(
-        summaries.tidy(fold_draws(spark, sf_dir)), LABELS, ["base", "dem"], {"base": sizes["base"], "dem": sizes["dem"]}
-    )
+    n = voters(spark, sf_dir).count()
+    return summaries.model_table(summaries.tidy(fold_draws(spark, sf_dir)), LABELS, ["base", "dem"], {"base": n, "dem": n})
 
 
 @query("model_table_fitted")
@@ -309,7 +308,7 @@ def model_table_fitted(spark, sf_dir):
     data = counted(spark, sf_dir).persist()
     specs = {"base": X[:1], "dem": X[:2], "full": X}
     fits = {m: fit_logit(data, "voted_re", xs, WEAK, patterns=data) for m, xs in specs.items()}
-    tables = [draws_table(spark, draw_matrix(f, 1000), m) for m, f in fits.items()]
+    tables = [draws_table(spark, draw_matrix(f), m) for m, f in fits.items()]
     draws = tables[0].unionByName(tables[1]).unionByName(tables[2])
     return summaries.model_table(summaries.tidy(draws), LABELS, list(specs), {m: f.nobs for m, f in fits.items()})
 
@@ -491,7 +490,7 @@ def loo_fitted(spark, sf_dir):
     data = counted(spark, sf_dir).persist()
     base = fit_logit(data, "voted_re", X[:1], WEAK, patterns=data)
     country = mixed.fit_random_intercept(data, "voted_re", X[:1], "cowcode", WEAK, patterns=data)
-    models = {"base": draw_matrix(base, 1000), "country": mixed.mixed_draws(country, 1000)}
+    models = {"base": draw_matrix(base), "country": mixed.mixed_draws(country)}
     points = compare.pointwise(mixed.attach_groups(data, country), models)
     return compare.loo_summary(points, list(models))
 
@@ -501,4 +500,4 @@ def model_ranking(spark, sf_dir):
     """All five models: fit, leave-one-out comparison and stacking weights."""
     from natal.plans.model_suite import fit_suite
 
-    return fit_suite(None, "voted_re", X, "cowcode", WEAK, 1000, patterns=counted(spark, sf_dir)).ranking()
+    return fit_suite(None, "voted_re", X, "cowcode", WEAK, patterns=counted(spark, sf_dir)).ranking()

@@ -10,8 +10,16 @@ from natal.operators import panel as panels
 from natal.operators.joins import lookup_join
 from natal.rules import Splice
 
-MONTHS = [f"{m:02d}/{y}" for y in range(1995, 2002) for m in range(1, 13)]
-MONTHS_SQL = ", ".join(f"('{m}')" for m in MONTHS)
+
+def months(spark, sf_dir):
+    """Every month from the first to the last line item."""
+    low, high = (
+        table(spark, sf_dir, "lineitem")
+        .select((F.year("l_shipdate") * 12 + F.month("l_shipdate") - 1).alias("m"))
+        .agg(F.min("m"), F.max("m"))
+        .first()
+    )
+    return [f"{m % 12 + 1:02d}/{m // 12}" for m in range(low, high + 1)] if low is not None else []
 
 
 @query(
@@ -49,17 +57,18 @@ def mean_of_logs(spark, sf_dir):
     return rounded(out.select("cowcode", "mean_ln", log("mean").alias("ln_mean")), ["mean_ln", "ln_mean"])
 
 
-def monthly_wide(spark, sf_dir):
-    """Nation by month table: one column per month, named month/year."""
+def monthly_wide(spark, sf_dir, names):
+    """Nation by month table: one column per month in ``names``, which are month/year."""
     # Months stay numbers until the line items are folded.
     number = F.year("l_shipdate") * 100 + F.month("l_shipdate")
     monthly = by_supplier_nation(spark, sf_dir, {"ym": number}, {"value": whole("l_discount")})
     name = F.format_string("%02d/%d", F.col("ym") % 100, F.floor(F.col("ym") / 100))
-    return monthly.withColumn("month", name).groupBy("cowcode").pivot("month", MONTHS).agg(F.first("value"))
+    return monthly.withColumn("month", name).groupBy("cowcode").pivot("month", names).agg(F.first("value"))
 
 
 MONTHLY_SQL = f"""
-months(name) AS (VALUES {MONTHS_SQL}),
+months(name) AS (SELECT strftime(m, '%m/%Y') FROM (SELECT unnest(generate_series(date_trunc('month', low), high, INTERVAL 1 MONTH)) AS m
+                 FROM (SELECT CAST(min(l_shipdate) AS TIMESTAMP) AS low, CAST(max(l_shipdate) AS TIMESTAMP) AS high FROM lineitem))),
 cells AS (SELECT s_nationkey AS cowcode, strftime(l_shipdate, '%m/%Y') AS name, avg({WHOLE_SQL.format('l_discount')}) AS value
           FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY ALL),
 long AS (SELECT n.cowcode, m.name, c.value FROM (SELECT DISTINCT cowcode FROM cells) n CROSS JOIN months m
@@ -67,7 +76,8 @@ long AS (SELECT n.cowcode, m.name, c.value FROM (SELECT DISTINCT cowcode FROM ce
 
 
 def monthly_long(spark, sf_dir):
-    long = panels.wide_to_long(monthly_wide(spark, sf_dir), ["cowcode"], MONTHS)
+    names = months(spark, sf_dir)
+    long = panels.wide_to_long(monthly_wide(spark, sf_dir, names), ["cowcode"], names)
     return panels.split_name(long, "name", ["month", "year"])
 
 

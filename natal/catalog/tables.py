@@ -15,11 +15,11 @@ from natal.catalog.base import (
 )
 from natal.catalog.exposures import FUZZY, exposed
 from natal.catalog.joins import ORDER_MEANS_SQL, order_means
-from natal.catalog.panels import MONTHLY_SQL, MONTHS, monthly_wide
+from natal.catalog.panels import MONTHLY_SQL, monthly_wide, months
 from natal.catalog.recodes import RECODED_SQL
 from natal.catalog.registry import query
 from natal.operators import frame, joins
-from natal.operators.panel import period_mean
+from natal.operators.panel import period_mean, wide_to_long
 from natal.plans.tables import analysis_table, recodes
 from natal.session import scratch_path
 from natal.sources import codebook, tables
@@ -176,6 +176,37 @@ def csv_roundtrip(spark, sf_dir):
     return tables.read_csv(spark, path, df.schema)
 
 
+# Quotes, commas and line breaks inside fields, and NA for missing.
+NOTE_SQL = "concat('The \"', c_name, '\", ', c_mktsegment, chr(10), 'line ', c_custkey)"
+NOTES_SQL = f"""SELECT CAST(c_custkey AS INTEGER) AS id, CASE WHEN c_custkey % 4 <> 0 THEN {NOTE_SQL} END AS note,
+       CAST(nullif(c_nationkey, {NULLED_NATION}) AS INTEGER) AS cowcode, c_acctbal, nullif(c_mktsegment, 'BUILDING') AS segment FROM customer"""
+ALLOWED = ["AUTOMOBILE", "FURNITURE", "MACHINERY"]
+
+
+def notes_file(spark, sf_dir):
+    note = F.concat(F.lit('The "'), "c_name", F.lit('", '), "c_mktsegment", F.lit("\n"), F.lit("line "), F.col("c_custkey").cast("string"))
+    df = customers(spark, sf_dir).select(
+        F.col("c_custkey").cast("int").alias("id"), F.when(F.col("c_custkey") % 4 != 0, note).alias("note"),
+        F.col("cowcode").cast("int").alias("cowcode"), "c_acctbal", F.nullif("c_mktsegment", F.lit("BUILDING")).alias("segment"),
+    )
+    path = scratch_path(spark, "notes.csv")
+    tables.write_csv(df, path)
+    return path
+
+
+@query("csv_inferred_scan", NOTES_SQL)
+def csv_inferred_scan(spark, sf_dir):
+    return tables.read_csv(spark, notes_file(spark, sf_dir))
+
+
+@query(
+    "csv_levels_scan",
+    f"SELECT id, note, cowcode, c_acctbal, CASE WHEN segment IN ({', '.join(repr(a) for a in ALLOWED)}) THEN segment END AS segment FROM ({NOTES_SQL})",
+)
+def csv_levels_scan(spark, sf_dir):
+    return tables.read_levels(spark, notes_file(spark, sf_dir), {"segment": ALLOWED})
+
+
 SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
 FIELDS = [("CUSTKEY", 12, "numeric", 0), ("NATION", 3, "numeric", 0), ("BALANCE", 12, "numeric", 2),
           ("SEGMENT", 2, "numeric", 0), ("NAME", 30, "character", 0)]
@@ -221,20 +252,16 @@ def codebook_scan(spark, sf_dir):
     return codebook.with_label(codebook.read_fixed_width(spark, data, layout), labels, "SEGMENT")
 
 
-@query(
-    "wide_scan",
-    f"""WITH {MONTHLY_SQL}
-    SELECT cowcode, {", ".join(f"round(max(value) FILTER (WHERE name = '{m}'), 6) AS m{m[:2]}_{m[3:]}" for m in MONTHS[:24])}
-    FROM long GROUP BY 1""",
-)
+@query("wide_scan", f"WITH {MONTHLY_SQL} SELECT cowcode, name, round(value, 6) AS value FROM long")
 def wide_scan(spark, sf_dir):
-    wide = monthly_wide(spark, sf_dir)
+    """All months of the sheet, read back with its footer gone, one row per cell."""
+    names = months(spark, sf_dir)
+    wide = monthly_wide(spark, sf_dir, names)
     footer = joins.literal_table(spark, {"cowcode": [None, None]}, "cowcode int")
     path = scratch_path(spark, "wide.csv")
     tables.write_csv(wide.unionByName(footer, allowMissingColumns=True), path)
     back = tables.read_wide(spark, path, "cowcode", wide.schema)
-    months = {f"m{m[:2]}_{m[3:]}": m for m in MONTHS[:24]}
-    return back.select("cowcode", *[F.round(F.col(f"`{m}`"), 6).alias(n) for n, m in months.items()])
+    return rounded(wide_to_long(back, ["cowcode"], names), ["value"])
 
 
 @query(
