@@ -198,6 +198,56 @@ def logit_group_modes(spark, sf_dir):
     return rounded(out, ["effect", "intercept", "slope"], 4)
 
 
+# Group SDs spread evenly over their logs, as the grid of a fit.
+SDS = (0.1, 0.2, 0.4, 0.8)
+SD_PRIOR = 1.0  # rate of the exponential prior
+SD_SQL = f"""WITH RECURSIVE {VOTERS_SQL},
+    grid AS (SELECT CAST(unnest({list(SDS)}) AS DOUBLE) AS sd),
+    it(i, sd, cowcode, b, b0, b1) AS (
+      SELECT 0, sd, cowcode, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE FROM grid, (SELECT DISTINCT cowcode FROM pat)
+      UNION ALL
+      SELECT i + 1, sd, cowcode, b + (r - h0 * d0 - h01 * d1) / d, b0 + d0, b1 + d1
+      FROM (SELECT *, (s11 * t0 - s01 * t1) / (s00 * s11 - s01 * s01) AS d0,
+                   (s00 * t1 - s01 * t0) / (s00 * s11 - s01 * s01) AS d1
+            FROM (SELECT *, sum(h0 - h0 * h0 / d) OVER w + 1 / 6.25 AS s00, sum(h01 - h0 * h01 / d) OVER w AS s01,
+                         sum(h11 - h01 * h01 / d) OVER w + 1 / 6.25 AS s11, sum(g0 - h0 * r / d) OVER w - b0 / 6.25 AS t0,
+                         sum(g1 - h01 * r / d) OVER w - b1 / 6.25 AS t1
+                  FROM (SELECT *, g0 - b / (sd * sd) AS r, h0 + 1 / (sd * sd) AS d
+                        FROM (SELECT i, sd, cowcode, b, b0, b1, sum(e) AS g0, sum(e * x1) AS g1, sum(w) AS h0,
+                                     sum(w * x1) AS h01, sum(w * x1 * x1) AS h11
+                              FROM (SELECT *, h - n * p AS e, n * p * (1 - p) AS w
+                                    FROM (SELECT it.*, x1, n, h, 1 / (1 + exp(-(b + b0 + b1 * x1))) AS p
+                                          FROM it JOIN pat USING (cowcode) WHERE i < 10))
+                              GROUP BY i, sd, cowcode, b, b0, b1))
+                  WINDOW w AS (PARTITION BY sd)))),
+    last AS (
+      SELECT sd, cowcode, b, b0, b1, sum(h * eta - n * ln(1 + exp(eta))) AS ll, sum(w) + 1 / (sd * sd) AS d, sum(w) AS h0,
+             sum(w * x1) AS h01, sum(w * x1 * x1) AS h11
+      FROM (SELECT *, n * p * (1 - p) AS w FROM (SELECT *, 1 / (1 + exp(-eta)) AS p FROM (
+        SELECT it.*, x1, n, h, b + b0 + b1 * x1 AS eta FROM it JOIN pat USING (cowcode) WHERE i = 10)))
+      GROUP BY sd, cowcode, b, b0, b1),
+    post AS (
+      SELECT sd, any_value(b0) AS b0, any_value(b1) AS b1,
+             sum(ll) - 0.5 * sum(b * b) / (sd * sd) - count(*) * ln(sd) - 0.5 * sum(ln(d))
+             - 0.5 * ln((sum(h0 - h0 * h0 / d) + 1 / 6.25) * (sum(h11 - h01 * h01 / d) + 1 / 6.25) - sum(h01 - h0 * h01 / d) ** 2)
+             - 0.5 * (any_value(b0) ** 2 + any_value(b1) ** 2) / 6.25 - {SD_PRIOR} * sd + ln(sd) AS lp
+      FROM last GROUP BY sd)
+    SELECT sd AS group_sd, round(exp(lp - top) / sum(exp(lp - top)) OVER (), 5) AS weight, round(b0, 4) AS intercept, round(b1, 4) AS slope
+    FROM (SELECT *, max(lp) OVER () AS top FROM post)"""
+
+
+@query("group_sd_posterior", SD_SQL)
+def group_sd_posterior(spark, sf_dir):
+    """Laplace weights of given group SDs under the exponential prior, with the modes at each."""
+    from natal.operators.joins import literal_table
+
+    data = counted(spark, sf_dir)
+    fit = mixed.fit_random_intercept(data, "voted_re", X[:1], "cowcode", WEAK, sds=SDS, patterns=data, tol=1e-14)
+    columns = {"group_sd": list(SDS), "weight": fit.weights.tolist(), "intercept": fit.modes[:, 0].tolist(), "slope": fit.modes[:, 1].tolist()}
+    out = literal_table(spark, columns, "group_sd double, weight double, intercept double, slope double")
+    return rounded(rounded(out, ["weight"], 5), ["intercept", "slope"], 4)
+
+
 @query("logit_random_intercept")
 def logit_random_intercept(spark, sf_dir):
     """Two predictors and a country effect, group SD integrated out."""
