@@ -1,5 +1,7 @@
 """Exposure-window queries."""
 
+from pyspark.sql import functions as F
+
 from natal.catalog.base import (
     EXPOSURE_SQL,
     PANEL_SQL,
@@ -9,6 +11,7 @@ from natal.catalog.base import (
     panel,
     respondents,
     rounded,
+    table,
 )
 from natal.catalog.registry import query
 from natal.operators import exposure
@@ -74,5 +77,19 @@ def exposure_rows(spark, sf_dir):
     WHERE rn = 1""",
 )
 def exposure_first_row(spark, sf_dir):
-    rows = exposure_rows(spark, sf_dir)
-    return exposure.first_row(rows, ["cpsidp"], ["src_year"]).select(*rows.columns)
+    source = panel(spark, sf_dir).select("cowcode", "src_year", "corrupt")
+    rows = exposure.exposure_first(respondents(spark, sf_dir).select("cpsidp", "cowcode", "svy_year"), source, "cowcode", "svy_year", WINDOW)
+    return rounded(rows.select("cpsidp", "cowcode", "svy_year", "src_year", "year_diff", "corrupt"), ["corrupt"])
+
+
+@query(
+    "first_order",
+    """SELECT o_custkey, o_orderkey, CAST(o_orderdate AS VARCHAR)[:10] AS o_orderdate FROM orders
+    QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) = 1""",
+)
+def first_order(spark, sf_dir):
+    """First row per group in a stated order, ties settled by the remaining columns."""
+    orders = table(spark, sf_dir, "orders").select(
+        "o_custkey", "o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd").alias("o_orderdate")
+    )
+    return exposure.first_row(orders, ["o_custkey"], ["o_orderdate"])

@@ -15,6 +15,7 @@ from natal.models.draws import DrawMatrix, draw_matrix, draws_table, matrix_from
 from natal.models.logit import fit_logit
 from natal.models.patterns import pattern_counts
 from natal.models.priors import WEAK
+from natal.models.store import stored
 from natal.operators.frame import standardize
 from natal.session import scratch_path
 from natal.sources.tables import load_or_compute
@@ -130,6 +131,15 @@ def logit_fixed_prior(spark, sf_dir):
     return terms_frame(spark, sf_dir, fit_logit(data, "voted_re", X[:2], WEAK, patterns=data))
 
 
+@query("stored_fit", logit_sql(1 / 2.5**2, 1 / 2.5**2))
+def stored_fit(spark, sf_dir):
+    """A fit found again by its data and specification; the second call does not fit."""
+    data, store = counted(spark, sf_dir), scratch_path(spark, "fits")
+    made_from = {"outcome": "voted_re", "predictors": X[:2], "priors": WEAK}
+    stored(store, data, made_from, lambda: terms_frame(spark, sf_dir, fit_logit(data, "voted_re", X[:2], WEAK, patterns=data)))
+    return stored(store, data, made_from, lambda: (_ for _ in ()).throw(RuntimeError("fitted again")))
+
+
 def full_logit_sql(precision):
     """Newton steps for an intercept and three predictors; the step solves by elimination."""
     k = 4

@@ -105,6 +105,31 @@ def exposure_mean(
     )
 
 
+def exposure_first(
+    respondents: DataFrame,
+    panel: DataFrame,
+    code: str,
+    reference_year: str,
+    window: int,
+    panel_year: str = "src_year",
+) -> DataFrame:
+    """Each respondent with the earliest panel row of the window.
+
+    The earliest row hangs on country and reference year alone, so it is found on the panel,
+    expanded to the years it serves, and looked up: respondents are neither multiplied nor
+    shuffled. Of several panel rows of one year the one that sorts first by its other columns
+    counts. Respondents without a panel row in the window drop out.
+    """
+    rest = [c for c in panel.columns if c not in (code, panel_year)]
+    served = panel.filter(F.col(code).isNotNull()).withColumn(
+        reference_year, F.explode(F.sequence(F.col(panel_year), F.col(panel_year) + window))
+    )
+    first = F.min(F.struct(panel_year, *rest)).alias("_first")
+    found = served.groupBy(code, reference_year).agg(first).select(code, reference_year, "_first.*")
+    joined = derived_lookup_join(respondents, found, [code, reference_year], "inner")
+    return joined.withColumn("year_diff", F.col(panel_year) - F.col(reference_year))
+
+
 def first_row(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """First row per group in a stated order, by partial aggregation instead of a sort.
 

@@ -15,10 +15,10 @@ from natal.models.logit import LogitFit, fit_logit
 from natal.models.mixed import MixedFit
 from natal.models.patterns import pattern_counts, spread_patterns
 from natal.models.priors import FLAT, Priors
+from natal.models.store import stored
 from natal.operators.frame import interval
 from natal.operators.joins import measured
 from natal.session import cut_lineage
-from natal.sources.tables import load_or_compute
 
 
 @dataclass(frozen=True)
@@ -39,13 +39,18 @@ class Suite:
         return [m for m, f in self.fits.items() if isinstance(f, MixedFit)]
 
     def coefficient_draws(self, store: str | None = None) -> DataFrame:
-        """Long draws of all models; with ``store`` each model's draws are written once and read back."""
+        """Long draws of all models; with ``store`` each model's draws are written once and read back.
+
+        An entry belongs to the data and the fit it came from, so other data or priors find none.
+        """
         spark = self.patterns.sparkSession
 
         def table(m):
             if store is None:
                 return draws_table(spark, self.draws[m], m)
-            return load_or_compute(spark, f"{store}/{m}", lambda: draws_table(spark, self.draws[m], m))
+            fit, draws = self.fits[m], self.draws[m]
+            made_from = {"model": m, "terms": fit.terms, "priors": fit.priors, "draws": len(draws), "seed": draws.seed}
+            return stored(store, self.patterns, made_from, lambda: draws_table(spark, draws, m))
 
         return reduce(DataFrame.unionByName, [table(m) for m in self.models])
 

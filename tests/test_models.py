@@ -383,3 +383,23 @@ def test_sampled_effect_does_not_depend_on_partitions(spark, simulated):
 def test_stacking_reports_what_did_not_converge(spark):
     with pytest.raises(RuntimeError, match="converge"):
         compare.stacking_weights(points_frame(spark)[0], ["m0", "m1", "m2"], max_steps=1)
+
+
+def test_store_finds_fits_by_data_and_specification(spark, simulated, tmp_path):
+    from natal.models.store import fingerprint, stored
+
+    counts = pattern_counts(simulated, "y", ["b"])
+    made = []
+
+    def fit(slope_sd, data=counts):
+        def compute():
+            made.append(slope_sd)
+            return spark.createDataFrame([(slope_sd or 0.0,)], "x double")
+
+        return stored(str(tmp_path), data, {"outcome": "y", "priors": Priors(slope_sd=slope_sd)}, compute).first()[0]
+
+    assert [fit(None), fit(None), fit(2.0), fit(2.0)] == [0.0, 0.0, 2.0, 2.0]
+    assert made == [None, 2.0]
+    fit(None, counts.filter("b > 0"))
+    assert len(made) == 3
+    assert fingerprint(counts) == fingerprint(counts.repartition(5).select(*reversed(counts.columns)))

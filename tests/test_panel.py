@@ -114,3 +114,27 @@ def test_duplicated_panel_rows_count_twice(people, yearly):
     doubled = yearly.unionByName(yearly.filter("src_year = 1990"))
     out = exposure.exposure_mean(people, doubled, "cpsidp", "cowcode", "arr", ["v"], 3, unique=True)
     assert {r["cpsidp"]: r["n_years"] for r in out.collect()}[10] == 2
+
+
+@pytest.mark.parametrize("window", [0, 3, 20])
+def test_exposure_first(people, yearly, window):
+    out = exposure.exposure_first(people, yearly, "cowcode", "arr", window)
+    got = {r.cpsidp: (r.year_diff, r.v) for r in out.collect()}
+    values = {(r.cowcode, r.src_year): r.v for r in yearly.collect()}
+    arr = {p.cpsidp: (p.cowcode, p.arr) for p in people.collect()}
+    want = {k: d for k, d, *_ in brute(people, yearly, window)}
+    assert got == {k: (d, values[arr[k][0], arr[k][1] + d]) for k, d in want.items()}
+
+
+def test_exposure_first_leaves_respondents_in_place(people, yearly):
+    out = exposure.exposure_first(people, yearly, "cowcode", "arr", 3)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    left = plan.split("LogicalRDD")[0] if "LogicalRDD" in plan else plan
+    assert "Generate" not in left.split("InMemoryRelation")[0]
+
+
+def test_splice_with_two_rules_is_refused(source):
+    from natal.rules import Splice
+
+    with pytest.raises(ValueError, match="two rules"):
+        panel.splice(source, [Splice("A", None, 1990, 1), Splice("A", 1995, None, 1)])
