@@ -98,13 +98,21 @@ def logit_binary(spark, sf_dir):
 
 def logit_sql(slope_precision=0.0, intercept_precision=0.0):
     """Newton steps as a recursive query for an intercept and two predictors."""
+    return f"""{newton_sql(slope_precision, intercept_precision)}
+    SELECT term, round(estimate, 5) AS estimate, round(sqrt(v), 5) AS se FROM (
+      SELECT unnest(['Intercept', 'corrupt_z', 'polity2_z']) AS term, unnest([b0, b1, b2]) AS estimate,
+             unnest([v0, v1, v2]) AS v FROM it WHERE i = 8)"""
+
+
+def newton_sql(slope_precision=0.0, intercept_precision=0.0):
+    """The recursive part: mode and covariance at step 8."""
     a, b = intercept_precision, slope_precision
     return f"""WITH RECURSIVE {VOTERS_SQL},
-    it(i, b0, b1, b2, v0, v1, v2) AS (
-      SELECT 0, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE
+    it(i, b0, b1, b2, v0, v1, v2, v01, v02, v12) AS (
+      SELECT 0, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE
       UNION ALL
       SELECT i + 1, b0 + (c00 * g0 + c01 * g1 + c02 * g2) / det, b1 + (c01 * g0 + c11 * g1 + c12 * g2) / det,
-             b2 + (c02 * g0 + c12 * g1 + c22 * g2) / det, c00 / det, c11 / det, c22 / det
+             b2 + (c02 * g0 + c12 * g1 + c22 * g2) / det, c00 / det, c11 / det, c22 / det, c01 / det, c02 / det, c12 / det
       FROM (SELECT *, h11 * h22 - h12 * h12 AS c00, h02 * h12 - h01 * h22 AS c01, h01 * h12 - h02 * h11 AS c02,
                    h00 * h22 - h02 * h02 AS c11, h01 * h02 - h00 * h12 AS c12, h00 * h11 - h01 * h01 AS c22,
                    h00 * (h11 * h22 - h12 * h12) - h01 * (h01 * h22 - h02 * h12) + h02 * (h01 * h12 - h02 * h11) AS det
@@ -113,10 +121,15 @@ def logit_sql(slope_precision=0.0, intercept_precision=0.0):
                          sum(w * x1 * x2) AS h12, sum(w * x2 * x2) + {b} AS h22
                   FROM (SELECT *, h - n * p AS r, n * p * (1 - p) AS w
                         FROM (SELECT it.*, pat.*, 1 / (1 + exp(-(b0 + b1 * x1 + b2 * x2))) AS p FROM it, pat WHERE i < 8))
-                  GROUP BY i, b0, b1, b2)))
-    SELECT term, round(estimate, 5) AS estimate, round(sqrt(v), 5) AS se FROM (
-      SELECT unnest(['Intercept', 'corrupt_z', 'polity2_z']) AS term, unnest([b0, b1, b2]) AS estimate,
-             unnest([v0, v1, v2]) AS v FROM it WHERE i = 8)"""
+                  GROUP BY i, b0, b1, b2)))"""
+
+
+def normal_sql(draw, term, seed=42, stream=0):
+    """A standard normal of the stream, as :func:`natal.models.draws.normals` makes it."""
+    text = f"md5('{seed}:{stream}:' || {draw} || ':{term}')"
+    u = f"(CAST('0x' || substr({text}, 1, 13) AS BIGINT) + 0.5) / pow(2, 52)"
+    v = f"CAST('0x' || substr({text}, 14, 13) AS BIGINT) / pow(2, 52)"
+    return f"sqrt(-2 * ln({u})) * cos(2 * pi() * {v})"
 
 
 @query("logit_fixed", logit_sql())
@@ -275,7 +288,18 @@ def logit_random_intercept(spark, sf_dir):
     return coefficients.unionByName(effects_).withColumn("group_sd", F.lit(float(np.median(sd))))
 
 
-@query("posterior_draws")
+@query(
+    "posterior_draws",
+    f"""{newton_sql()},
+    low AS (SELECT *, sqrt(v0) AS l00, v01 / sqrt(v0) AS l10, v02 / sqrt(v0) AS l20, sqrt(v1 - v01 * v01 / v0) AS l11 FROM it WHERE i = 8),
+    factor AS (SELECT *, (v12 - l20 * l10) / l11 AS l21 FROM low),
+    z AS (SELECT d AS draw, {normal_sql("d", 0)} AS z0, {normal_sql("d", 1)} AS z1, {normal_sql("d", 2)} AS z2
+          FROM (SELECT unnest(range(4000)) AS d))
+    SELECT 'dem' AS model, CAST(draw AS BIGINT) AS draw, unnest(['Intercept', 'corrupt_z', 'polity2_z']) AS term,
+           unnest([round(b0 + l00 * z0, 5), round(b1 + l10 * z0 + l11 * z1, 5),
+                   round(b2 + l20 * z0 + l21 * z1 + sqrt(v2 - l20 * l20 - l21 * l21) * z2, 5)]) AS value
+    FROM factor, z""",
+)
 def posterior_draws(spark, sf_dir):
     """Draws of a fit, stored once under its name and read back."""
     path = scratch_path(spark, "fit_dem")
@@ -286,7 +310,7 @@ def posterior_draws(spark, sf_dir):
 
     stored = load_or_compute(spark, path, compute)
     again = matrix_from_table(stored, ["Intercept", *X[:2]])
-    return draws_table(spark, again, "dem")
+    return rounded(draws_table(spark, again, "dem"), ["value"], 5)
 
 
 # Draws derived from the data: log odds of the two halves of the predictor in each of 20 folds.
@@ -452,13 +476,27 @@ def effect_curves(spark, sf_dir):
     return rounded(out, ["value", "estimate", "lower", "upper"])
 
 
-@query("ame_sampled")
+SAMPLED = 0.1
+
+
+@query(
+    "ame_sampled",
+    f"""WITH {VOTERS_SQL}, {DRAWS_SQL},
+    kept AS (SELECT * FROM est WHERE CAST('0x' || substr(md5('42:' || cpsidp), 1, 13) AS BIGINT) / pow(2, 52) < {SAMPLED}),
+    ame AS (SELECT d, avg((-0.3 + 0.004 * d) * p * (1 - p)) AS v
+            FROM (SELECT d, 1 / (1 + exp(-({literal_eta(SLOPES)}))) AS p FROM kept, draws) GROUP BY d)
+    SELECT round(quantile_cont(v, 0.5), 6) AS estimate, round(quantile_cont(v, 0.025), 6) AS lower,
+           round(quantile_cont(v, 0.975), 6) AS upper FROM ame""",
+)
 def ame_sampled(spark, sf_dir):
     """Marginal effect over a tenth of the respondents, the sampling being what is asked for."""
     from natal.operators.frame import interval
 
-    draws = literal_draws(X[:2], SLOPES)
-    return interval(effects.average_marginal_effect(counted(spark, sf_dir), draws, "corrupt_z", prop=0.1), [], "ame")
+    scored = standardize(voters(spark, sf_dir).select("cpsidp", "voted_re", *RAW), RAW)
+    scored = scored.withColumnsRenamed(dict(zip([f"{c}_z" for c in RAW], X)))
+    counts = pattern_counts(effects.thin(scored, "cpsidp", SAMPLED), "voted_re", X[:2])
+    per_draw = effects.average_marginal_effect(counts, literal_draws(X[:2], SLOPES), "corrupt_z")
+    return rounded(interval(per_draw, [], "ame"), ["estimate", "lower", "upper"])
 
 
 @query(

@@ -6,6 +6,8 @@ a task that runs again produces the same one.
 
 from __future__ import annotations
 
+import hashlib
+import math
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -41,10 +43,21 @@ class DrawMatrix:
         return self.terms[1:]
 
 
-def normals(seed: int, stream: int, shape: tuple[int, ...]) -> np.ndarray:
-    """Standard normals of a numbered stream."""
-    key = np.array([seed, stream], dtype=np.int64).astype(np.uint64)
-    return np.random.Generator(np.random.Philox(key=key)).standard_normal(shape)
+def normals(seed: int, stream: int | str, shape: tuple[int, ...]) -> np.ndarray:
+    """Standard normals of a named stream, by the Box-Muller transform of message digests.
+
+    Number ``i, j`` hangs on seed, stream, ``i`` and ``j`` alone and on published formulas, so any
+    engine with md5 makes the same ones.
+    """
+    head = hashlib.md5(f"{seed}:{stream}".encode())
+    out = np.empty((2, math.prod(shape)), dtype=np.int64)
+    for k, place in enumerate(np.ndindex(shape)):
+        digest = head.copy()
+        digest.update("".join(f":{p}" for p in place).encode())
+        text = digest.hexdigest()
+        out[0, k], out[1, k] = int(text[:13], 16), int(text[13:26], 16)
+    u, v = (out + [[0.5], [0.0]]) / 2.0**52
+    return (np.sqrt(-2 * np.log(u)) * np.cos(2 * np.pi * v)).reshape(shape)
 
 
 def draw_matrix(fit: LogitFit, n: int = DRAWS, seed: int = 42) -> DrawMatrix:

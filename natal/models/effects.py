@@ -48,6 +48,12 @@ def average_marginal_effect(
     return partial.groupBy("draw").agg((F.sum("s") / F.sum("n")).alias("ame"))
 
 
+def thin(respondents: DataFrame, key: str, prop: float, seed: int = 42) -> DataFrame:
+    """A share ``prop`` of the respondents, chosen by a digest of seed and id alone."""
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")).cast("binary"))
+    return respondents.filter(F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / 2.0**52 < prop)
+
+
 def _thinned(seed: int, key: int, n: int, prop: float) -> int:
     """How many of ``n`` respondents of a pattern are kept."""
     stream = np.array([seed, key], dtype=np.int64).astype(np.uint64)

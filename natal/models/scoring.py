@@ -35,7 +35,7 @@ def group_offsets(block: pd.DataFrame, draws: DrawMatrix, prefix: str = "") -> n
     Every group has its own random stream, so all its rows see the same draws wherever
     they are processed.
     """
-    streams = block[STREAM].to_numpy()
+    streams = block[STREAM].to_numpy().astype(str)
     kinds, where = np.unique(streams, return_inverse=True)
     first = np.array([np.flatnonzero(where == i)[0] for i in range(len(kinds))])
     s = draws.component
@@ -45,7 +45,7 @@ def group_offsets(block: pd.DataFrame, draws: DrawMatrix, prefix: str = "") -> n
         mode = np.asarray(block[prefix + MODES].iloc[row], dtype=float)
         curve = np.asarray(block[prefix + CURVES].iloc[row], dtype=float)
         cross = np.asarray(block[prefix + CROSS].iloc[row], dtype=float).reshape(len(mode), -1)
-        noise = normals(draws.seed, int(kinds[i]), (len(draws),))
+        noise = normals(draws.seed, kinds[i], (len(draws),))
         out[i] = mode[s] - np.einsum("dk,dk->d", cross[s], shift) / curve[s] + noise / np.sqrt(curve[s])
     return out[where]
 
@@ -84,4 +84,4 @@ def map_blocks(
 
 
 def with_stream(df: DataFrame, group: str) -> DataFrame:
-    return df.withColumn(STREAM, F.xxhash64(group))
+    return df.withColumn(STREAM, F.concat(F.lit("group "), F.col(group).cast("string")))
