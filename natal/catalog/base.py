@@ -23,15 +23,18 @@ VOTE_CODES = {"F": 2, "O": 1, "P": 96}
 INCOME_BY_BALANCE = ((300, None, 0), (710, 0.01, 2000), (820, 2000.01, 4000), (840, 4000.01, 6000), (842, 6000.01, 8000))
 
 
-_SCHEMAS: dict[str, StructType] = {}
+_SCHEMAS: dict[tuple, StructType] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the shared tables; its schema is inferred once, as a catalog would keep it."""
+    """One of the shared tables; its schema is inferred once per version of the file, as a catalog would keep it."""
     path = f"{sf_dir}/{name}.parquet"
-    if path not in _SCHEMAS:
-        _SCHEMAS[path] = spark.read.parquet(path).schema
-    return spark.read.schema(_SCHEMAS[path]).parquet(path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    state = at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at)
+    version = (path, state.getModificationTime(), state.getLen())
+    if version not in _SCHEMAS:
+        _SCHEMAS[version] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[version]).parquet(path)
 
 
 def customers(spark: SparkSession, sf_dir: str) -> DataFrame:

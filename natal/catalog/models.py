@@ -516,6 +516,32 @@ def random_effects(spark, sf_dir):
     return rounded(summaries.random_effects(draws, width=0.4), ["estimate", "lower", "upper"])
 
 
+GROUP_DRAWS_SQL = f"""{GROUP_MODES_SQL[: GROUP_MODES_SQL.rindex("SELECT cowcode")]},
+    last AS (
+      SELECT cowcode, b, sum(w) + 1 / {SD**2} AS d, sum(w) AS h0, sum(w * x1) AS h01, sum(w * x1 * x1) AS h11
+      FROM (SELECT *, n * p * (1 - p) AS w FROM (
+        SELECT it.*, x1, n, 1 / (1 + exp(-(b + b0 + b1 * x1))) AS p FROM it JOIN pat USING (cowcode) WHERE i = 8)) GROUP BY cowcode, b),
+    s AS (SELECT sum(h0 - h0 * h0 / d) AS s00, sum(h01 - h0 * h01 / d) AS s01, sum(h11 - h01 * h01 / d) AS s11 FROM last),
+    cov AS (SELECT s11 / (s00 * s11 - s01 * s01) AS c00, -s01 / (s00 * s11 - s01 * s01) AS c01, s00 / (s00 * s11 - s01 * s01) AS c11 FROM s),
+    z AS (SELECT d AS draw, sqrt(c00) * z0 AS e0, c01 / sqrt(c00) * z0 + sqrt(c11 - c01 * c01 / c00) * z1 AS e1
+          FROM (SELECT d, {normal_sql("d", 0)} AS z0, {normal_sql("d", 1)} AS z1 FROM (SELECT unnest(range(4000)) AS d)), cov),
+    noise AS (SELECT cowcode, draw, sqrt(-2 * ln((CAST('0x' || t[1:13] AS BIGINT) + 0.5) / pow(2, 52))) * cos(2 * pi() * CAST('0x' || t[14:26] AS BIGINT) / pow(2, 52)) AS zg
+              FROM (SELECT cowcode, draw, md5('42:group ' || cowcode || ':' || draw) AS t FROM last, z)),
+    v AS (SELECT cowcode, b - (h0 * e0 + h01 * e1) / d + zg / sqrt(d) AS value FROM last JOIN noise USING (cowcode) JOIN z USING (draw)),
+    q AS (SELECT cowcode, avg(value) AS m, quantile_cont(value, 0.05) AS lo, quantile_cont(value, 0.95) AS hi FROM v GROUP BY 1)
+    SELECT cowcode AS condition, round(m, 4) AS estimate, round(lo, 4) AS lower, round(hi, 4) AS upper,
+           CASE WHEN lo > 0 OR hi < 0 THEN 'sig' ELSE 'insig' END AS sig FROM q"""
+
+
+@query("random_effects_fitted", GROUP_DRAWS_SQL)
+def random_effects_fitted(spark, sf_dir):
+    """Country effects of a fit at a given group SD, summarised from their posterior draws."""
+    data = counted(spark, sf_dir)
+    fit = mixed.fit_random_intercept(data, "voted_re", X[:1], "cowcode", sds=[SD], patterns=data, tol=1e-14)
+    effects_ = summaries.random_effects(mixed.group_draws(fit, mixed.mixed_draws(fit)), width=0.9)
+    return rounded(effects_, ["estimate", "lower", "upper"], 4)
+
+
 MODEL_SLOPES = {"base": (-0.3,), "dem": (0.25, -0.2)}
 MODEL_INTERCEPTS = {"base": -0.35, "dem": -0.1}
 
