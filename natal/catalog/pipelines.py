@@ -176,9 +176,14 @@ risk AS (SELECT CAST({CODE_SQL} AS INTEGER) AS cowcode, year, avg(v) AS icrg_cor
 STATES_SQL = sql_case("statefip", rules.STATE_ABBREVIATIONS)
 
 
+def places(measure):
+    """Decimals to compare: sums of large values differ in their last bits by the order of adding."""
+    return 2 if "gdpcap" in measure and "ln_" not in measure else 6
+
+
 def final_sql(source, measures, z, more=()):
     """Recodes, complete cases, z-scores per parent."""
-    shown = ", ".join(f"round({m}, 6) AS {m}" for m in measures)
+    shown = ", ".join(f"round({m}, {places(m)}) AS {m}" for m in measures)
     scores = ", ".join(f"round(({c} - avg({c}) OVER w) / stddev_samp({c}) OVER w, 6) AS {c}_z" for c in z)
     known = " AND ".join(f"{c} IS NOT NULL" for c in (*measures, "voted_re", "age_re", "educ99_re", "faminc_re", "cowcode"))
     return f"""SELECT parent, cpsidp, cowcode, voted_re, age_re, educ99_re, faminc_re, {STATES_SQL} AS state_abb, {"".join(f"{c}, " for c in more)}{shown}, {scores}
@@ -187,7 +192,9 @@ def final_sql(source, measures, z, more=()):
 
 def final(frames, measures, z, more=()):
     columns = ["cpsidp", "cowcode", "voted_re", "age_re", "educ99_re", "faminc_re", "state_abb", *more, *measures, *[f"{c}_z" for c in z]]
-    return rounded(both({n: df.select(*columns) for n, df in frames.items()}), [*measures, *[f"{c}_z" for c in z]])
+    out = both({n: df.select(*columns) for n, df in frames.items()})
+    coarse = [m for m in measures if places(m) < 6]
+    return rounded(rounded(out, [m for m in measures if m not in coarse] + [f"{c}_z" for c in z]), coarse, 2)
 
 
 NOW = ["icrg_corrupt", "vdem_corrupt", "polity2", "wdi_gdpcap", "ln_wdi_gdpcap"]
