@@ -37,7 +37,7 @@ _SETTLED = re.compile("[\0-\u024f]*")
 #: Marks that the pattern takes together after a word.
 _MARKS = ".,;:!?()\"%&*#$"
 #: Fragments kept per worker; clearing the store changes no result.
-KEPT = 400_000
+KEPT = 700_000
 #: Rank of a pair that no merge joins, and the bits below a rank that hold the new id.
 _NEVER, _BITS = 1 << 60, 24
 #: Longer strings are not kept.
