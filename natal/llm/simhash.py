@@ -40,28 +40,37 @@ FEW = 32
 _LOW = 0x5555555555555555
 
 
-def fingerprint(text: str | None, size: int = SHINGLE) -> int:
-    """SimHash of lower-cased (A-Z) words split at ASCII white space."""
+def shingle_hashes(text: str | None, size: int = SHINGLE) -> np.ndarray:
+    """Hashes of the shingles of lower-cased (A-Z) words split at ASCII white space, with repeats."""
     words = (text or "").encode().lower().split()
     if not words:
-        return 0
+        return np.empty(0, "<u8")
     if len(words) < size:
         shingles = [b" ".join(words)]
     else:
         shingles = map(b" ".join, zip(*(words[i:] for i in range(size))))
-    h = np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), dtype="<u8")
+    return np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), dtype="<u8")
+
+
+def simhash(h: np.ndarray) -> int:
+    """SimHash of shingle hashes; 0 for none."""
     ones = np.zeros(64, dtype=np.int64)
     for at in range(0, len(h), 1 << 16):
         ones += np.unpackbits(h[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
     return int(np.packbits(2 * ones > len(h), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(df: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def fingerprint(text: str | None, size: int = SHINGLE) -> int:
+    """SimHash of a text."""
+    return simhash(shingle_hashes(text, size))
+
+
+def fingerprints(df: DataFrame, keep: tuple[str, ...] = ("doc_id",), size: int = SHINGLE) -> DataFrame:
     """``keep`` and ``fp``: the fingerprint of ``text`` as a signed 64-bit number."""
 
     def run(batches):
         for batch in batches:
-            fp = np.array([fingerprint(t) for t in rows_of(batch, "text")], dtype=np.uint64).view(np.int64)
+            fp = np.array([fingerprint(t, size) for t in rows_of(batch, "text")], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(fp)], [*keep, "fp"])
 
     return df.select(*keep, "text").mapInArrow(run, extended(df, keep, fp=LongType()))
@@ -87,10 +96,10 @@ def _unary(fp: np.ndarray) -> np.ndarray:
     return ((fp | fp >> one) & low) | ((fp & fp >> one & low) << one)
 
 
-def _near(a: np.ndarray, b: np.ndarray, ua: np.ndarray, ub: np.ndarray) -> np.ndarray:
+def _near(a: np.ndarray, b: np.ndarray, ua: np.ndarray, ub: np.ndarray, distance: int = DISTANCE) -> np.ndarray:
     """Bound on the counts first, then the bits of what is left."""
-    near = np.bitwise_count(ua ^ ub) <= DISTANCE
-    near[near] = np.bitwise_count((a ^ b)[near]) <= DISTANCE
+    near = np.bitwise_count(ua ^ ub) <= distance
+    near[near] = np.bitwise_count((a ^ b)[near]) <= distance
     return near
 
 
@@ -108,11 +117,11 @@ def _forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         root = new
 
 
-def _cell_links(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _cell_links(fp: np.ndarray, distance: int = DISTANCE) -> tuple[np.ndarray, np.ndarray]:
     """Links that span what is near among the fingerprints of a full cell or block pair."""
     u, left, right = _unary(fp), [], []
     for i in range(len(fp) - 1):
-        hit = np.flatnonzero(_near(fp[i], fp[i + 1 :], u[i], u[i + 1 :])) if len(fp) > 1 else []
+        hit = np.flatnonzero(_near(fp[i], fp[i + 1 :], u[i], u[i + 1 :], distance)) if len(fp) > 1 else []
         left.append(np.full(len(hit), i))
         right.append(hit + i + 1)
     if not left:
@@ -122,7 +131,7 @@ def _cell_links(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return node, root[node]
 
 
-def _links(keys: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _links(keys: np.ndarray, fp: np.ndarray, distance: int = DISTANCE) -> tuple[np.ndarray, np.ndarray]:
     """Links inside runs of equal keys."""
     edges = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]).any(axis=1), True])
     sizes = np.diff(edges)
@@ -133,24 +142,29 @@ def _links(keys: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         i = np.flatnonzero(few[:-s] & (run[:-s] == run[s:]))
         if not len(i):
             break
-        i = i[_near(fp[i], fp[i + s], u[i], u[i + s])]
+        i = i[_near(fp[i], fp[i + s], u[i], u[i + s], distance)]
         out.append((fp[i], fp[i + s]))
     for k in np.flatnonzero(sizes > FEW):
         members = fp[edges[k] : edges[k + 1]]
-        a, b = _cell_links(members)
+        a, b = _cell_links(members, distance)
         out.append((members[a], members[b]))
     none = np.empty(0, np.uint64)
     return (np.concatenate([none, *(a for a, _ in out)]), np.concatenate([none, *(b for _, b in out)]))
 
 
-def near_links(prints: DataFrame, blocks: int = BLOCKS, block: int = BLOCK) -> DataFrame:
-    """(a, b) bigint: links whose components are those of all pairs at distance 3 or less.
+def near_links(prints: DataFrame, blocks: int = BLOCKS, block: int = BLOCK, distance: int = DISTANCE) -> DataFrame:
+    """(a, b) bigint: links whose components are those of all pairs at ``distance`` or less.
 
     ``prints`` holds different fingerprints in ``fp``.
     """
-    spark = prints.sparkSession
-    masks = F.array(*[F.lit(m) for m in grids(blocks)])
+    masks = F.array(*[F.lit(m) for m in grids(blocks, distance)])
     cells = prints.select("fp", F.posexplode(F.transform(masks, lambda m: counts_in_unary(F.col("fp")).bitwiseAND(m))).alias("grid", "cell"))
+    return links_in_cells(cells, block, distance)
+
+
+def links_in_cells(cells: DataFrame, block: int = BLOCK, distance: int = DISTANCE) -> DataFrame:
+    """(a, b) bigint: links that span the pairs at ``distance`` or less that share a (grid, cell)."""
+    spark = cells.sparkSession
     full = cells.groupBy("grid", "cell").count().filter(F.col("count") > block)
     parts = F.coalesce(F.ceil(F.col("count") / block), F.lit(1)).cast("int")
     dealt = cells.join(full, ["grid", "cell"], "left").withColumn("parts", parts)
@@ -174,7 +188,7 @@ def near_links(prints: DataFrame, blocks: int = BLOCKS, block: int = BLOCK) -> D
             yield from found(held)
 
     def found(rows):
-        a, b = _links(rows[:, :3], np.ascontiguousarray(rows[:, 3]).view(np.uint64))
+        a, b = _links(rows[:, :3], np.ascontiguousarray(rows[:, 3]).view(np.uint64), distance)
         if len(a):
             yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
 
@@ -206,7 +220,12 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     """
     printed = written(fingerprints(packed(docs), ("row",)), "simhash-rows")
     doc_id = F.col("row.doc_id").cast("bigint")
-    classes = _classes(printed, doc_id).filter(F.col("first_id").eqNullSafe(F.col("component_id")))
+    return first_rows(printed, _classes(printed, doc_id), doc_id)
+
+
+def first_rows(printed: DataFrame, classes: DataFrame, doc_id) -> DataFrame:
+    """Of ``printed`` (row, fp) one row of each component of ``classes``, as ``one_of_each`` chooses."""
+    classes = classes.filter(F.col("first_id").eqNullSafe(F.col("component_id")))
     winners = classes.groupBy("component").agg(F.min("fp").alias("fp"), F.first("component_id").alias("stays"))
     kept = printed.join(winners.select("fp", "stays"), "fp").filter(doc_id.eqNullSafe(F.col("stays"))).select("fp", "row")
     # Only rows repeated with id and fingerprint are left to choose from: seldom any.
