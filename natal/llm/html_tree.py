@@ -11,7 +11,8 @@ space, blocks are joined by one space. Scripts, styles, comments in the markup a
 count as text.
 
 Cases: null or empty html, or a page without article blocks, gives an empty text; broken markup
-is read as far as it goes (open paragraphs and items end where the next begins); null and
+is read as far as it goes (open paragraphs and items end where the next begins, an open head where
+something begins that cannot stand in it); null and
 repeated page ids keep their rows; extra columns are ignored; no length is capped.
 """
 
@@ -37,6 +38,8 @@ INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup "
     "time tt u var wbr".split()
 )
+#: Elements that can stand in a head; any other ends an open head.
+HEAD = frozenset("html head title base link meta style script noscript template".split())
 #: Elements without an end tag.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that an opening tag of the key ends, up to the nearest of the second set.
@@ -100,6 +103,8 @@ class Tree(HTMLParser):
         self.close()
 
     def handle_starttag(self, tag, attributes):
+        if tag not in HEAD:
+            self._end_head(tag)
         if tag in VOID:
             if tag != "wbr" and self.runs:
                 if tag in ("br", "hr"):
@@ -120,6 +125,21 @@ class Tree(HTMLParser):
         self.nodes.append(Node(tag, self.open[-1], _kind(attributes), mark, above.silent or tag in SILENT))
         self.open.append(len(self.nodes) - 1)
 
+    def _end_head(self, by: str) -> None:
+        """End an open head, and what is open in it, where ``by`` cannot stand in it.
+
+        Inside its title words may be marked up; what its noscript or template holds ends no head,
+        except that a body ends a noscript.
+        """
+        for depth in range(len(self.open) - 1, 0, -1):
+            tag = self.nodes[self.open[depth]].tag
+            if tag == "head":
+                del self.open[depth:]
+                self.broken = True
+                return
+            if tag == "template" or tag == "noscript" and by != "body" or tag == "title" and (by in INLINE or by in VOID):
+                return
+
     def handle_startendtag(self, tag, attributes):
         self.handle_starttag(tag, attributes)  # in HTML the slash means nothing
 
@@ -146,6 +166,8 @@ class Tree(HTMLParser):
                 return
 
     def handle_data(self, data):
+        if self.nodes[self.open[-1]].tag == "head" and not data.isspace():
+            self._end_head("")
         at = self.open[-1]
         node = self.nodes[at]
         if node.silent:

@@ -80,3 +80,26 @@ def test_messages_give_exact_marginals(html):
 def test_deep_and_broken_markup():
     assert html_tree.main_text("<div>" * 3000 + "x") in ("", "x")
     assert html_tree.main_text("<p></p></div></b><li><td>") == ""
+
+
+HEADS = [
+    "<html><head><title>T</title><meta charset=utf-8><link rel=x><body>",
+    "<head><title>T</title><style>p{}</style><noscript><p>Switch scripts on, please, to read this.</p></noscript><body>",
+    "<head><title>T <b>two</b> x</title><script>var a</script>",
+    "<head><title>T<body>",
+    "<head><noscript><link rel=x><body>",
+    "<head><template><div><p>Not shown, as it is in a template only.</p></div></template><body>",
+]
+
+
+@pytest.mark.parametrize("head", HEADS)
+def test_head_left_open(head):
+    if "<title>T<body>" in head and not html_tree.Tree("<title>T<div>x</div>").nodes[2:]:
+        pytest.skip("this parser reads a title up to its end tag")
+    assert html_tree.main_text(f"{head}<nav><a href=/>Home</a></nav><article><h1>A</h1><p>{BODY}</p><p>{BODY}</p></article>") == f"A {BODY} {BODY}"
+
+
+def test_text_and_inline_elements_end_a_head():
+    for start in ("Some text", "<a>Some text</a>", "<img>Some text"):
+        tree = html_tree.Tree(f"<head><title>T</title>{start}<div>more</div>")
+        assert ["".join(parts) for _, parts in tree.runs] == ["Some text", "more"]
