@@ -89,7 +89,7 @@ def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_scaled_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sketch.fingerprints(table(spark, sf_dir, "documents"))
+    return sketch.fingerprints(table(spark, sf_dir, "documents"), scale=sketch.SHORT_SCALE)
 
 
 def op10_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,8 +19,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SHINGLE = 5
-#: One of so many shingle hashes is kept.
+#: One of so many shingle hashes is kept where the caller names no other fraction.
 SCALE = 8
+#: The same for tables with texts of a few words, which need half of theirs for an estimate.
+SHORT_SCALE = 2
 #: Documents per bucket of neighbouring ids, and the most buckets there can be.
 BUCKET = 1_000
 MOST_BUCKETS = 131_072
@@ -49,6 +51,8 @@ def with_sketch(df: DataFrame, text: str, into: str, size: int = SHINGLE, scale:
 
 def kept(hashes: Column, scale: int = SCALE) -> Column:
     """What a sketch keeps of the distinct hashes of a document (a column that is worked out)."""
+    if scale == 1:
+        return F.sort_array(hashes)
     limit = F.lit(_NEGATIVE + (1 << 64) // scale)
     below = F.sort_array(F.filter(hashes, lambda h: h < limit))
     return F.when(F.array_min(hashes) < limit, below).otherwise(F.slice(F.sort_array(hashes), 1, 1))

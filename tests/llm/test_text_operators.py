@@ -13,7 +13,7 @@ import pandas as pd
 import pytest
 import xxhash
 
-from natal.llm import bpe, components, kneser_ney, labelled, multi_index, packing, quality, simhash, sketch, token_rollup, toxicity
+from natal.llm import bpe, components, kneser_ney, labelled, multi_index, packing, quality, queries, simhash, sketch, token_rollup, toxicity
 from natal.llm.common import tokenizer_path, written
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score string, row int, fp string, ids int, label string"
@@ -548,6 +548,16 @@ def test_sketch_edges(spark, docs, no_docs):
     assert sketch.fingerprints(far).count() == 3
 
 
+def test_short_texts_are_estimated(spark, tmp_path):
+    """The half that a short text keeps is seen in its edited text: against sketches of every hash."""
+    df = spark.createDataFrame([(k, words(14 + k % 10, 2000 + k)) for k in range(300)], "doc_id long, text string")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    both = (queries.op9_scaled_sketch(spark, str(tmp_path)), sketch.fingerprints(df, scale=1))
+    got, true = (np.array([r.near_edited for r in out.orderBy("doc_id").collect()]) for out in both)
+    assert (got[true >= 0.3] == 0).mean() < 0.1
+    assert np.abs(got - true).mean() < 0.2
+
+
 def test_sketches_merge(spark):
     a, b = words(60, 1), words(3, 2)
     df = spark.createDataFrame([(a, b)], "a string, b string")
