@@ -207,6 +207,18 @@ def csv_levels_scan(spark, sf_dir):
     return tables.read_levels(spark, notes_file(spark, sf_dir), {"segment": ALLOWED})
 
 
+@query("csv_split_scan", "SELECT doc_id, text, lang, n_chars FROM documents")
+def csv_split_scan(spark, sf_dir):
+    """Long texts with quotes and line breaks, read back by as many tasks as a file has small splits."""
+    path = scratch_path(spark, "texts.csv")
+    texts = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "n_chars")
+    tables.write_csv(texts, path)
+    small = spark.newSession()  # so that the size of splits is this query's own
+    small.conf.set("spark.sql.files.maxPartitionBytes", "256k")
+    small.conf.set("spark.sql.files.openCostInBytes", "64k")
+    return tables.read_csv(small, path, texts.schema)
+
+
 SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
 FIELDS = [("CUSTKEY", 12, "numeric", 0), ("NATION", 3, "numeric", 0), ("BALANCE", 12, "numeric", 2),
           ("SEGMENT", 2, "numeric", 0), ("NAME", 30, "character", 0)]

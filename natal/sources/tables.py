@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from natal.functions.columns import in_levels, nan_to_null
 from natal.functions.names import select_renamed
+from natal.sources import split_csv
 
 NA = "NA"
 #: Quotes inside a quoted field are doubled, and a quoted field may hold line breaks.
@@ -27,8 +28,9 @@ def read_csv(
 ) -> DataFrame:
     """CSV with header and ``NA`` for missing; quotes inside quoted fields are doubled.
 
-    A quoted field may hold line breaks, for which a file cannot be split between tasks. Where
-    no field does, ``multiline=False`` splits large files.
+    A quoted field may hold line breaks. Files that are larger than one split are read by many
+    tasks all the same, after a scan of their quotes (:mod:`natal.sources.split_csv`); smaller ones
+    by one task each. ``multiline=False`` states that no field holds a line break, which saves the scan.
 
     With a schema there is one pass and the wanted columns are parsed only. Without one,
     types are inferred from all rows, or from a share of them with ``sample``; ``declared``
@@ -36,14 +38,19 @@ def read_csv(
     """
     dialect = DIALECT | {"multiLine": multiline}
     reader = spark.read.options(**dialect)
-    if schema is None:
+    records = split_csv.read_records(spark, path) if multiline and split_csv.needs_split(spark, path) else None
+    if schema is None and records is not None:
+        text = T.StructType([T.StructField(c, T.StringType()) for c in reader.csv(path).columns])  # reads the header only
+        rows = split_csv.parsed(records, text, dialect)
+        schema = split_csv.inferred(rows.sample(sample, seed=1) if sample else rows)
+    elif schema is None:
         guess = spark.read.options(**dialect, inferSchema=True)
         schema = (guess.option("samplingRatio", sample) if sample else guess).csv(path).schema
+    elif isinstance(schema, str):
+        schema = T.StructType.fromDDL(schema)
     if declared:
-        if isinstance(schema, str):
-            schema = T.StructType.fromDDL(schema)
         schema = T.StructType([T.StructField(f.name, _type(declared.get(f.name)) or f.dataType) for f in schema])
-    return nan_to_null(reader.schema(schema).csv(path))
+    return nan_to_null(reader.schema(schema).csv(path) if records is None else split_csv.parsed(records, schema, dialect))
 
 
 def _type(ddl: str | None) -> T.DataType | None:

@@ -73,7 +73,7 @@ def main():
     from __spark_entry__ import oracle_sql, queries
 
     sf_dir, *names = sys.argv[1:]
-    spark = tuned_session("compare", "local[8]", spark__sql__shuffle__partitions="8", spark__ui__enabled="false",
+    spark = tuned_session("compare", "local[8]", spark__sql__shuffle__partitions="8", spark__ui__enabled="false", spark__ui__showConsoleProgress="false",
                           spark__driver__memory="8g")
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(sf_dir)
