@@ -1,28 +1,38 @@
 """Logit with a random intercept per group.
 
-For a given group SD the joint mode of coefficients and group effects is found by Newton
-steps. Every step reduces the data to one block of sums per group; eliminating the group
-effects (Schur complement) is a second aggregate, so the driver only sees k x k matrices and
-any number of groups works. A grid of group SDs moves in lockstep, which keeps the number of
-passes independent of its size. The SD itself is integrated out over the grid with Laplace
-weights. This approximates the full posterior; it is not a sampler.
+For a given group SD the joint mode of coefficients and group effects is found by Newton steps on the
+coefficients alone: given those, every group's own mode is a search in one number, which the task
+that holds the group finishes by itself. Patterns are dealt to tasks by group once and kept there.
+A step is one pass over them that sends the current coefficients of all grid points out and brings sums
+back: the group effects leave no state behind, so nothing is joined, shuffled or checkpointed
+between steps, a lost executor costs its share of the patterns only, and a grid of group SDs moves in
+lockstep at the price of one.
+
+A group that holds more than half a task's share of the patterns is spread over tasks. There are
+never more such groups than twice the tasks; their effects take part in the driver's Newton step as
+unknowns that are eliminated by a Schur complement.
+
+The SD itself is integrated out over the grid with Laplace weights. This approximates the full
+posterior; it is not a sampler.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from natal.models.draws import DRAWS, DrawMatrix, normals
-from natal.models.logit import INTERCEPT, fit_logit, number, score_sums, scored
+from natal.models.logit import INTERCEPT
 from natal.models.patterns import HITS, TRIALS, pattern_counts
 from natal.models.priors import Priors
-from natal.models.scoring import CROSS, CURVES, MODES, STREAM, group_offsets, map_blocks, with_stream
+from natal.models.scoring import CROSS, CURVES, MODES, STREAM, group_offsets, logistic, map_blocks, with_stream
 from natal.operators.joins import lookup_join
 from natal.session import cut_lineage
 
@@ -32,8 +42,12 @@ POINTS = 11
 #: Points that the final grid has inside the posterior mass, at least; and where the mass leans
 #: to one side, as it does for an SD near zero.
 INSIDE, INSIDE_LEANING = 6, 40
-GROUP = "_grp"
+GROUP, HEAVY = "_grp", "_heavy"
 DEPTH = 6.0  # log-posterior drop at which the grid may end
+#: Patterns that a task works on: no fewer than the first where that leaves a task, no more than the second.
+FEWEST, MOST = 4_000, 250_000
+#: Tasks up to which their sums come to the driver one by one.
+DIRECT = 512
 
 
 @dataclass(frozen=True)
@@ -87,44 +101,61 @@ def fit_random_intercept(
     hold the mass between, however many groups make it narrow.
     """
     priors = priors or Priors()
-    data = pattern_counts(df, outcome, predictors, group) if patterns is None else patterns
+    data = pattern_counts(df, outcome, predictors, group) if patterns is None else patterns.na.drop("any", subset=list(predictors))
     # Inside the fit the columns have fixed names, whatever the caller calls them.
     inner = [f"x{j}" for j in range(1, len(predictors) + 1)]
     data = data.filter(F.col(group).isNotNull()).select(
-        F.col(group).alias(GROUP), *[F.col(p).alias(x) for p, x in zip(predictors, inner)], TRIALS, HITS
+        F.col(group).alias(GROUP), *[F.col(p).cast("double").alias(x) for p, x in zip(predictors, inner)],
+        F.col(TRIALS).cast("double").alias(TRIALS), F.col(HITS).cast("double").alias(HITS),
     )
-    data = data.persist()
-    groups = data.select(GROUP).distinct().persist()
+    source = data.persist()
+    held = None
     try:
-        start = fit_logit(data, outcome, inner, priors, patterns=data)
-        n_groups = groups.count()
-        job = _Newton(data, (INTERCEPT, *inner), priors, n_groups, max_steps, tol)
-        state = groups.select(GROUP, F.lit(0.0).alias("b"), F.lit(0.0).alias("p"))
-        grid = np.array(sds) if sds is not None else np.exp(np.linspace(*np.log(COARSE), POINTS))
-        fit = job.run(grid, np.tile(start.mode, (len(grid), 1)), state, per_point=False)
+        held, tasks, n_groups, heavy = dealt(source, inner)
+        job = _Newton(held, tasks, len(inner) + 1, priors, n_groups, heavy, max_steps, tol)
+        grid = np.array(sds, dtype=float) if sds is not None else np.exp(np.linspace(*np.log(COARSE), POINTS))
+        fit = job.run(grid, np.zeros((len(grid), job.k)), np.zeros((len(heavy), len(grid))))
         for _ in range(max_grids if sds is None else 0):
             log_sds = next_grid(np.log(grid), fit.log_post)
             if log_sds is None:
                 break
             near = np.abs(log_sds[:, None] - np.log(grid)[None, :]).argmin(axis=1)
             grid = np.exp(log_sds)
-            fit = job.run(grid, fit.beta[near], _restart(fit.blocks, near), per_point=True)
+            fit = job.run(grid, fit.beta[near], fit.effects[:, near])
         else:
             if sds is None:
                 raise RuntimeError(f"the posterior of the group SD was not enclosed in {max_grids} grids")
         weights = np.exp(fit.log_post - fit.log_post.max())
         return MixedFit(
-            (INTERCEPT, *predictors), group, grid, weights / weights.sum(), fit.beta, fit.covs, fit.table(group), n_groups, start.nobs, priors
+            (INTERCEPT, *predictors), group, grid, weights / weights.sum(), fit.beta, fit.covs, job.groups(fit, group), n_groups, int(fit.nobs), priors
         )
     finally:
-        groups.unpersist()
-        data.unpersist()
-
-
-def _array(values: np.ndarray) -> str:
-    """Numbers as a SQL array, nested like ``values``."""
-    parts = [number(v) if np.ndim(v) == 0 else _array(v) for v in values]
-    return f"array({', '.join(parts)})"
+        source.unpersist()
+        if held is not None:
+            held.unpersist()
+
+
+def dealt(data: DataFrame, inner: Sequence[str]) -> tuple[DataFrame, int, int, list]:
+    """Patterns kept in tasks by group, the numbers of tasks and groups, and the groups that are spread over tasks."""
+    spark = data.sparkSession
+    sizes = data.groupBy(GROUP).agg(F.count("*").alias("size"))
+    total = sizes.agg(F.count("*").alias("groups"), F.sum("size").alias("patterns"), F.max("size").alias("largest")).first()
+    if not total["patterns"]:
+        raise ValueError("no complete rows to fit")
+    at_least = math.ceil(total["patterns"] / MOST)
+    tasks = max(at_least, min(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total["patterns"] / FEWEST)))
+    share = max(FEWEST, total["patterns"] / (2 * tasks))
+    # Each holds more than 1 / (2 * tasks) of the patterns, so there are fewer than 2 * tasks of them.
+    heavy = [r[GROUP] for r in sizes.filter(F.col("size") > share).select(GROUP).collect()] if total["largest"] > share else []
+    number, salt = F.lit(None).cast("int"), F.lit(0)
+    if heavy:
+        kind = data.schema[GROUP].dataType
+        rows = spark.createDataFrame([(g, i) for i, g in enumerate(heavy)], f"{GROUP} {kind.simpleString()}, {HEAVY} int")
+        data = data.join(F.broadcast(rows), GROUP, "left")
+        number, salt = F.col(HEAVY), F.when(F.col(HEAVY).isNotNull(), F.pmod(F.xxhash64(*inner, TRIALS, HITS), F.lit(4 * tasks))).otherwise(0)
+    data = data.select("*", salt.alias("_salt")) if heavy else data.select("*", number.alias(HEAVY), salt.alias("_salt"))
+    spread = data.repartition(tasks, GROUP, "_salt").sortWithinPartitions(GROUP).drop("_salt")
+    return spread.persist(), tasks, total["groups"], heavy
 
 
 def next_grid(x: np.ndarray, log_post: np.ndarray, points: int = POINTS) -> np.ndarray | None:
@@ -140,105 +171,219 @@ def next_grid(x: np.ndarray, log_post: np.ndarray, points: int = POINTS) -> np.n
     return np.linspace(x[first - 1], x[last + 1], INSIDE_LEANING + 6 if leaning else points)
 
 
-def _restart(blocks: DataFrame, near: np.ndarray) -> DataFrame:
-    """Start values for a new grid: the effects found at the nearest old grid point."""
-    targets = [[int(t) for t in np.flatnonzero(near == s)] for s in range(int(near.max()) + 1)]
-    return blocks.filter(F.col("s") <= int(near.max())).select(
-        GROUP, F.explode(F.get(F.lit(targets).cast("array<array<int>>"), F.col("s"))).alias("s"), "b", F.col("b").alias("p")
-    )
-
-
 @dataclass
 class _Point:
+    """A converged grid: coefficients, their covariance, log posterior, effects of the heavy groups."""
+
     beta: np.ndarray
     covs: np.ndarray
     log_post: np.ndarray
-    blocks: DataFrame
-    k: int
+    sds: np.ndarray
+    effects: np.ndarray
+    curves: np.ndarray
+    cross: np.ndarray
+    nobs: float
 
-    def table(self, group: str) -> DataFrame:
-        """One row per group with arrays over the grid, as many entries as grid points."""
-        cross = F.array(*[F.col(f"h0_{j}") for j in range(self.k)])
-        entry = F.struct("s", "b", "d", cross.alias("c"))
-        rows = self.blocks.groupBy(GROUP).agg(F.array_sort(F.collect_list(entry)).alias("e"))
-        out = rows.select(
-            F.col(GROUP).alias(group),
-            F.transform("e", lambda e: e["b"]).alias(MODES),
-            F.transform("e", lambda e: e["d"]).alias(CURVES),
-            F.flatten(F.transform("e", lambda e: e["c"])).alias(CROSS),
-        )
-        return cut_lineage(with_stream(out, group))
+
+@dataclass
+class _Patterns:
+    """One task's patterns as arrays; those of a group stand next to each other."""
+
+    x: np.ndarray
+    trials: np.ndarray
+    hits: np.ndarray
+    starts: np.ndarray
+    groups: pa.Array
+    heavy: np.ndarray
+
+    @classmethod
+    def of(cls, batches: Iterator[pa.RecordBatch], k: int) -> _Patterns | None:
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return None
+        table = pa.Table.from_batches(held).combine_chunks()
+        number = lambda c: table.column(c).to_numpy().astype(float)
+        x = np.column_stack([np.ones(len(table)), *[number(f"x{j}") for j in range(1, k)]])
+        group = table.column(GROUP).combine_chunks()
+        codes = group.dictionary_encode().indices.to_numpy()
+        starts = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]])
+        heavy = table.column(HEAVY).combine_chunks().fill_null(-1).to_numpy()
+        return cls(x, number(TRIALS), number(HITS), starts, group.take(pa.array(starts)), heavy[starts])
+
+    def sums(self, values: np.ndarray) -> np.ndarray:
+        """Sums over the patterns of each group."""
+        return np.add.reduceat(values, self.starts, axis=0)
+
+    def spread(self, per_group: np.ndarray) -> np.ndarray:
+        return np.repeat(per_group, np.diff(np.r_[self.starts, len(self.trials)]))
+
+    def log_lik(self, eta: np.ndarray) -> np.ndarray:
+        return self.hits * eta - self.trials * (np.maximum(eta, 0.0) + np.log1p(np.exp(-np.abs(eta))))
+
+    def effects(self, offset: np.ndarray, tau: float, given: np.ndarray) -> np.ndarray:
+        """Mode of every group's effect at the given linear predictor; those of heavy groups are ``given``.
+
+        The log posterior of one effect is concave; a Newton step that would lower it is halved.
+        """
+        light = self.heavy < 0
+        b = np.where(light, 0.0, given)
+        if not light.any():
+            return b
+
+        def value(b):
+            return self.sums(self.log_lik(offset + self.spread(b))) - 0.5 * tau * b * b
+
+        now = value(b)
+        for _ in range(200):
+            p = logistic(offset + self.spread(b))
+            r = self.sums(self.hits - self.trials * p) - tau * b
+            move = np.where(light, r / (self.sums(self.trials * p * (1 - p)) + tau), 0.0)
+            if not (np.abs(move) > 1e-13 * (1 + np.abs(b))).any():
+                break
+            new = value(b + move)
+            for _ in range(60):
+                worse = new < now - 1e-12 * (1 + np.abs(now))
+                if not worse.any():
+                    break
+                move = np.where(worse, move / 2, move)
+                new = value(b + move)
+            b, now = b + move, new
+        return b
+
+    def blocks(self, beta: np.ndarray, tau: float, given: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(effect of each group; its log-likelihood, gradient and upper triangle of the information)."""
+        offset = self.x @ beta
+        b = self.effects(offset, tau, given)
+        eta = offset + self.spread(b)
+        p = logistic(eta)
+        w = self.trials * p * (1 - p)
+        k = self.x.shape[1]
+        parts = [self.log_lik(eta)[:, None], self.x * (self.hits - self.trials * p)[:, None]]
+        parts += [self.x[:, j : j + 1] * self.x[:, j:] * w[:, None] for j in range(k)]
+        return b, self.sums(np.hstack(parts))
+
+
+def _unpacked(block: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(log-likelihood, gradient, information) from the last axis of packed sums."""
+    ll, grad = block[..., 0], block[..., 1 : k + 1]
+    info = np.zeros((*block.shape[:-1], k, k))
+    upper = np.triu_indices(k)
+    info[..., upper[0], upper[1]] = info[..., upper[1], upper[0]] = block[..., k + 1 :]
+    return ll, grad, info
 
 
 class _Newton:
-    def __init__(self, data, terms, priors, n_groups, max_steps, tol):
-        self.data, self.terms, self.priors = data, terms, priors
+    def __init__(self, data: DataFrame, tasks: int, k: int, priors: Priors, n_groups: int, heavy: Sequence, max_steps: int, tol: float):
+        self.data, self.tasks, self.k, self.priors, self.heavy = data, tasks, k, priors, list(heavy)
         self.n_groups, self.max_steps, self.tol = n_groups, max_steps, tol
-        self.k = len(terms)
+        self.wide = 1 + k + k * (k + 1) // 2
 
-    def block_sums(self, m: int, beta: np.ndarray, state: DataFrame, per_point: bool) -> DataFrame:
-        """Sums per group and grid point: log-likelihood, gradient and information.
+    def pass_over(self, sds: np.ndarray, beta: np.ndarray, effects: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+        """One pass: sums over the light groups, packed sums of each heavy group, and respondents.
 
-        ``state`` holds the current group effects, per grid point or shared by all.
+        Sums per grid point: log posterior of the effects given the coefficients, log determinant of
+        their curvatures, gradient and information after eliminating them.
         """
-        points = F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias("s")
-        keys = [GROUP, "s"] if per_point else [GROUP]
-        rows = lookup_join(self.data.select("*", points), state, keys, "inner", self.n_groups * (m if per_point else 1))
-        coef = f"get({_array(beta)}, s)"
-        eta = " + ".join(["b", f"get({coef}, 0)", *[f"get({coef}, {j}) * `{t}`" for j, t in enumerate(self.terms[1:], 1)]])
-        rows = scored(rows, self.terms, eta, [GROUP, "s", "b", "p"])
-        return rows.groupBy(GROUP, "s").agg(F.first("b").alias("b"), F.first("p").alias("p"), *score_sums(self.k))
-
-    def run(self, sds: np.ndarray, beta: np.ndarray, state: DataFrame, per_point: bool) -> _Point:
+        k, m, wide = self.k, len(sds), self.wide
+        tau, heavy = 1.0 / sds**2, len(self.heavy)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            task = _Patterns.of(batches, k)
+            if task is None:
+                return
+            light, total = task.heavy < 0, np.zeros((m, 2 + k + k * k))
+            parts: dict[int, np.ndarray] = {int(h): np.zeros((m, wide)) for h in task.heavy[~light]}
+            for s in range(m):
+                given = effects[task.heavy, s] if heavy else np.zeros(len(light))
+                b, block = task.blocks(beta[s], tau[s], given)
+                for h, row in zip(task.heavy[~light], block[~light]):
+                    parts[int(h)][s] += row
+                ll, grad, info = _unpacked(block[light], k)
+                d, h0 = info[:, 0, 0] + tau[s], info[:, 0, :]
+                r = grad[:, 0] - tau[s] * b[light]
+                total[s, 0] = (ll - 0.5 * tau[s] * b[light] ** 2).sum()
+                total[s, 1] = np.log(d).sum()
+                total[s, 2 : 2 + k] = (grad - h0 * (r / d)[:, None]).sum(axis=0)
+                total[s, 2 + k :] = (info - h0[:, :, None] * h0[:, None, :] / d[:, None, None]).sum(axis=0).ravel()
+            rows = [(-1, np.r_[task.trials.sum(), total.ravel()])] + [(h, v.ravel()) for h, v in parts.items()]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([h for h, _ in rows], pa.int32()), pa.array([v.tolist() for _, v in rows], pa.list_(pa.float64()))], [HEAVY, "sums"]
+            )
+
+        rows = self.data.mapInArrow(run, f"{HEAVY} int, sums array<double>")
+        total, parts = np.zeros(1 + m * (2 + k + k * k)), np.zeros((heavy, m * wide))
+        if self.tasks > DIRECT:
+            cells = rows.select(HEAVY, F.posexplode("sums")).groupBy(HEAVY, "pos").agg(F.sum("col").alias("v"))
+            for h, pos, v in cells.collect():  # as many rows as there are sums
+                (total if h < 0 else parts[h])[pos] += v
+        else:
+            for h, v in rows.collect():  # one row of sums per task, and per heavy group of a task
+                if h < 0:
+                    total += v
+                else:
+                    parts[h] += v
+        return total[1:].reshape(m, -1), parts.reshape(heavy, m, wide), total[0]
+
+    def run(self, sds: np.ndarray, beta: np.ndarray, effects: np.ndarray) -> _Point:
         k, m = self.k, len(sds)
-        penalty = np.diag(self.priors.precision(k))
-        tau = f"get({_array(1.0 / sds**2)}, s)"
-        reached, before = np.full(m, -np.inf), beta
+        penalty, tau = np.diag(self.priors.precision(k)), 1.0 / sds**2
+        reached, before = np.full(m, -np.inf), (beta, effects)
         for _ in range(self.max_steps):
-            sums = self.block_sums(m, beta, state, per_point)
-            # Kept outside the executors and without history, so a lost one costs one step at most.
-            blocks = cut_lineage(sums.selectExpr("*", f"h0_0 + {tau} AS d", f"g0 - {tau} * b AS r"))
-            # One row per grid point.
-            reduced = sorted(blocks.groupBy("s").agg(*self.schur_sums()).collect(), key=lambda row: row["s"])
-            grad = np.array([[r[f"g{j}"] for j in range(k)] for r in reduced]) - beta @ penalty
-            schur = np.array(
-                [[[r[f"h{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)] for r in reduced]
-            ) + penalty
-            value = np.array([r["ll"] for r in reduced]) - 0.5 * np.array([r["bb"] for r in reduced]) / sds**2
-            value -= 0.5 * np.einsum("sk,kl,sl->s", beta, penalty, beta)
+            total, parts, nobs = self.pass_over(sds, beta, effects)
+            value, logdet = total[:, 0].copy(), total[:, 1].copy()
+            grad, schur = total[:, 2 : 2 + k].copy(), total[:, 2 + k :].reshape(m, k, k).copy()
+            ll, g, info = _unpacked(parts, k)
+            cross, d = info[:, :, 0, :], info[:, :, 0, 0] + tau
+            r = g[:, :, 0] - tau * effects
+            value += (ll - 0.5 * tau * effects**2).sum(axis=0) - 0.5 * np.einsum("sk,kl,sl->s", beta, penalty, beta)
+            logdet += np.log(d).sum(axis=0)
+            grad += (g - cross * (r / d)[:, :, None]).sum(axis=0) - beta @ penalty
+            schur += (info - cross[..., :, None] * cross[..., None, :] / d[..., None, None]).sum(axis=0) + penalty
             over = value < reached - 1e-9 * np.abs(reached)  # overshot: these points go back half way
             move = np.linalg.solve(schur, grad[:, :, None])[:, :, 0]
-            # Newton decrement of the joint step: coefficients after elimination, plus group effects.
-            gain = np.einsum("sk,sk->s", move, grad) + np.array([r["own"] for r in reduced])
+            # Newton decrement: coefficients after elimination, plus the effects of heavy groups.
+            gain = np.einsum("sk,sk->s", move, grad) + (r * r / d).sum(axis=0)
             if gain.max() < self.tol and not over.any():
-                log_post = self.log_posterior(sds, beta, reduced, schur)
-                return _Point(beta, np.linalg.inv(schur), log_post, blocks, k)
-            shift = " + ".join(f"h0_{j} * get(get({_array(move)}, s), {j})" for j in range(k))
-            back = f"get(array({', '.join('true' if o else 'false' for o in over)}), s)"
-            state = blocks.selectExpr(
-                GROUP, "s", f"if({back}, (b + p) / 2, b + (r - ({shift})) / d) AS b", f"if({back}, p, b) AS p"
-            )
+                log_post = self.log_posterior(sds, value, logdet, schur)
+                return _Point(beta, np.linalg.inv(schur), log_post, sds, effects, d, cross, nobs)
             reached = np.where(over, reached, value)
-            beta, before = np.where(over[:, None], (beta + before) / 2, beta + move), np.where(over[:, None], before, beta)
-            per_point = True
+            step = beta + move, effects + (r - np.einsum("hsk,sk->hs", cross, move)) / d
+            half = (beta + before[0]) / 2, (effects + before[1]) / 2
+            held = np.where(over[:, None], before[0], beta), np.where(over[None, :], before[1], effects)
+            beta, effects = np.where(over[:, None], half[0], step[0]), np.where(over[None, :], half[1], step[1])
+            before = held
         raise RuntimeError(f"no convergence in {self.max_steps} steps")
 
-    def schur_sums(self):
-        k = self.k
-        sums = ["sum(ll) AS ll", "sum(b * b) AS bb", "sum(ln(d)) AS logdet", "sum(r * r / d) AS own"]
-        sums += [f"sum(g{j} - h0_{j} * r / d) AS g{j}" for j in range(k)]
-        sums += [f"sum(h{j}_{l} - h0_{j} * h0_{l} / d) AS h{j}_{l}" for j in range(k) for l in range(j, k)]
-        return [F.expr(e) for e in sums]
-
-    def log_posterior(self, sds, beta, reduced, schur):
+    def log_posterior(self, sds, value, logdet, schur):
         """Laplace log posterior of the log group SD, up to a constant."""
-        out = []
-        for s, r in enumerate(reduced):
-            value = r["ll"] - 0.5 * r["bb"] / sds[s] ** 2 - self.n_groups * np.log(sds[s]) - 0.5 * r["logdet"]
-            value -= 0.5 * np.linalg.slogdet(schur[s])[1]
-            value -= 0.5 * beta[s] @ np.diag(self.priors.precision(self.k)) @ beta[s]
-            out.append(value + self.priors.log_group_sd(sds[s]) + np.log(sds[s]))
-        return np.array(out)
+        out = value - self.n_groups * np.log(sds) - 0.5 * logdet - 0.5 * np.linalg.slogdet(schur)[1]
+        return out + np.array([self.priors.log_group_sd(s) for s in sds]) + np.log(sds)
+
+    def groups(self, fit: _Point, group: str) -> DataFrame:
+        """One row per group with arrays over the grid, as many entries as grid points."""
+        k, m, heavy = self.k, len(fit.sds), self.heavy
+        beta, tau, effects = fit.beta, 1.0 / fit.sds**2, fit.effects
+        kind = self.data.schema[GROUP].dataType.simpleString()
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            task = _Patterns.of(batches, k)
+            if task is None:
+                return
+            light = task.heavy < 0
+            modes, curves, cross = np.zeros((light.sum(), m)), np.zeros((light.sum(), m)), np.zeros((light.sum(), m, k))
+            for s in range(m):
+                b, block = task.blocks(beta[s], tau[s], effects[task.heavy, s] if heavy else np.zeros(len(light)))
+                info = _unpacked(block[light], k)[2]
+                modes[:, s], curves[:, s], cross[:, s] = b[light], info[:, 0, 0] + tau[s], info[:, 0, :]
+            lists = [pa.array(list(x.reshape(len(modes), math.prod(x.shape[1:]))), pa.list_(pa.float64())) for x in (modes, curves, cross)]
+            yield pa.RecordBatch.from_arrays([task.groups.filter(pa.array(light)), *lists], [GROUP, MODES, CURVES, CROSS])
+
+        schema = f"`{GROUP}` {kind}, {MODES} array<double>, {CURVES} array<double>, {CROSS} array<double>"
+        out = self.data.mapInArrow(run, schema)
+        if heavy:
+            rows = [(g, fit.effects[i].tolist(), fit.curves[i].tolist(), fit.cross[i].ravel().tolist()) for i, g in enumerate(heavy)]
+            out = out.unionByName(self.data.sparkSession.createDataFrame(rows, schema))
+        return cut_lineage(with_stream(out.withColumnRenamed(GROUP, group), group))
 
 
 def mixed_draws(fit: MixedFit, n: int = DRAWS, seed: int = 42) -> DrawMatrix:

@@ -403,3 +403,54 @@ def test_store_finds_fits_by_data_and_specification(spark, simulated, tmp_path):
     fit(None, counts.filter("b > 0"))
     assert len(made) == 3
     assert fingerprint(counts) == fingerprint(counts.repartition(5).select(*reversed(counts.columns)))
+
+
+def panel_of(spark, groups=12, rows=900, seed=8):
+    """Respondents of some groups, of which the first holds more than a third; x is their own."""
+    rng = np.random.default_rng(seed)
+    g = np.where(rng.random(rows) < 0.35, 0, rng.integers(groups, size=rows))
+    x = rng.normal(size=rows).round(2)
+    y = (rng.random(rows) < 1 / (1 + np.exp(-(0.3 + 0.8 * x + rng.normal(size=groups)[g])))).astype(float)
+    return spark.createDataFrame(pd.DataFrame({"g": g.astype("int32"), "x": x, "y": y}))
+
+
+@pytest.mark.parametrize("fewest, direct", [(20, 512), (20, 1), (10**6, 512)])
+def test_spread_groups_give_the_same_fit(spark, monkeypatch, fewest, direct):
+    """Groups over several tasks, or all in one task, or sums added up by Spark: one and the same fit."""
+    df = panel_of(spark)
+    want = mixed.fit_random_intercept(df, "y", ["x"], "g", WEAK, sds=[0.5, 1.0, 2.0], tol=1e-12)
+    monkeypatch.setattr(mixed, "FEWEST", fewest)
+    monkeypatch.setattr(mixed, "DIRECT", direct)
+    data, tasks, n, heavy = mixed.dealt(df.select(F.col("g").alias(mixed.GROUP), F.col("x").alias("x1"), F.lit(1.0).alias("n"), F.col("y").alias("hits")), ["x1"])
+    assert (0 in heavy) == (fewest == 20) and n == 12 and data.rdd.getNumPartitions() == tasks
+    sizes = [r[0] for r in data.groupBy(F.spark_partition_id()).count().select("count").collect()]
+    assert fewest > 20 or max(sizes) < 0.35 * 900
+    got = mixed.fit_random_intercept(df, "y", ["x"], "g", WEAK, sds=[0.5, 1.0, 2.0], tol=1e-12)
+    for a, b in ((got.modes, want.modes), (got.covs, want.covs), (got.weights, want.weights)):
+        assert np.allclose(a, b, atol=1e-6)
+    for a, b in zip(got.groups.orderBy("g").collect(), want.groups.orderBy("g").collect()):
+        assert a["g"] == b["g"] and np.allclose(a[mixed.MODES], b[mixed.MODES], atol=1e-5) and np.allclose(a[mixed.CROSS], b[mixed.CROSS], rtol=1e-4)
+
+
+def test_mode_of_a_mixed_fit_is_the_joint_mode(spark):
+    """Gradient of the joint log posterior is zero at coefficients and effects, by plain arithmetic."""
+    df = panel_of(spark, seed=9)
+    fit = mixed.fit_random_intercept(df, "y", ["x"], "g", sds=[0.7], tol=1e-14)
+    b = {r["g"]: r[mixed.MODES][0] for r in fit.groups.collect()}
+    d = df.toPandas()
+    p = 1 / (1 + np.exp(-(fit.modes[0][0] + fit.modes[0][1] * d.x + d.g.map(b))))
+    residual = d.y - p
+    assert abs(residual.sum()) < 1e-6 and abs((residual * d.x).sum()) < 1e-6
+    for g, value in b.items():
+        assert abs(residual[d.g == g].sum() - value / 0.7**2) < 1e-6
+
+
+def test_a_fit_takes_few_jobs(spark):
+    data = pattern_counts(panel_of(spark), "y", ["x"], "g").persist()
+    data.count()
+    sc = spark.sparkContext
+    sc.setJobGroup("mixed-fit", "a fit on the default grid")
+    fit = mixed.fit_random_intercept(data, "y", ["x"], "g", WEAK, patterns=data)
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    assert len(fit.sds) >= mixed.POINTS and len(sc.statusTracker().getJobIdsForGroup("mixed-fit")) < 20
+    assert "Generate" not in fit.groups._jdf.queryExecution().toString()
