@@ -23,101 +23,140 @@ def log_mean_exp(a: np.ndarray) -> np.ndarray:
     return (top + np.log(np.exp(a - top).mean(axis=1, keepdims=True)))[:, 0]
 
 
-def pareto_shape(excess: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Shape and scale of a generalised Pareto tail for every row of sorted excesses.
+def tail_length(draws: int) -> int:
+    """How many of the largest importance ratios are smoothed; none where they are too few for a fit."""
+    tail = int(min(np.ceil(0.2 * draws), np.ceil(3 * np.sqrt(draws))))
+    return tail if tail >= 5 else 0
+
+
+def tail_of(ll: np.ndarray, tail: int) -> dict[str, np.ndarray | list]:
+    """What leave-one-out needs of the log-likelihoods of all draws, per row.
+
+    ``top`` holds the ``tail`` largest log ratios in rising order, relative to the largest; ``cut`` is
+    the next one, ``rest`` the sum of all smaller ratios, ``shift`` the largest log ratio.
+    """
+    shift = (-ll).max(axis=1)
+    ratios = -ll - shift[:, None]
+    if tail:
+        ratios = np.partition(ratios, [ll.shape[1] - tail - 1], axis=1)
+    split = ll.shape[1] - tail
+    top = np.sort(ratios[:, split:], axis=1)
+    cut = ratios[:, split - 1] if split else np.full(len(ll), -np.inf)
+    return {"top": list(top), "cut": cut, "rest": np.exp(ratios[:, :split]).sum(axis=1), "shift": shift, "lpd": log_mean_exp(ll)}
+
+
+#: How many points the profile of the tail's shape has beyond the root of the tail's
+#: length, and the weight and place of the prior on the shape.
+PROFILE, PRIOR_WEIGHT, PRIOR_SHAPE = 30, 10.0, 0.5
+
+
+def tail_fit(df: DataFrame, excess: str, n: int, into: str) -> DataFrame:
+    """Add ``into``: shape and scale of a generalised Pareto tail for an array of ``n`` rising excesses.
 
     Profile posterior mean over a fixed grid (Zhang and Stephens 2009), with the shape
-    shrunk towards one half for short tails (Vehtari et al. 2024).
+    shrunk towards one half for short tails (Vehtari et al. 2024). All in array expressions; each
+    step is a column of its own, so that none is computed twice.
     """
-    rows, n = excess.shape
-    m = 30 + int(np.sqrt(n))
-    quarter = excess[:, int(n / 4 + 0.5) - 1][:, None]
-    grid = 1 - np.sqrt(m / (np.arange(1, m + 1) - 0.5))
-    theta = 1 / excess[:, -1:] + grid[None, :] / 3 / quarter
-    shape = np.empty((rows, m))
-    for j in range(m):
-        shape[:, j] = np.log1p(-theta[:, j : j + 1] * excess).mean(axis=1)
-    profile = n * (np.log(-theta / shape) - shape - 1)
-    weight = np.exp(profile - profile.max(axis=1, keepdims=True))
-    weight /= weight.sum(axis=1, keepdims=True)
-    theta = (theta * weight).sum(axis=1)
-    k = np.log1p(-theta[:, None] * excess).mean(axis=1)
-    scale = -k / theta
-    return (n * k + 10 * 0.5) / (n + 10), scale
-
-
-def smooth_tail(ratios: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pareto-smoothed log importance ratios (rows by draws) and the tail shape per row.
-
-    The largest ratios are replaced by expected order statistics of the fitted tail and
-    none may exceed the largest raw ratio.
+    points = PROFILE + int(np.sqrt(n))
+    x = F.col(excess)
+
+    def mean_log(theta):
+        return F.aggregate(x, F.lit(0.0), lambda total, e: total + F.log1p(-theta * e)) / n
+
+    offsets = F.array(*[F.lit(float(1 - np.sqrt(points / (j - 0.5))) / 3) for j in range(1, points + 1)])
+    first, quarter = 1 / F.get(x, F.lit(n - 1)), F.get(x, F.lit(int(n / 4 + 0.5) - 1))
+    theta = F.transform(offsets, lambda o: first + o / quarter)
+    grid = F.transform(theta, lambda t: F.struct(t.alias("t"), mean_log(t).alias("k")))
+    profile = F.transform("_grid", lambda g: F.struct(g["t"].alias("t"), (n * (F.log(-g["t"] / g["k"]) - g["k"] - 1)).alias("p")))
+    weight = F.transform("_profile", lambda g: F.struct(g["t"].alias("t"), F.exp(g["p"] - F.col("_peak")).alias("w")))
+    total = F.aggregate("_weight", F.lit(0.0), lambda a, g: a + g["w"])
+    best = F.aggregate("_weight", F.lit(0.0), lambda a, g: a + g["t"] * g["w"]) / total
+    shape = F.struct(((n * F.col("_k") + PRIOR_WEIGHT * PRIOR_SHAPE) / (n + PRIOR_WEIGHT)).alias("shape"), (-F.col("_k") / F.col("_theta")).alias("scale"))
+    return (
+        df.withColumn("_grid", grid)
+        .withColumn("_profile", profile)
+        .withColumn("_peak", F.array_max(F.transform("_profile", lambda g: g["p"])))
+        .withColumn("_weight", weight)
+        .withColumn("_theta", best)
+        .withColumn("_k", mean_log(F.col("_theta")))
+        .withColumn(into, shape)
+        .drop("_grid", "_profile", "_peak", "_weight", "_theta", "_k")
+    )
+
+
+def with_loo(df: DataFrame, model: str, draws: int, tail: int) -> DataFrame:
+    """Turn a model's tail ``_t_<model>`` into ``elpd_``, ``lpd_`` and ``k_``.
+
+    The largest ratios are replaced by expected order statistics of the fitted tail, and none may
+    exceed the largest raw ratio. A draw outside the tail adds the same to the sum over draws of ratio
+    times density whatever it is, so those outside need no more than their number and their sum.
     """
-    s = ratios.shape[1]
-    out = ratios - ratios.max(axis=1, keepdims=True)
-    tail = int(min(np.ceil(0.2 * s), np.ceil(3 * np.sqrt(s))))
-    shape = np.full(len(out), np.inf)
-    if tail < 5:
-        return out, shape
-    order = np.argsort(out, axis=1, kind="stable")
-    where = order[:, -tail:]
-    top = np.take_along_axis(out, where, axis=1)
-    cut = np.take_along_axis(out, order[:, -tail - 1 : -tail], axis=1)
-    excess = np.exp(top) - np.exp(cut)
-    flat = ~(np.ptp(top, axis=1) > 1e-12) | (excess[:, 0] <= 0)
-    good = ~flat
-    shape[flat] = -np.inf
-    if good.any():
-        k, scale = pareto_shape(excess[good])
-        p = (np.arange(1, tail + 1) - 0.5) / tail
-        kk = np.where(np.abs(k) < 1e-12, 1e-12, k)[:, None]
-        quantile = scale[:, None] * np.expm1(-kk * np.log1p(-p)[None, :]) / kk
-        fitted = np.log(np.exp(cut[good]) + quantile)
-        smoothed = out[good]
-        np.put_along_axis(smoothed, where[good], np.minimum(fitted, 0.0), axis=1)
-        out[good] = smoothed
-        shape[good] = k
-    return out, shape
-
-
-def loo_point(ll: np.ndarray, smooth: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Leave-one-out density, its in-sample counterpart and tail shape per row."""
-    lpd = log_mean_exp(ll)
-    if smooth:
-        lw, shape = smooth_tail(-ll)
-    else:
-        lw, shape = -ll, np.full(len(ll), np.nan)
-    top = lw.max(axis=1, keepdims=True)
-    joint = lw + ll
-    jtop = joint.max(axis=1, keepdims=True)
-    elpd = jtop[:, 0] + np.log(np.exp(joint - jtop).sum(axis=1)) - top[:, 0] - np.log(np.exp(lw - top).sum(axis=1))
-    return elpd, lpd, shape
+    t = F.col(f"_t_{model}")
+    if not tail:
+        shape = F.lit(float("inf") if draws else float("nan"))
+        elpd = F.log(draws / t["rest"]) - t["shift"]
+        return df.withColumns({f"elpd_{model}": elpd, f"lpd_{model}": t["lpd"], f"k_{model}": shape}).drop(f"_t_{model}")
+    low, high = F.get(t["top"], F.lit(0)), F.get(t["top"], F.lit(tail - 1))
+    flat = (high - low <= 1e-12) | (F.exp(low) - F.exp(t["cut"]) <= 0)  # no tail to fit
+    excess = F.when(~F.col("_flat"), F.transform(t["top"], lambda v: F.exp(v) - F.exp(t["cut"])))
+    df = tail_fit(df.withColumn("_flat", flat).withColumn("_excess", excess), "_excess", tail, "_fit")
+    k = F.when(F.abs(F.col("_fit.shape")) < 1e-12, 1e-12).otherwise(F.col("_fit.shape"))
+    places = F.array(*[F.lit(float(np.log1p(-(i - 0.5) / tail))) for i in range(1, tail + 1)])
+    quantiles = F.transform(places, lambda q: F.col("_fit.scale") * F.expm1(-k * q) / k)
+    fitted = F.transform(quantiles, lambda q: F.least(F.log(F.exp(t["cut"]) + q), F.lit(0.0)))
+    smooth = F.when(F.col("_flat"), t["top"]).otherwise(fitted)
+    pairs = F.arrays_zip(t["top"].alias("raw"), F.col("_smooth").alias("new"))
+    over = F.aggregate(pairs, F.lit(0.0), lambda a, p: a + F.exp(p["new"] - p["raw"]))
+    under = F.aggregate("_smooth", F.lit(0.0), lambda a, v: a + F.exp(v))
+    return (
+        df.withColumn("_smooth", smooth)
+        .withColumns(
+            {
+                f"elpd_{model}": F.log((draws - tail + over) / (t["rest"] + under)) - t["shift"],
+                f"lpd_{model}": t["lpd"],
+                f"k_{model}": F.when(F.col("_flat"), F.lit(float("-inf"))).otherwise(F.col("_fit.shape")),
+            }
+        )
+        .drop("_excess", "_flat", "_fit", "_smooth", f"_t_{model}")
+    )
+
+
+_TAIL = "struct<top: array<double>, cut: double, rest: double, shift: double, lpd: double>"
 
 
 def pointwise(patterns: DataFrame, models: Mapping[str, DrawMatrix], smooth: bool = True, group_prefix: Mapping[str, str] | None = None) -> DataFrame:
     """Leave-one-out values of all models in one pass.
 
     ``patterns`` must span the predictors of every model. Result columns: pattern key, ``y``,
-    number of respondents, and per model ``elpd_``, ``lpd_`` and ``k_``.
+    number of respondents, and per model ``elpd_``, ``lpd_`` and ``k_``. A task reduces the draws of a
+    pattern to the tail of their importance ratios; the tail is fitted and smoothed by Spark.
     """
     prefixes = dict(group_prefix or {})
     keys = [c for c in patterns.columns if c not in (HITS, TRIALS) and not c.startswith(("_natal", *prefixes.values()))]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in patterns.select(*keys).schema)
-    schema += ", y int, n bigint"
-    schema += "".join(f", `elpd_{m}` double, `lpd_{m}` double, `k_{m}` double" for m in models)
+    schema += ", y int, n bigint" + "".join(f", `_t_{m}` {_TAIL}" for m in models)
+    tails = {m: tail_length(len(d)) if smooth else 0 for m, d in models.items()}
 
     def reduce(blocks, ms):
         for block in blocks:
             etas = {m: eta_of(block, d, prefixes.get(m, "")) for m, d in ms.items()}
             for y in (0, 1):
                 hits = block[HITS].to_numpy(dtype=float)
-                out = block[keys].copy()
-                out["y"] = y
-                out["n"] = (hits if y else block[TRIALS].to_numpy(dtype=float) - hits).round().astype("int64")
+                n = (hits if y else block[TRIALS].to_numpy(dtype=float) - hits).round().astype("int64")
+                rows = np.flatnonzero(n > 0)
+                out = block[keys].iloc[rows].copy()
+                out["y"], out["n"] = y, n[rows]
                 for m, eta in etas.items():
-                    out[f"elpd_{m}"], out[f"lpd_{m}"], out[f"k_{m}"] = loo_point(log_lik(eta, y), smooth)
-                yield out[out["n"] > 0]
-
-    return map_blocks(patterns, models, reduce, schema)
+                    found = tail_of(log_lik(eta[rows], y), tails[m])
+                    out[f"_t_{m}"] = [dict(zip(found, v)) for v in zip(*found.values())]
+                yield out
+
+    points = map_blocks(patterns, models, reduce, schema)
+    for m, d in models.items():
+        points = with_loo(points, m, len(d), tails[m])
+        if not smooth:
+            points = points.withColumn(f"k_{m}", F.lit(float("nan")))
+    return points
 
 
 def loo_summary(points: DataFrame, models: Sequence[str], bad_k: float = 0.7) -> DataFrame:

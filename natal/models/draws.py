@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from natal.models.logit import LogitFit
@@ -60,6 +60,23 @@ def normals(seed: int, stream: int | str, shape: tuple[int, ...]) -> np.ndarray:
     return (np.sqrt(-2 * np.log(u)) * np.cos(2 * np.pi * v)).reshape(shape)
 
 
+def uniforms(seed: int, stream: int | str, n: int) -> np.ndarray:
+    """Numbers between 0 and 1 of a named stream, from message digests as in :func:`normals`."""
+    digests = (hashlib.md5(f"{seed}:{stream}:{i}".encode()).hexdigest() for i in range(n))
+    return (np.array([int(d[:13], 16) for d in digests], dtype=np.int64) + 0.5) / 2.0**52
+
+
+def normal_column(seed: int, stream: Column, number: Column) -> Column:
+    """:func:`normals` as a column: number ``number`` of the stream that ``stream`` names."""
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), stream.cast("string"), F.lit(":"), number.cast("string")).cast("binary"))
+
+    def part(start):
+        return F.conv(F.substring(digest, start, 13), 16, 10).cast("double")
+
+    u, v = (part(1) + 0.5) / 2.0**52, part(14) / 2.0**52
+    return F.sqrt(-2 * F.log(u)) * F.cos(2 * math.pi * v)
+
+
 def draw_matrix(fit: LogitFit, n: int = DRAWS, seed: int = 42) -> DrawMatrix:
     """Normal approximation around the posterior mode."""
     z = normals(seed, 0, (n, len(fit.terms)))

@@ -23,16 +23,15 @@ from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from natal.models.draws import DRAWS, DrawMatrix, normals
+from natal.models.draws import DRAWS, DrawMatrix, normal_column, normals, uniforms
 from natal.models.logit import INTERCEPT
 from natal.models.patterns import HITS, TRIALS, pattern_counts
 from natal.models.priors import Priors
-from natal.models.scoring import CROSS, CURVES, MODES, STREAM, group_offsets, logistic, map_blocks, with_stream
+from natal.models.scoring import CROSS, CURVES, MODES, STREAM, logistic, with_stream
 from natal.operators.joins import lookup_join
 from natal.session import cut_lineage
 
@@ -388,8 +387,8 @@ class _Newton:
 
 def mixed_draws(fit: MixedFit, n: int = DRAWS, seed: int = 42) -> DrawMatrix:
     """Coefficient draws: a grid point by its weight, then a normal around its mode."""
-    rng = np.random.Generator(np.random.Philox(key=np.array([seed, 1], dtype=np.uint64)))
-    component = rng.choice(len(fit.weights), size=n, p=fit.weights)
+    below = np.cumsum(fit.weights)[:-1]
+    component = np.searchsorted(below, uniforms(seed, "component", n), side="right")
     z = normals(seed, 0, (n, len(fit.terms)))
     chol = np.linalg.cholesky(fit.covs)
     values = fit.modes[component] + np.einsum("dij,dj->di", chol[component], z)
@@ -412,22 +411,21 @@ def attach_groups(patterns: DataFrame, fit: MixedFit, prefix: str = "") -> DataF
 
 
 def group_draws(fit: MixedFit, draws: DrawMatrix) -> DataFrame:
-    """Long table ``(condition, term, draw, value)`` of group effects."""
-    kind = fit.groups.schema[fit.group].dataType.simpleString()
-    group = fit.group
-
-    def reduce(blocks, d):
-        for block in blocks:
-            b = group_offsets(block, d)
-            yield pd.DataFrame(
-                {
-                    "condition": np.repeat(block[group].to_numpy(), len(d)),
-                    "term": INTERCEPT,
-                    "draw": np.tile(np.arange(len(d)), len(block)),
-                    "value": b.ravel(),
-                }
-            )
-
-    return map_blocks(fit.groups, draws, reduce, f"condition {kind}, term string, draw bigint, value double")
-
+    """Long table ``(condition, term, draw, value)`` of group effects.
 
+    Draws of groups are made by column expressions. The draws of the coefficients join as one row of
+    arrays, whose size is set by the model and not by the data.
+    """
+    spark, k = fit.groups.sparkSession, len(fit.terms)
+    shift = draws.values - draws.centre[draws.component]
+    rows = pa.table({"draw": np.arange(len(draws)), "s": draws.component.astype("int32"), "shift": pa.array(shift.tolist(), pa.list_(pa.float64()))})
+    numbered = F.broadcast(spark.createDataFrame(rows).agg(F.collect_list(F.struct("draw", "s", "shift")).alias("all")))
+    one = F.col("one")
+    at = one["s"]
+    cross = [F.get(CROSS, at * k + j) * F.get(one["shift"], F.lit(j)) for j in range(k)]
+    curve = F.get(CURVES, at)
+    noise = normal_column(draws.seed, F.col(STREAM), one["draw"])
+    value = F.get(MODES, at) - sum(cross[1:], cross[0]) / curve + noise / F.sqrt(curve)
+    # The row of draws meets every group: one row on that side, not a product of tables.
+    each = fit.groups.withColumn("_all", F.lit(1)).join(numbered.withColumn("_all", F.lit(1)), "_all").withColumn("one", F.explode("all"))
+    return each.select(F.col(fit.group).alias("condition"), F.lit(INTERCEPT).alias("term"), one["draw"].alias("draw"), value.alias("value"))

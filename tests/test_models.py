@@ -1,5 +1,7 @@
 """Fits against closed forms, a library fit and simulations; draws, effects and comparison against numpy."""
 
+import math
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -173,20 +175,61 @@ def test_group_effects_enter_scores(spark):
     assert with_groups == pytest.approx((draws.values[:, 1] * p * (1 - p)).mean(axis=0))
 
 
-def test_smoothing_known_tail():
+def plain_fit(x):
+    """Shape and scale of rising excesses, number by number."""
+    n = len(x)
+    m = 30 + int(n**0.5)
+    theta = [1 / x[-1] + (1 - (m / (j - 0.5)) ** 0.5) / 3 / x[int(n / 4 + 0.5) - 1] for j in range(1, m + 1)]
+    k = [sum(math.log1p(-t * e) for e in x) / n for t in theta]
+    profile = [n * (math.log(-t / s) - s - 1) for t, s in zip(theta, k)]
+    weight = [math.exp(v - max(profile)) for v in profile]
+    best = sum(t * w for t, w in zip(theta, weight)) / sum(weight)
+    shape = sum(math.log1p(-best * e) for e in x) / n
+    return (n * shape + 5) / (n + 10), -shape / best
+
+
+def plain_loo(ll):
+    """Smoothed leave-one-out value and tail shape of one pattern, number by number."""
+    top = max(-v for v in ll)
+    pairs = sorted((-v - top, v) for v in ll)
+    tail = compare.tail_length(len(ll))
+    ratio = [r for r, _ in pairs]
+    shape = math.inf if not tail else -math.inf
+    if tail and ratio[-1] - ratio[-tail] > 1e-12:
+        cut = ratio[-tail - 1]
+        excess = [math.exp(r) - math.exp(cut) for r in ratio[-tail:]]
+        if excess[0] > 0:
+            shape, scale = plain_fit(excess)
+            for i in range(tail):
+                q = scale * math.expm1(-shape * math.log1p(-(i + 0.5) / tail)) / shape
+                ratio[len(ll) - tail + i] = min(math.log(math.exp(cut) + q), 0.0)
+    joint = sum(math.exp(r + v) for r, (_, v) in zip(ratio, pairs))
+    return math.log(joint / sum(map(math.exp, ratio))), shape
+
+
+def test_smoothing_known_tail(spark):
     rng = np.random.default_rng(2)
     for k in (0.1, 0.4, 0.8):
-        x = (rng.random((30, 400)) ** -k - 1) / k
-        shape, scale = compare.pareto_shape(np.sort(x, axis=1))
-        assert shape.mean() == pytest.approx(k, abs=0.08) and scale.mean() == pytest.approx(1, abs=0.12)
-    ratios = rng.normal(size=(5, 1000))
-    smoothed, shape = compare.smooth_tail(ratios)
-    assert (smoothed <= 1e-12).all() and (shape < 0.7).all()
-    tail = int(np.ceil(3 * np.sqrt(1000)))
-    same = np.sort(ratios - ratios.max(axis=1, keepdims=True), axis=1)[:, :-tail]
-    assert np.sort(smoothed, axis=1)[:, :-tail] == pytest.approx(same)
-    flat, shape = compare.smooth_tail(np.zeros((2, 200)))
-    assert (flat == 0).all() and (shape == -np.inf).all()
+        x = np.sort((rng.random((30, 400)) ** -k - 1) / k, axis=1)
+        fitted = compare.tail_fit(spark.createDataFrame([(v.tolist(),) for v in x], "x array<double>"), "x", 400, "f").select("f.*").toPandas()
+        assert fitted["shape"].mean() == pytest.approx(k, abs=0.08) and fitted["scale"].mean() == pytest.approx(1, abs=0.12)
+        assert sorted(fitted["shape"]) == pytest.approx(sorted(plain_fit(v)[0] for v in x), abs=1e-10)
+
+
+@pytest.mark.parametrize("draws", [3, 40, 400])
+def test_smoothed_values_equal_plain_arithmetic(spark, draws):
+    """Wide, narrow and constant log-likelihoods; too few draws for a tail; ties at the cut."""
+    rng = np.random.default_rng(draws)
+    ll = np.vstack([rng.normal(size=(4, draws)) * np.array([[0.05], [0.5], [2], [8]]) - 1, np.full((1, draws), -0.7), rng.integers(3, size=(2, draws)) - 3.0])
+    tail = compare.tail_length(draws)
+    found = compare.tail_of(ll, tail)
+    rows = [(i, (v[0].tolist(), *map(float, v[1:]))) for i, v in enumerate(zip(*found.values()))]
+    df = spark.createDataFrame(rows, f"i int, _t_m {compare._TAIL}")
+    got = compare.with_loo(df, "m", draws, tail).orderBy("i").toPandas()
+    want = [plain_loo(v) for v in ll]
+    assert got.elpd_m.tolist() == pytest.approx([w[0] for w in want], abs=1e-9)
+    assert got.k_m.tolist() == pytest.approx([w[1] for w in want], abs=1e-7)
+    assert got.lpd_m.tolist() == pytest.approx(np.log(np.exp(ll).mean(axis=1)), abs=1e-12)
 
 
 def test_loo_equals_refitting(spark, simulated):
