@@ -608,17 +608,6 @@ def stacking_weights(spark, sf_dir):
     return rounded(compare.stacking_weights(literal_points(spark, sf_dir), list(MODEL_SLOPES)), ["weight"], 4)
 
 
-@query("loo_fitted")
-def loo_fitted(spark, sf_dir):
-    """Smoothed leave-one-out summary of a fixed and a country-effect fit."""
-    data = counted(spark, sf_dir).persist()
-    base = fit_logit(data, "voted_re", X[:1], WEAK, patterns=data)
-    country = mixed.fit_random_intercept(data, "voted_re", X[:1], "cowcode", WEAK, patterns=data)
-    models = {"base": draw_matrix(base), "country": mixed.mixed_draws(country)}
-    points = compare.pointwise(mixed.attach_groups(data, country), models)
-    return compare.loo_summary(points, list(models))
-
-
 @query("model_ranking")
 def model_ranking(spark, sf_dir):
     """All five models: fit, leave-one-out comparison and stacking weights."""
