@@ -42,7 +42,7 @@ def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def respondents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per order with survey-like columns. Customers join as a counted lookup."""
+    """One row per order with survey-like columns. Customers join as a lookup."""
     attributes = customers(spark, sf_dir).select(
         F.col("c_custkey").alias("o_custkey"),
         "cowcode",
@@ -50,7 +50,7 @@ def respondents(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("c_mktsegment").alias("sex"),
     )
     orders = table(spark, sf_dir, "orders")
-    return lookup_join(orders, attributes, ["o_custkey"], "inner", table(spark, sf_dir, "customer").count()).select(
+    return lookup_join(orders, attributes, ["o_custkey"], "inner").select(
         F.col("o_orderkey").alias("cpsidp"),
         "cowcode",
         F.year("o_orderdate").alias("svy_year"),

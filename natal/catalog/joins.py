@@ -63,18 +63,20 @@ def order_means(spark, sf_dir):
     )
     nations = customers(spark, sf_dir).select("c_custkey", "c_nationkey")
     return (
-        joins.lookup_join(per_customer, nations, ["c_custkey"], "inner", nations.count(), spread=False)
+        joins.lookup_join(per_customer, nations, ["c_custkey"], "inner", spread=False)
         .groupBy(F.col("c_nationkey").alias("cowcode"), "src_year")
         .agg((F.sum("s") / F.sum("n")).alias("polity2"))
-        .filter((F.col("cowcode") > 2) & (F.col("src_year") >= 1997))
     )
 
 
+#: The two panel joins are about panels that lack countries and years; this is their gap on one side.
+GAP = "cowcode > 2 AND src_year >= 1997"
+
+
 ORDER_MEANS_SQL = f"""
 order_means AS (
   SELECT c_nationkey AS cowcode, CAST(year(o_orderdate) AS INTEGER) AS src_year, avg({WHOLE_SQL.format("o_totalprice")}) AS polity2
-  FROM orders JOIN customer ON o_custkey = c_custkey
-  WHERE c_nationkey > 2 AND year(o_orderdate) >= 1997 GROUP BY ALL)"""
+  FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL)"""
 
 
 @query(
@@ -106,11 +108,11 @@ def enrich_left_chain(spark, sf_dir):
     f"""WITH {PANEL_SQL}, {ORDER_MEANS_SQL}
     SELECT b.cowcode, b.src_year, round(b.polity2, 4) AS polity2, round(corrupt, 6) AS corrupt
     FROM (SELECT * FROM panel WHERE src_year <> 1999) a
-    RIGHT JOIN order_means b ON a.cowcode = b.cowcode AND a.src_year = b.src_year""",
+    RIGHT JOIN (SELECT * FROM order_means WHERE {GAP}) b ON a.cowcode = b.cowcode AND a.src_year = b.src_year""",
 )
 def panel_right_join(spark, sf_dir):
     other = panel(spark, sf_dir).filter("src_year <> 1999").select("cowcode", "src_year", "corrupt")
-    out = keep_panel(order_means(spark, sf_dir), other, ["cowcode", "src_year"])
+    out = keep_panel(order_means(spark, sf_dir).filter(GAP), other, ["cowcode", "src_year"])
     return rounded(rounded(out, ["corrupt"]), ["polity2"], 4)
 
 
@@ -118,10 +120,10 @@ def panel_right_join(spark, sf_dir):
     "panel_left_join",
     f"""WITH {PANEL_SQL}, {ORDER_MEANS_SQL}
     SELECT a.cowcode, a.src_year, round(corrupt, 6) AS corrupt, round(b.polity2, 4) AS income
-    FROM panel a LEFT JOIN order_means b ON a.cowcode = b.cowcode AND a.src_year = b.src_year""",
+    FROM panel a LEFT JOIN (SELECT * FROM order_means WHERE {GAP}) b ON a.cowcode = b.cowcode AND a.src_year = b.src_year""",
 )
 def panel_left_join(spark, sf_dir):
-    income = order_means(spark, sf_dir).withColumnRenamed("polity2", "income")
+    income = order_means(spark, sf_dir).filter(GAP).withColumnRenamed("polity2", "income")
     base = panel(spark, sf_dir).select("cowcode", "src_year", "corrupt")
     return rounded(rounded(keep_panel(base, income, ["cowcode", "src_year"]), ["corrupt"]), ["income"], 4)
 

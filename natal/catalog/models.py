@@ -17,7 +17,7 @@ from natal.models.patterns import pattern_counts
 from natal.models.priors import WEAK
 from natal.models.store import stored
 from natal.operators.frame import standardize
-from natal.session import scratch_path
+from natal.session import cut_lineage, scratch_path
 from natal.sources.tables import load_or_compute
 
 RAW = ["fuzzy_corrupt", "fuzzy_polity2", "fuzzy_ln_gdpcap"]
@@ -33,7 +33,7 @@ def voters(spark, sf_dir):
 def counted(spark, sf_dir):
     """Patterns over all predictors and countries, z-scored over respondents."""
     raw = pattern_counts(voters(spark, sf_dir), "voted_re", RAW, "cowcode")
-    scored = standardize(raw.persist(), RAW, weight="n")
+    scored = standardize(raw, RAW, weight="n")
     return scored.withColumnsRenamed(dict(zip([f"{c}_z" for c in RAW], X))).drop(*RAW)
 
 
@@ -389,7 +389,7 @@ def model_table(spark, sf_dir):
 @query("model_table_fitted")
 def model_table_fitted(spark, sf_dir):
     """Comparison table of three nested fits on one set of patterns."""
-    data = counted(spark, sf_dir).persist()
+    data = cut_lineage(counted(spark, sf_dir))  # one set of patterns for three fits
     specs = {"base": X[:1], "dem": X[:2], "full": X}
     fits = {m: fit_logit(data, "voted_re", xs, WEAK, patterns=data) for m, xs in specs.items()}
     tables = [draws_table(spark, draw_matrix(f), m) for m, f in fits.items()]

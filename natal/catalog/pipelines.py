@@ -13,12 +13,14 @@ from natal import rules
 from natal.catalog.base import WHOLE_SQL, rounded, table, whole
 from natal.catalog.recodes import RECODED_SQL, sql_case
 from natal.catalog.registry import query
-from natal.functions.columns import recode
+from natal.functions.columns import override, recode
 from natal.operators.joins import literal_table, lookup_join
+from natal.operators.panel import fold_places
 from natal.plans import survey_tables as plan
 
 # Names that make the corrections and overrides of the pipelines work.
 SPELLED = {1: "Venezuala", 2: "England", 3: "Scotland", 4: "Serbia", 5: "Russia", 6: "USSR"}
+PANEL_NAMES = {"Venezuala": "Venezuela", "England": "United Kingdom", "Scotland": "United Kingdom"}
 KNOWN = {"Venezuela": 1, "United Kingdom": 2, "Russia": 365, "USSR": 365}
 CODED = {1: 1, 2: 2, 3: 2, 4: 345, 5: 365, 6: 365}
 NAMED = 22  # nations from here on are no countries
@@ -38,7 +40,7 @@ def microdata(spark, sf_dir):
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     key, buyer, nation = F.col("o_orderkey"), F.col("o_custkey"), F.col("nation")
     mother = (nation + 5) % 25
-    return lookup_join(orders, buyers, ["o_custkey"], "inner", table(spark, sf_dir, "customer").count()).select(
+    return lookup_join(orders, buyers, ["o_custkey"], "inner").select(
         key.alias("CPSIDP"),
         (2000 + 4 * (key % 5)).cast("int").alias("YEAR"),
         (16 + buyer % 74).cast("int").alias("AGE"),
@@ -125,26 +127,47 @@ def code_of(nation="nation"):
     return F.coalesce(recode(nation, CODED), F.when(F.col(nation) < NAMED, F.col(nation))).cast("int")
 
 
-def panels(spark, sf_dir):
-    """Regime, democracy, income, long-run income and monthly risk panels, as their files would hold them."""
-    names = nations(spark, sf_dir).select("nation", "country")
-    # Nations 3 and 6 share another's code; here they would double its rows.
-    found = cells(spark, sf_dir).filter("nation not in (3, 6)").persist()
+# Panels as their files would hold them. Some places share a code and a year (two parts of a kingdom, a union
+# and its successor), so each panel is folded to one row per code and year.
+
+
+def polity_panel(spark, sf_dir):
     free = (F.col("nation") * 7 + F.col("year")) % 13 != 0
-    polity = found.filter(free).select(code_of().alias("cowcode"), "year", F.when(F.col("year") % 11 == 0, -66.0).otherwise(F.col("q")).alias("polity2"))
-    vdem = found.select(
+    score = F.when(F.col("year") % 11 == 0, -66.0).otherwise(F.col("q"))
+    found = cells(spark, sf_dir).filter(free).select(code_of().alias("cowcode"), "year", score.alias("polity2"))
+    return fold_places(plan.regime_panel(found), ["polity2"])
+
+
+def vdem_panel(spark, sf_dir):
+    found = cells(spark, sf_dir).select(
         code_of().alias("cowcode"), (1000 + F.col("nation")).cast("int").alias("vdem_country_code"), F.concat(F.lit("n"), "nation").alias("vdem_country_name"),
         "year", F.col("d").alias("vdem_turnout_vap"), F.col("t").alias("vdem_corrupt"),
     )
-    spelled = F.when(F.col("country") == "Venezuala", "Venezuela").when(F.col("country") == "England", "United Kingdom").otherwise(F.col("country"))
-    money = found.join(F.broadcast(names), "nation").select(spelled.alias("country"), "year", F.col("e").alias("wdi_gdpcap"))
-    return {
-        "polity": plan.regime_panel(polity.filter("cowcode is not null")),
-        "vdem": vdem,
-        "wdi": plan.income_panel(money, country_names(spark, sf_dir)),
-        "mad": plan.long_run_income_panel(money.withColumnRenamed("wdi_gdpcap", "mad_gdpcap"), country_names(spark, sf_dir)),
-        "icrg": plan.risk_panel(monthly_risk(spark, sf_dir), country_names(spark, sf_dir), MONTHS),
-    }
+    return fold_places(found, ["vdem_turnout_vap", "vdem_corrupt"], ["vdem_country_code", "vdem_country_name"])
+
+
+def named(df, spark, sf_dir):
+    """The country's name as panels spell it, instead of the nation."""
+    names = nations(spark, sf_dir).select("nation", override("country", "country", PANEL_NAMES).alias("country"))
+    return lookup_join(df, names, ["nation"], "inner").drop("nation")
+
+
+def money(spark, sf_dir, name):
+    return named(cells(spark, sf_dir).select("nation", "year", F.col("e").alias(name)), spark, sf_dir)
+
+
+def wdi_panel(spark, sf_dir):
+    return fold_places(plan.income_panel(money(spark, sf_dir, "wdi_gdpcap"), country_names(spark, sf_dir)), ["wdi_gdpcap", "ln_wdi_gdpcap"])
+
+
+def maddison_panel(spark, sf_dir):
+    long_run = plan.long_run_income_panel(money(spark, sf_dir, "mad_gdpcap"), country_names(spark, sf_dir))
+    return fold_places(long_run, ["mad_gdpcap", "ln_mad_gdpcap"])
+
+
+def icrg_panel(spark, sf_dir):
+    spliced = plan.risk_panel(monthly_risk(spark, sf_dir), country_names(spark, sf_dir), MONTHS)
+    return fold_places(spliced, ["icrg_corrupt"])
 
 
 def monthly_risk(spark, sf_dir):
@@ -154,24 +177,23 @@ def monthly_risk(spark, sf_dir):
     owners = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").alias("nation"))
     monthly = lookup_join(lines, owners, ["l_suppkey"], "inner", spread=False)
     wide = monthly.groupBy("nation").pivot("month", MONTHS).agg(F.sum("t") / F.sum("k"))
-    named = nations(spark, sf_dir).select("nation", "country")
-    return wide.join(F.broadcast(named), "nation").filter("nation not in (1, 2, 3)").drop("nation")
+    return named(wide, spark, sf_dir)
 
 
 CELLS_SQL = f"""{BASE_SQL},
 cells AS (
   SELECT s_nationkey AS nation, CAST(1920 + l_orderkey % 97 AS INTEGER) AS year, avg(CAST(l_quantity AS BIGINT)) AS q,
          avg({WHOLE_SQL.format("l_discount")}) AS d, avg({WHOLE_SQL.format("l_tax")}) AS t, avg({WHOLE_SQL.format("l_extendedprice")}) AS e
-  FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE s_nationkey NOT IN (3, 6) GROUP BY ALL),
+  FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY ALL),
 coded AS (SELECT *, CAST({CODE_SQL} AS INTEGER) AS cowcode FROM cells),
-polity AS (SELECT cowcode, year, CASE WHEN year % 11 = 0 THEN NULL ELSE q END AS polity2 FROM coded
-           WHERE (nation * 7 + year) % 13 <> 0 AND cowcode IS NOT NULL),
-vdem AS (SELECT cowcode, nation, year, d AS turnout, t AS corrupt FROM coded WHERE cowcode IS NOT NULL),
-income AS (SELECT cowcode, year, e, ln(e) AS ln_e FROM coded WHERE cowcode IS NOT NULL),
+polity AS (SELECT cowcode, year, avg(CASE WHEN year % 11 <> 0 THEN q END) AS polity2 FROM coded
+           WHERE (nation * 7 + year) % 13 <> 0 AND cowcode IS NOT NULL GROUP BY ALL),
+vdem AS (SELECT cowcode, year, avg(d) AS turnout, avg(t) AS corrupt FROM coded WHERE cowcode IS NOT NULL GROUP BY ALL),
+income AS (SELECT cowcode, year, avg(e) AS e, avg(ln(e)) AS ln_e FROM coded WHERE cowcode IS NOT NULL GROUP BY ALL),
 months AS (SELECT s_nationkey AS nation, CAST(2001 + l_partkey % 2 AS INTEGER) AS year, l_orderkey % 12 AS month, avg({WHOLE_SQL.format("l_tax")}) AS v
-           FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE s_nationkey NOT IN (1, 2, 3) GROUP BY ALL),
-risk AS (SELECT CAST({CODE_SQL} AS INTEGER) AS cowcode, year, avg(v) AS icrg_corrupt FROM months
-         WHERE {CODE_SQL} IS NOT NULL AND nation <> 4 AND nation <> 6 GROUP BY nation, year)"""
+           FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY ALL),
+risk AS (SELECT CAST({CODE_SQL} AS INTEGER) AS cowcode, year, avg(v) AS icrg_corrupt FROM months  -- 4 and 6 lie outside their spliced years
+         WHERE {CODE_SQL} IS NOT NULL AND nation <> 4 AND nation <> 6 GROUP BY ALL)"""
 
 STATES_SQL = sql_case("statefip", rules.STATE_ABBREVIATIONS)
 
@@ -200,7 +222,7 @@ def final(frames, measures, z, more=()):
 NOW = ["icrg_corrupt", "vdem_corrupt", "polity2", "wdi_gdpcap", "ln_wdi_gdpcap"]
 NOW_SQL = f"""WITH {CELLS_SQL},
 p AS (SELECT cowcode, avg(polity2) AS polity2 FROM polity WHERE year BETWEEN 2000 AND 2016 GROUP BY 1),
-v AS (SELECT cowcode, avg(corrupt) AS vdem_corrupt FROM vdem WHERE year BETWEEN 2000 AND 2016 GROUP BY cowcode, nation),
+v AS (SELECT cowcode, avg(corrupt) AS vdem_corrupt FROM vdem WHERE year BETWEEN 2000 AND 2016 GROUP BY 1),
 g AS (SELECT cowcode, avg(e) AS wdi_gdpcap, avg(ln_e) AS ln_wdi_gdpcap FROM income WHERE year BETWEEN 2000 AND 2016 GROUP BY 1),
 r AS (SELECT cowcode, avg(icrg_corrupt) AS icrg_corrupt FROM risk GROUP BY 1)
 {final_sql("SELECT * FROM base LEFT JOIN p USING (cowcode) LEFT JOIN v USING (cowcode) LEFT JOIN g USING (cowcode) LEFT JOIN r USING (cowcode)", NOW, [*NOW, "age"])}"""
@@ -208,8 +230,8 @@ r AS (SELECT cowcode, avg(icrg_corrupt) AS icrg_corrupt FROM risk GROUP BY 1)
 
 @query("pipeline_contemporaneous", NOW_SQL)
 def pipeline_contemporaneous(spark, sf_dir):
-    p = panels(spark, sf_dir)
-    frames = {n: plan.contemporaneous(b, p["polity"], p["vdem"], p["wdi"], p["icrg"]) for n, b in bases(spark, sf_dir).items()}
+    sections = [make(spark, sf_dir) for make in (polity_panel, vdem_panel, wdi_panel, icrg_panel)]
+    frames = {n: plan.contemporaneous(b, *sections) for n, b in bases(spark, sf_dir).items()}
     return final(frames, NOW, [*NOW, "age"])
 
 
@@ -217,15 +239,15 @@ THEN = [f"lagged_{m}_7079" for m in ("polity2", "vdem_turnout_vap", "vdem_corrup
 THEN_SQL = f"""WITH {CELLS_SQL},
 p AS (SELECT cowcode, avg(polity2) AS {THEN[0]} FROM polity WHERE year BETWEEN 1970 AND 1979 GROUP BY 1),
 v AS (SELECT cowcode, avg(turnout) AS {THEN[1]}, avg(corrupt) AS {THEN[2]} FROM vdem JOIN polity USING (cowcode, year)
-      WHERE year BETWEEN 1970 AND 1979 GROUP BY cowcode, nation),
+      WHERE year BETWEEN 1970 AND 1979 GROUP BY 1),
 g AS (SELECT cowcode, avg(e) AS {THEN[3]}, avg(ln_e) AS {THEN[4]} FROM income WHERE year BETWEEN 1970 AND 1979 GROUP BY 1)
 {final_sql("SELECT * FROM base LEFT JOIN p USING (cowcode) LEFT JOIN v USING (cowcode) LEFT JOIN g USING (cowcode)", THEN, ["age", *THEN])}"""
 
 
 @query("pipeline_lagged", THEN_SQL)
 def pipeline_lagged(spark, sf_dir):
-    p = panels(spark, sf_dir)
-    frames = {n: plan.lagged(b, p["polity"], p["vdem"], p["wdi"]) for n, b in bases(spark, sf_dir).items()}
+    sections = [make(spark, sf_dir) for make in (polity_panel, vdem_panel, wdi_panel)]
+    frames = {n: plan.lagged(b, *sections) for n, b in bases(spark, sf_dir).items()}
     return final(frames, THEN, ["age", *THEN])
 
 
@@ -242,7 +264,6 @@ seen AS (SELECT parent, cpsidp, any_value(b.cowcode) AS cowcode, any_value(age)
 
 @query("pipeline_exposure", EXPOSED_SQL)
 def pipeline_exposure(spark, sf_dir):
-    p = panels(spark, sf_dir)
-    source = plan.source_panel(p["polity"], p["vdem"].filter("cowcode is not null"), p["mad"])
+    source = plan.source_panel(*[make(spark, sf_dir) for make in (polity_panel, vdem_panel, maddison_panel)])
     frames = {n: plan.exposure_table(b, source, PARENTS[n]) for n, b in bases(spark, sf_dir).items()}
     return final(frames, FUZZY, ["age", *FUZZY], ["year_diff"])

@@ -57,7 +57,7 @@ joined AS (SELECT cpsidp, r.cowcode, voted, weight, corrupt FROM resp r
 
 def joined(spark, sf_dir):
     source = panel(spark, sf_dir).select("cowcode", F.col("src_year").alias("svy_year"), "corrupt")
-    return joins.derived_lookup_join(respondents(spark, sf_dir), source, ["cowcode", "svy_year"]).select(
+    return joins.lookup_join(respondents(spark, sf_dir), source, ["cowcode", "svy_year"]).select(
         "cpsidp", "cowcode", "voted", "weight", "corrupt"
     )
 

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from natal.functions.columns import known, ratio
-from natal.operators.joins import derived_lookup_join, lookup_join, measured
+from natal.operators.joins import lookup_join
 
 
 def exposure_rows(
@@ -32,8 +32,6 @@ def exposure_rows(
     """
     ref = F.col(reference_year)
     spelled = respondents.withColumn(panel_year, F.explode(F.sequence(ref - window, ref)))
-    if rows is None:
-        panel, rows = measured(panel)
     return lookup_join(spelled, panel, [code, panel_year], "inner", rows).withColumn("year_diff", F.col(panel_year) - ref)
 
 
@@ -88,9 +86,9 @@ def exposure_mean(
     if unique:
         means = [ratio(f"_sum_{v}", f"_n_{v}").alias(f"{prefix}{v}") for v in variables]
         ready = sums.select(code, reference_year, diff, *means, F.col("_rows").alias("n_years"))
-        joined = derived_lookup_join(respondents, ready, [code, reference_year], "inner")
+        joined = lookup_join(respondents, ready, [code, reference_year], "inner", grows=window + 1)
         return joined.select(*carried, *[f"{prefix}{v}" for v in variables], "n_years")
-    joined = derived_lookup_join(respondents, sums, [code, reference_year], "inner").select("*", diff)
+    joined = lookup_join(respondents, sums, [code, reference_year], "inner", grows=window + 1).select("*", diff)
     others = [c for c in carried if c != respondent]
     order = F.struct("_first_year", *[F.col(c) for c in others])
     first = F.min_by(F.struct(*others), order).alias("_first")
@@ -126,7 +124,7 @@ def exposure_first(
     )
     first = F.min(F.struct(panel_year, *rest)).alias("_first")
     found = served.groupBy(code, reference_year).agg(first).select(code, reference_year, "_first.*")
-    joined = derived_lookup_join(respondents, found, [code, reference_year], "inner")
+    joined = lookup_join(respondents, found, [code, reference_year], "inner", grows=window + 1)
     return joined.withColumn("year_diff", F.col(panel_year) - F.col(reference_year))
 
 

@@ -1,7 +1,10 @@
 """Joins of a large fact table to lookups and panels.
 
-A lookup is broadcast only after its rows have been counted and found to fit. A lookup that
-does not fit is joined through a shuffle in which heavy keys are split over several tasks.
+Building a join starts no job and keeps no table. Its size decides how a lookup is joined: the sizes of
+the files behind it are known from the plan, and a lookup made of few bytes is broadcast. Any other
+one is an ordinary equi-join, for which adaptive execution measures both sides when they have been
+written for the shuffle: a side that turned out small is broadcast then, and partitions that a heavy key
+fills are split. Without adaptive execution heavy keys are split by :func:`salted_join`.
 """
 
 from __future__ import annotations
@@ -14,7 +17,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: The most that a broadcast side may hold, and the most that the files behind one may hold, which are
+#: packed and lose columns and rows on the way.
 BROADCAST_BYTES = 64 * 1024 * 1024
+SOURCE_BYTES = BROADCAST_BYTES // 4
+#: Items that one frequent-items sketch tracks; beyond that keys are dealt to several by their hash.
+SKETCH_ITEMS = 500_000
 _HASH, _SPLITS, _SALT = "_natal_hash", "_natal_splits", "_natal_salt"
 
 
@@ -27,30 +35,31 @@ def literal_table(spark: SparkSession, columns: dict[str, Sequence], schema: str
     )
 
 
-def row_width(schema: T.StructType) -> int:
-    """Rough bytes per row: 8 for a plain value, 64 for text, 512 for anything nested."""
-    def width(dtype):
-        if isinstance(dtype, T.StringType | T.BinaryType):
-            return 64
-        if isinstance(dtype, T.ArrayType | T.MapType | T.StructType):
-            return 512
-        return 8
+def source_bytes(df: DataFrame) -> int:
+    """Bytes of the files and local tables that ``df`` is made of, as the optimised plan knows them.
 
-    return 16 + sum(width(f.dataType) for f in schema.fields)
+    A relation of unknown size counts as very large. Filters, aggregates and joins that find one row
+    at most do not add to it.
+    """
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
 
 
-def fits_broadcast(df: DataFrame, rows: int) -> bool:
-    return rows * row_width(df.schema) <= BROADCAST_BYTES
+def fixed_width(schema: T.StructType) -> int | None:
+    """Bytes of a row whose columns all have a fixed width; ``None`` where one has not."""
+    varying = T.StringType | T.BinaryType | T.ArrayType | T.MapType | T.StructType | T.VariantType
+    return None if any(isinstance(f.dataType, varying) for f in schema.fields) else 16 + 8 * len(schema.fields)
 
 
-def measured(df: DataFrame) -> tuple[DataFrame, int]:
-    """Keep a derived table (panel, cross-section) in the executors and count it.
+def fits_broadcast(lookup: DataFrame, rows: int | None = None, grows: int = 1) -> bool:
+    """Whether ``lookup`` is known to be small: by its number of rows of fixed width, or by its sources.
 
-    Lost blocks are recomputed from their source. The count costs nothing extra: the same
-    blocks feed the join that follows.
+    ``grows`` says how many rows at most a row of the sources turns into.
     """
-    kept = df.persist()
-    return kept, kept.count()
+    width = fixed_width(lookup.schema)
+    if rows is not None and width is not None:
+        return rows * width <= BROADCAST_BYTES
+    return source_bytes(lookup) * grows <= min(SOURCE_BYTES, BROADCAST_BYTES)
 
 
 def lookup_join(
@@ -60,47 +69,46 @@ def lookup_join(
     how: str = "left",
     rows: int | None = None,
     spread: bool = True,
+    grows: int = 1,
 ) -> DataFrame:
     """Join ``fact`` to ``lookup`` on equal column names, ``how`` as seen from ``fact``.
 
-    ``rows`` is the known size of the lookup; a plain file scan is counted from its footers.
-    ``spread=False`` states that no key of ``fact`` is heavy (it was aggregated by that key),
-    which saves the search for heavy keys.
+    ``rows`` is the number of rows of the lookup where the caller knows it, ``grows`` how many rows at
+    most a row of its sources turns into. ``spread=False`` states that no key of ``fact`` is heavy
+    (it was aggregated by that key).
     """
     on = list(on)
-    rows = lookup.count() if rows is None else rows
-    if fits_broadcast(lookup, rows):
+    if fits_broadcast(lookup, rows, grows):
         return fact.join(F.broadcast(lookup), on, how)
-    return salted_join(fact, lookup, on, how) if spread else fact.join(lookup, on, how)
-
-
-def derived_lookup_join(fact: DataFrame, lookup: DataFrame, on: Sequence[str], how: str = "left") -> DataFrame:
-    """:func:`lookup_join` for a lookup that is itself the result of a job."""
-    kept, rows = measured(lookup)
-    return lookup_join(fact, kept, on, how, rows)
+    conf = fact.sparkSession.conf
+    adaptive = conf.get("spark.sql.adaptive.enabled") == "true" and conf.get("spark.sql.adaptive.skewJoin.enabled") == "true"
+    return salted_join(fact, lookup, on, how) if spread and not adaptive else fact.join(lookup, on, how)
 
 
-def heavy_keys(df: DataFrame, on: Sequence[str], partitions: int) -> DataFrame | None:
+def heavy_keys(df: DataFrame, on: Sequence[str], partitions: int) -> DataFrame:
     """Hashes of keys above half a fair partition share, with the number of splits each needs.
 
-    One pass with a frequent-items sketch, so no key is shuffled. At most ``2 * partitions`` keys
-    can hold more than half a share, and the sketch is sized for as many. It steers the split
-    only; which rows come out never depends on it.
+    One pass with frequent-items sketches, so no key is shuffled. At most ``2 * partitions`` keys
+    can hold more than half a share. A sketch tracks a bounded number of items; for more partitions
+    keys are dealt to several sketches by their hash, each of which sees its share of the rows and of
+    the heavy keys, so there is no most number of partitions. The sketches steer the split only; which
+    rows come out never depends on them.
     """
-    k = 2 * partitions
-    found = (
+    tracked = max(32 * partitions, 1024)
+    slices = math.ceil(tracked / SKETCH_ITEMS)
+    tracked = min(tracked, SKETCH_ITEMS)
+    top = F.expr(f"approx_top_k({_HASH}, {max(tracked // 16, 1)}, {tracked})")
+    sketches = (
         df.select(F.xxhash64(*on).alias(_HASH))
-        .agg(F.expr(f"approx_top_k({_HASH}, {k}, {max(16 * k, 1024)})").alias("top"), F.count("*").alias("n"))
-        .first()
+        .groupBy(F.pmod(F.shiftright(_HASH, 7), F.lit(slices)).alias("_slice"))
+        .agg(top.alias("top"), F.count("*").alias("n"))
     )
-    share = max(found["n"] / (2 * partitions), 1)
-    heavy = [(i["item"], math.ceil(i["count"] / share)) for i in found["top"] or [] if i["count"] > share]
-    if not heavy:
-        return None
-    return literal_table(
-        df.sparkSession,
-        {_HASH: [h for h, _ in heavy], _SPLITS: [n for _, n in heavy]},
-        f"{_HASH} bigint, {_SPLITS} int",
+    # One row with at most 2 * partitions items, whatever the number of rows.
+    whole = sketches.agg(F.flatten(F.collect_list("top")).alias("top"), F.sum("n").alias("n"))
+    share = F.greatest(F.col("n") / (2 * partitions), F.lit(1.0))
+    items = F.filter("top", lambda i: i["count"] > share)
+    return whole.select(F.explode(items).alias("i"), share.alias("share")).select(
+        F.col("i.item").alias(_HASH), F.ceil(F.col("i.count") / F.col("share")).cast("int").alias(_SPLITS)
     )
 
 
@@ -124,10 +132,7 @@ def salted_join(
         raise ValueError(f"salted_join keeps left rows; {how!r} is not supported")
     on = list(on)
     partitions = partitions or int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    heavy = heavy_keys(left, on, partitions)
-    if heavy is None:
-        return left.join(right, on, how)
-    heavy = F.broadcast(heavy)  # at most 2 * partitions rows of two numbers
+    heavy = F.broadcast(heavy_keys(left, on, partitions))  # at most 2 * partitions rows of two numbers
     salted_left = (
         left.withColumn(_HASH, F.xxhash64(*on))
         .join(heavy, _HASH, "left")
@@ -155,7 +160,6 @@ def keep_all_right(
 
 def null_safe_join(fact: DataFrame, lookup: DataFrame, on: Sequence[str], how: str = "left", rows: int | None = None) -> DataFrame:
     """Equi-join in which a missing key matches a missing key."""
-    rows = lookup.count() if rows is None else rows
     flags = [f"_natal_null_{c}" for c in on]
     types = {f.name: f.dataType for f in fact.schema}
 
@@ -180,9 +184,9 @@ _ZEROS = {"string": "", "date": "1970-01-01", "timestamp": "1970-01-01 00:00:00"
 
 
 def enrich(fact: DataFrame, cross_sections: Sequence[DataFrame], on: str) -> DataFrame:
-    """Left join a chain of country cross-sections; each is counted before it is broadcast."""
+    """Left join a chain of country cross-sections."""
     for xs in cross_sections:
-        fact = derived_lookup_join(fact, xs, [on], "left")
+        fact = lookup_join(fact, xs, [on], "left")
     return fact
 
 
@@ -196,8 +200,13 @@ def unmatched(fact: DataFrame, lookup: DataFrame, on: Sequence[str], count: str
 
 
 def assert_unique(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Fail when ``keys`` repeat, so that a join cannot multiply rows unseen."""
-    repeated = df.groupBy(*keys).count().filter("count > 1").limit(5).collect()
-    if repeated:
-        raise ValueError(f"keys {list(keys)} repeat: {repeated}")
-    return df
+    """``df`` with a guard: the job that uses it fails where ``keys`` repeat, so a join cannot multiply rows unseen.
+
+    The guard is an aggregate by key within the same job.
+    """
+    rest = [c for c in df.columns if c not in keys]
+    shown = F.concat(F.lit(f"keys {list(keys)} repeat: "), F.to_json(F.struct(*keys)))
+    counted = df.groupBy(*keys).agg(F.count("*").alias("_natal_n"), *[F.any_value(c).alias(c) for c in rest])
+    # The check is part of the first key, so no plan can leave it out.
+    checked = F.when(F.col("_natal_n") > 1, F.raise_error(shown).cast(df.schema[keys[0]].dataType)).otherwise(F.col(keys[0]))
+    return counted.select(*[checked.alias(c) if c == keys[0] else F.col(c) for c in df.columns])

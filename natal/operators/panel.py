@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from natal.functions.columns import mean, to_number
 from natal.functions.names import period_name
-from natal.operators.joins import derived_lookup_join, literal_table, lookup_join
+from natal.operators.intervals import interval_join
+from natal.operators.joins import literal_table, lookup_join
 from natal.rules import Splice
 
 
@@ -57,11 +58,11 @@ def splice(
 ) -> DataFrame:
     """Let predecessor and successor states share one code over disjoint years.
 
-    Rows outside an entity's kept years go; an entity without a rule is untouched.
+    An entity may have several ranges, each with its own code; ranges of one entity that overlap
+    make the job fail. Rows outside all ranges of an entity that has some go; an entity without a
+    rule is untouched.
     """
     rules = list(rules)
-    if len({r.entity for r in rules}) < len(rules):
-        raise ValueError("an entity has two rules, which would repeat its rows")
     table = literal_table(
         panel.sparkSession,
         {
@@ -71,19 +72,33 @@ def splice(
             "_code": [r.code for r in rules],
         },
         f"{entity} string, _from int, _to int, _code int",
-    )
-    y = F.col(year)
-    inside = y.between(F.coalesce("_from", y), F.coalesce("_to", y))
-    ruled = F.col("_from").isNotNull() | F.col("_to").isNotNull()
+    ).withColumn("_inside", F.lit(True))
+    ruled = table.select(entity).distinct().withColumn("_ruled", F.lit(True))
     code_type = panel.schema[code].dataType
     return (
-        lookup_join(panel, table, [entity], "left", len(rules))
-        .filter(~ruled | inside)
+        interval_join(lookup_join(panel, ruled, [entity], "left"), table, [entity], year, "_from", "_to")
+        .filter(F.col("_ruled").isNull() | F.col("_inside"))
         .withColumn(code, F.coalesce(F.col("_code").cast(code_type), F.col(code)))
         .select(*panel.columns)
     )
 
 
+def fold_places(
+    panel: DataFrame, measures: Sequence[str], labels: Sequence[str] = (), code: str = "cowcode", year: str = "year"
+) -> DataFrame:
+    """One row per code and year: places that share a code are averaged, missing values left out.
+
+    ``labels`` are columns that name a place; of all places of a code the first name stays, the
+    same in every year. Rows without a code go. Both steps are partial aggregates.
+    """
+    known = panel.filter(F.col(code).isNotNull())
+    folded = known.groupBy(code, year).agg(*[mean(m).alias(m) for m in measures])
+    if labels:
+        names = known.groupBy(code).agg(F.min(F.struct(*labels)).alias("_names")).select(code, "_names.*")
+        folded = lookup_join(folded, names, [code], "inner")
+    return folded.select(code, *labels, year, *measures)
+
+
 def duplicate_keys(df: DataFrame, keys: Sequence[str], count: str = "dupe_count") -> DataFrame:
     """Keys that occur more than once, with how often. Counted by partial aggregation."""
     return df.groupBy(*keys).agg(F.count("*").alias(count)).filter(F.col(count) > 1)
@@ -91,14 +106,12 @@ def duplicate_keys(df: DataFrame, keys: Sequence[str], count: str = "dupe_count"
 
 def duplicate_rows(df: DataFrame, keys: Sequence[str], count: str = "dupe_count") -> DataFrame:
     """All rows whose key repeats, with the count attached."""
-    return derived_lookup_join(df, duplicate_keys(df, keys, count), keys, "inner")
+    return lookup_join(df, duplicate_keys(df, keys, count), keys, "inner")
 
 
 def keep_panel(base: DataFrame, other: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Keep every row of ``base`` and add ``other`` where the composite key matches.
 
-    Missing years of ``base`` (before independence, say) drop the other panel's rows. A panel that
-    is counted and found small is broadcast; beyond that heavy and missing keys of ``base`` are
-    split over tasks.
+    Missing years of ``base`` (before independence, say) drop the other panel's rows.
     """
-    return derived_lookup_join(base, other, keys, "left")
+    return lookup_join(base, other, keys, "left")

@@ -17,7 +17,6 @@ from natal.models.patterns import pattern_counts, spread_patterns
 from natal.models.priors import FLAT, Priors
 from natal.models.store import stored
 from natal.operators.frame import interval
-from natal.operators.joins import measured
 from natal.session import cut_lineage
 
 
@@ -115,9 +114,8 @@ def fit_suite(
     """
     corruption, regime, income = predictors
     counts = pattern_counts(table, outcome, predictors, group) if patterns is None else patterns
-    kept, rows = measured(counts.filter(F.col(group).isNotNull()))
-    counts = cut_lineage(spread_patterns(kept, rows))
-    kept.unpersist()
+    kept = cut_lineage(counts.filter(F.col(group).isNotNull()))
+    counts = cut_lineage(spread_patterns(kept, kept.count()))
     nested = {"base": [corruption], "dem": [corruption, regime], "full": [corruption, regime, income]}
     fits: dict[str, LogitFit | MixedFit] = {
         m: fit_logit(counts, outcome, xs, priors, patterns=counts) for m, xs in nested.items()

@@ -62,8 +62,7 @@ def baseline(citizens: DataFrame, codes: DataFrame, parent: Parent) -> DataFrame
     A missing birthplace stays. The birthplace column takes the name of the code list's key.
     """
     abroad = citizens.filter(C.not_in(parent.birthplace, rules.US_BIRTHPLACES))
-    kept, rows = joins.measured(codes)
-    return joins.keep_all_right(kept, abroad, "cps_country_code", parent.birthplace, rows)
+    return joins.keep_all_right(codes, abroad, "cps_country_code", parent.birthplace)
 
 
 # --- country panels ------------------------------------------------------------------------
@@ -177,7 +176,7 @@ def exposed(base: DataFrame, panel: DataFrame, parent: Parent, window: int = rul
 def exposure_table(base: DataFrame, panel: DataFrame, parent: Parent, unique: bool = False) -> DataFrame:
     people = exposed(base, panel, parent, unique=unique)
     fuzzy = containing(people, "fuzzy")
-    # Without unique ids the rows come out of a shuffle, so they are kept for the second use.
+    # Rows and their statistics read one shuffle, which the planner uses twice.
     keep = [*_IDS, parent.arrival, "year_diff", *fuzzy]
-    table = analysis_table(people, keep, ["age", *fuzzy], materialise=not unique)
+    table = analysis_table(people, keep, ["age", *fuzzy])
     return entity.attach_state(table)

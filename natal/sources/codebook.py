@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from natal.operators.joins import derived_lookup_join
+from natal.operators.joins import lookup_join
 
 _SCHEMA = """
 _name string, _dcml int,
@@ -75,4 +75,4 @@ def with_label(df: DataFrame, labels: DataFrame, var: str, suffix: str = "_facto
     lookup = labels.filter(F.col("var") == var).select(
         F.col("code").try_cast(df.schema[var].dataType).alias(var), F.col("label").alias(f"{var}{suffix}")
     )
-    return derived_lookup_join(df, lookup, [var], "left")
+    return lookup_join(df, lookup, [var], "left")

@@ -24,7 +24,7 @@ def rows(df):
 
 @pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
 def test_salted_join_equals_plain_join(hot, lookup, how):
-    assert joins.heavy_keys(hot, ["k"], 8) is not None
+    assert joins.heavy_keys(hot, ["k"], 8).count() >= 2
     salted = joins.salted_join(hot, lookup, ["k"], how, partitions=8)
     assert rows(salted) == rows(hot.join(lookup, "k", how))
 
@@ -44,7 +44,23 @@ def test_copies_are_spread(spark, lookup):
 
 
 def test_no_heavy_keys(spark):
-    assert joins.heavy_keys(spark.range(5000), ["id"], 8) is None
+    assert joins.heavy_keys(spark.range(5000), ["id"], 8).count() == 0
+    assert joins.heavy_keys(spark.range(0), ["id"], 8).count() == 0
+
+
+@pytest.mark.parametrize("partitions", [31_250, 40_000, 100_000])
+def test_heavy_keys_of_very_many_partitions(spark, partitions):
+    """Keys beyond half a share are found, whatever the number of partitions."""
+    rows = spark.range(1_200_000).select(F.when(F.col("id") % 3 == 0, -1).otherwise(F.col("id") % 20_000).alias("k"))
+    found = {r[0]: r[1] for r in joins.heavy_keys(rows, ["k"], partitions).collect()}
+    exact = rows.groupBy(F.xxhash64("k").alias("h")).count().filter(F.col("count") > 1_200_000 / (2 * partitions)).collect()
+    assert {r["h"] for r in exact} <= set(found) and len(exact) > 19_000
+    hot = rows.filter("k = -1").select(F.xxhash64("k")).first()[0]
+    assert found[hot] == pytest.approx(2 * partitions / 3, rel=0.1)
+
+
+def test_salted_join_of_very_many_partitions(hot, lookup):
+    assert rows(joins.salted_join(hot, lookup, ["k"], partitions=100_000)) == rows(hot.join(lookup, "k", "left"))
 
 
 def test_salted_join_with_repeated_right_keys(hot, lookup):
@@ -57,7 +73,31 @@ def test_lookup_join_falls_back(hot, lookup, monkeypatch):
     want = rows(joins.lookup_join(hot, lookup, ["k"]))
     monkeypatch.setattr(joins, "BROADCAST_BYTES", 0)
     assert rows(joins.lookup_join(hot, lookup, ["k"])) == want
-    assert rows(joins.derived_lookup_join(hot, lookup.filter("k < 30"), ["k"], "inner")) == rows(hot.join(lookup.filter("k < 30"), "k"))
+    assert rows(joins.lookup_join(hot, lookup.filter("k < 30"), ["k"], "inner")) == rows(hot.join(lookup.filter("k < 30"), "k"))
+
+
+def test_size_comes_from_the_plan(spark, hot, tmp_path):
+    """Long texts count by the bytes of their file; an unknown relation is never taken for small."""
+    texts = spark.range(200).select(F.col("id").cast("int").alias("k"), F.repeat(F.sha2(F.col("id").cast("string"), 256), 4000).alias("t"))
+    texts.write.option("compression", "none").parquet(str(tmp_path / "t"))
+    long = spark.read.parquet(str(tmp_path / "t"))
+    assert joins.source_bytes(long) > joins.SOURCE_BYTES and not joins.fits_broadcast(long, rows=200)
+    assert not joins.fits_broadcast(spark.range(10).rdd.map(lambda r: (r[0], "x")).toDF(["k", "s"]))
+    assert "BroadcastHashJoin" not in plan(joins.lookup_join(hot, long, ["k"]))
+    small = spark.createDataFrame([(1, "a")], "k int, s string")
+    assert joins.fits_broadcast(joins.literal_table(spark, {"k": [1], "s": ["a"]}, "k int, s string"))
+    assert rows(joins.lookup_join(hot, small, ["k"])) == rows(hot.join(small, "k", "left"))
+    assert not joins.fits_broadcast(long.select("k").groupBy("k").count(), grows=10)
+
+
+def test_without_adaptive_execution_heavy_keys_are_split(spark, hot, lookup, monkeypatch):
+    monkeypatch.setattr(joins, "BROADCAST_BYTES", 0)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        joined = joins.lookup_join(hot, lookup, ["k"])
+        assert "approx_top_k" in plan(joined) and rows(joined) == rows(hot.join(lookup, "k", "left"))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
 
 
 def plan(df):
@@ -80,9 +120,10 @@ def test_missing_keys(spark):
 def test_unmatched_and_unique(spark, lookup):
     people = spark.createDataFrame([(1,), (77,), (77,), (None,)], "k int")
     assert rows(joins.unmatched(people, lookup, ["k"])) == [(77, 2), (None, 1)]
-    joins.assert_unique(lookup, ["k"])
-    with pytest.raises(ValueError, match="repeat"):
-        joins.assert_unique(lookup.unionByName(lookup), ["k"])
+    assert rows(joins.assert_unique(lookup, ["k"])) == rows(lookup)
+    twice = joins.assert_unique(lookup.unionByName(lookup), ["k"])  # fails in the job that uses it
+    with pytest.raises(Exception, match="keys .* repeat"):
+        joins.lookup_join(people, twice, ["k"]).collect()
 
 
 def test_enrich_keeps_row_count(hot, lookup):

@@ -133,8 +133,10 @@ def test_exposure_first_leaves_respondents_in_place(people, yearly):
     assert "Generate" not in left.split("InMemoryRelation")[0]
 
 
-def test_splice_with_two_rules_is_refused(source):
+def test_splice_with_overlapping_rules_is_refused(spark):
     from natal.rules import Splice
 
-    with pytest.raises(ValueError, match="two rules"):
-        panel.splice(source, [Splice("A", None, 1990, 1), Splice("A", 1995, None, 1)])
+    source = spark.createDataFrame([("A", 1992, 5)], "country string, year int, cowcode int")
+    assert panel.splice(source, [Splice("A", None, 1990, 1), Splice("A", 1995, None, 1)]).count() == 0
+    with pytest.raises(Exception, match="ranges overlap"):
+        panel.splice(source, [Splice("A", None, 1995, 1), Splice("A", 1990, None, 1)]).collect()
