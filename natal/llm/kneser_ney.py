@@ -1,7 +1,9 @@
 """Interpolated modified Kneser-Ney bigram model: counted in Spark, stored as sorted hash arrays.
 
-Counting. Each task turns its texts into 48-bit word hashes with numpy, folds equal word pairs
-and sends them to shards of the pair's hash. A shard adds up its pairs and writes two arrays to the
+Counting. Each task turns its texts into 64-bit word hashes with numpy, folds equal word pairs
+and sends them to shards of the pair's hash. A second hash of every word goes along once per fold, and
+two words that share the first one make training fail instead of merging unseen; another
+``seed`` draws other hashes. A shard adds up its pairs and writes two arrays to the
 shared folder: sorted 64-bit pair hashes and counts. From its pairs it sends on, per context, how
 many types were seen once, twice and more, and per word its count and its number of different
 contexts; a second round of shards writes these as sorted arrays by word. A frequent context is
@@ -20,7 +22,8 @@ The order is two: on the test corpus 27 million tokens hold 19 million different
 of them seen once, and whole (unpruned) triples would not fit the disk that the counts may use.
 
 The shared folder must be one that workers can map (a mounted path); from any other store that
-pyarrow can open each worker copies the arrays it needs to its own machine first.
+pyarrow can open each machine copies the arrays it needs to the folder that Spark keeps for the
+application's files, and Spark removes it.
 
 Cases: null texts count as empty and hold the end token only; a null id is never trained on;
 repeated rows count as often as they occur; without any training text every token has
@@ -29,9 +32,9 @@ probability 1; texts of any length; extra columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 import io
 import os
-import tempfile
 import uuid
 from dataclasses import dataclass
 from functools import lru_cache
@@ -39,6 +42,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs as pafs
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -46,18 +50,16 @@ from natal.llm.common import remainder, rows_of, tasks
 from natal.session import scratch_path
 
 HELD_OUT_OF, HELD_OUT = 7, 2
-#: Bytes of text per shard of word pairs, and the most shards.
+#: Bytes of text per shard of word pairs.
 SHARD = 8 << 20
-MOST_SHARDS = 65_536
 #: Tokens that a task folds at a time, and bytes of text that are hashed at a time.
-FOLD = 4_000_000
+FOLD = 1_000_000
 CHUNK = 1 << 20
 #: Hashes of the two markers; word hashes are larger.
 START, END = 0, 1
 _BASE = 0x9E3779B97F4A7C15
 _SPACE = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
-_BYTES = np.random.default_rng(7).integers(1 << 63, size=256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_48 = np.uint64((1 << 48) - 1)
+SEED = 7
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -67,6 +69,12 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ h >> np.uint64(33)
 
 
+@lru_cache(maxsize=8)
+def _letters(seed: int) -> np.ndarray:
+    """A random odd number for every byte."""
+    return np.random.default_rng(seed).integers(1 << 63, size=256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
 @lru_cache(maxsize=4)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the hash base and of its inverse, modulo 2**64."""
@@ -78,8 +86,8 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
-def word_hashes(buffer: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and 48-bit hashes of the words of lower-cased bytes."""
+def word_hashes(buffer: bytes, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and 64-bit hashes of the words of lower-cased bytes."""
     b = np.frombuffer(buffer, dtype=np.uint8)
     if not len(b):
         return np.empty(0, np.int64), np.empty(0, np.uint64)
@@ -87,15 +95,15 @@ def word_hashes(buffer: bytes) -> tuple[np.ndarray, np.ndarray]:
     edges = np.flatnonzero(inside[1:] != inside[:-1])
     starts, ends = edges[::2], edges[1::2]
     powers, inverse = _powers(1 << max(21, int(len(b)).bit_length()))
-    sums = np.r_[np.uint64(0), np.cumsum(_BYTES[b] * powers[: len(b)])]
+    sums = np.r_[np.uint64(0), np.cumsum(_letters(seed)[b] * powers[: len(b)])]
     h = (sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64)
-    return starts, np.maximum(_mix(h) & _48, np.uint64(2))
+    return starts, np.maximum(_mix(h), np.uint64(2))
 
 
-def sequences(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def sequences(texts: list[bytes], seed: int = SEED) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(context, word, text number) of every token of some texts, the end token included."""
     lengths = np.array([len(t) + 1 for t in texts], dtype=np.int64)
-    starts, h = word_hashes(b" ".join(texts).lower())
+    starts, h = word_hashes(b" ".join(texts).lower(), seed)
     upto = np.searchsorted(starts, np.cumsum(lengths))
     ends = upto + np.arange(len(texts))
     word = np.empty(len(h) + len(texts), dtype=np.uint64)
@@ -141,15 +149,12 @@ def _folded(context, word, count):
     return key[first], context[at], word[at], total
 
 
-def _short(h: np.ndarray) -> bytes:
-    """48-bit numbers in six bytes each."""
-    return np.ascontiguousarray(h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+def _packed(h: np.ndarray) -> bytes:
+    return h.astype("<u8").tobytes()
 
 
-def _long(packed: bytes) -> np.ndarray:
-    out = np.zeros((len(packed) // 6, 8), dtype=np.uint8)
-    out[:, :6] = np.frombuffer(packed, dtype=np.uint8).reshape(-1, 6)
-    return out.view("<u8").ravel().astype(np.uint64)
+def _unpacked(packed: bytes) -> np.ndarray:
+    return np.frombuffer(packed, dtype="<u8")
 
 
 def _small(count: np.ndarray) -> tuple[bytes, bytes]:
@@ -187,7 +192,7 @@ class Store:
     def _map(self, name: str) -> np.ndarray:
         path = f"{self.root}/{name}"
         if not isinstance(self.fs, pafs.LocalFileSystem):
-            local = os.path.join(tempfile.gettempdir(), f"lm-{abs(hash(self.root))}-{name}")
+            local = os.path.join(SparkFiles.getRootDirectory(), f"lm-{hashlib.sha1(self.root.encode()).hexdigest()}-{name}")
             if not os.path.exists(local):
                 pafs.copy_files(path, f"{local}.{os.getpid()}", source_filesystem=self.fs, destination_filesystem=pafs.LocalFileSystem())
                 os.replace(f"{local}.{os.getpid()}", local)
@@ -214,6 +219,7 @@ class Model:
     pair_discounts: tuple[float, float, float]
     word_discounts: tuple[float, float, float]
     freed: float
+    seed: int = SEED
 
     def words(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(count, number of contexts, mass freed as a context) of sorted word hashes."""
@@ -243,7 +249,7 @@ class Model:
 
     def score(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Per text: tokens, known tokens, log10 of the base, log10 of the model."""
-        context, word, text = sequences(texts)
+        context, word, text = sequences(texts, self.seed)
         number = np.bincount(text, minlength=len(texts))
         if not self.tokens:
             none = np.zeros(len(texts))
@@ -294,34 +300,46 @@ def discounts(once: int, twice: int, thrice: int, four: int) -> tuple[float, flo
     return tuple(min(max(d, 0.0), k) for k, d in enumerate(found, 1))
 
 
-def _count_pairs(docs: DataFrame, shards: int) -> DataFrame:
-    """Pairs of every task, folded and packed: one row per fold and shard."""
+PAIRS = pa.schema([("shard", pa.int32()), *[(c, pa.binary()) for c in ("context", "word", "low", "high", "own", "check")]])
+
+
+def _count_pairs(docs: DataFrame, shards: int, seed: int) -> DataFrame:
+    """Pairs of every task, folded and packed: one row per fold and shard.
+
+    ``own`` and ``check`` are the two hashes of the fold's words that belong to the shard.
+    """
 
     def fold(held):
         context, word = (np.concatenate([h[k] for h in held]) for k in (0, 1))
+        own, check = (np.concatenate([h[k] for h in held]) for k in (2, 3))
+        held.clear()
+        own, at = np.unique(own, return_index=True)
+        check = check[at]
         _, context, word, count = _folded(context, word, np.ones(len(word), np.int64))
-        out = [[] for _ in range(5)]
+        parts: dict[int, list[bytes]] = {}
         for s, rows in _by(shard_of(context, word, shards)):
-            for column, v in zip(out, (s, _short(context[rows]), _short(word[rows]), *_small(count[rows]))):
-                column.append(v)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(out[0], pa.int32()), *[pa.array(c, pa.binary()) for c in out[1:]]], ["shard", "context", "word", "low", "high"]
-        )
+            # By context, so that the shuffle packs its repetitions.
+            rows = rows[np.argsort(context[rows], kind="stable")]
+            parts[s] = [_packed(context[rows]), _packed(word[rows]), *_small(count[rows]), b"", b""]
+        for s, rows in _by((_mix(own) % np.uint64(shards)).astype(np.int64)):
+            parts.setdefault(s, [b""] * 6)[4:] = [_packed(own[rows]), _packed(check[rows])]
+        columns = [pa.array(list(parts), pa.int32()), *[pa.array(list(c), pa.binary()) for c in zip(*parts.values())]]
+        return pa.RecordBatch.from_arrays(columns, schema=PAIRS)
 
     def run(batches):
         held, total = [], 0
         for batch in batches:
             for texts in chunks(rows_of(batch, "text")):
-                context, word, _ = sequences(texts)
-                held.append((context, word))
+                context, word, _ = sequences(texts, seed)
+                held.append((context, word, *_distinct(texts, seed)))
                 total += len(word)
                 if total >= FOLD:
                     yield fold(held)
-                    held, total = [], 0
+                    total = 0
         if held:
             yield fold(held)
 
-    return docs.select("text").mapInArrow(run, "shard int, context binary, word binary, low binary, high binary")
+    return docs.select("text").mapInArrow(run, "shard int, context binary, word binary, low binary, high binary, own binary, check binary")
 
 
 _STATS = "shard int, role string, key binary, numbers binary"
@@ -331,12 +349,28 @@ def _joined(t: pa.Table, column: str) -> list[bytes]:
     return t.column(column).to_pylist()
 
 
+def _distinct(texts: list[bytes], seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of every different word of some texts."""
+    line = b" ".join(texts).lower()
+    own, check = word_hashes(line, seed)[1], word_hashes(line, seed + (1 << 32))[1]
+    own, at = np.unique(own, return_index=True)
+    return own, check[at]
+
+
+def _no_clash(own: np.ndarray, check: np.ndarray) -> None:
+    order = np.lexsort((check, own))
+    own, check = own[order], check[order]
+    if ((own[1:] == own[:-1]) & (check[1:] != check[:-1])).any():
+        raise ValueError("two words share a hash; train with another seed")
+
+
 def _write_pairs(uri: str, word_shards: int):
     """Per shard: write its arrays; send on what contexts and words need."""
 
     def run(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
-        context = np.concatenate([_long(b) for b in _joined(t, "context")])
-        word = np.concatenate([_long(b) for b in _joined(t, "word")])
+        _no_clash(*(np.concatenate([_unpacked(b) for b in _joined(t, c)]) for c in ("own", "check")))
+        context = np.concatenate([_unpacked(b) for b in _joined(t, "context")])
+        word = np.concatenate([_unpacked(b) for b in _joined(t, "word")])
         count = np.concatenate([_large(a, b) for a, b in zip(_joined(t, "low"), _joined(t, "high"))])
         hashes, context, word, count = _folded(context, word, count)
         big = count >= 255
@@ -351,7 +385,7 @@ def _write_pairs(uri: str, word_shards: int):
 
         def send(role, keys, numbers):
             for s, rows in _by((_mix(keys) % np.uint64(word_shards)).astype(np.int64)):
-                for column, v in zip(out, (s, role, _short(keys[rows]), numbers[rows].astype("<u8").tobytes())):
+                for column, v in zip(out, (s, role, _packed(keys[rows]), numbers[rows].astype("<u8").tobytes())):
                     column.append(v)
 
         keys, place = np.unique(context, return_inverse=True)
@@ -377,7 +411,7 @@ def _write_words(uri: str):
 
     def gather(t: pa.Table, role: str, width: int):
         rows = [(k, n) for r, k, n in zip(_joined(t, "role"), _joined(t, "key"), _joined(t, "numbers")) if r == role]
-        keys = np.concatenate([np.empty(0, np.uint64), *(_long(k) for k, _ in rows)])
+        keys = np.concatenate([np.empty(0, np.uint64), *(_unpacked(k) for k, _ in rows)])
         numbers = np.concatenate([np.empty((0, width), np.int64), *(np.frombuffer(n, "<u8").astype(np.int64).reshape(-1, width) for _, n in rows)])
         return keys, numbers
 
@@ -397,21 +431,21 @@ def _write_words(uri: str):
     return run
 
 
-def train(docs: DataFrame) -> Model:
+def train(docs: DataFrame, seed: int = SEED) -> Model:
     """Count the texts of ``docs`` and write the model's arrays to the shared folder."""
     spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shards = min(MOST_SHARDS, max(tasks(spark), size // SHARD))
+    shards = max(tasks(spark), size // SHARD)
     word_shards = max(tasks(spark), shards // 16)
     uri = scratch_path(spark, "lm")
-    pairs = _count_pairs(docs, shards).groupBy("shard").applyInArrow(_write_pairs(uri, word_shards), _STATS)
+    pairs = _count_pairs(docs, shards, seed).groupBy("shard").applyInArrow(_write_pairs(uri, word_shards), _STATS)
     totals = pairs.groupBy("shard").applyInArrow(_write_words(uri), "numbers array<bigint>")
     # One row of 13 numbers per shard of words.
     rows = np.array([r[0] for r in totals.collect()], dtype=np.int64).reshape(-1, 13).sum(axis=0)
     tokens, distinct, texts, w1, w2, w3, w4, more, p1, p2, p3, p4, n = map(int, rows)
     wd, pd = discounts(w1, w2, w3, w4), discounts(p1, p2, p3, p4)
     freed = (wd[0] * w1 + wd[1] * w2 + wd[2] * more) / n if n else 1.0
-    return Model(uri, shards, word_shards, tokens, distinct, n, texts, pd, wd, freed)
+    return Model(uri, shards, word_shards, tokens, distinct, n, texts, pd, wd, freed, seed)
 
 
 def score(model: Model, docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

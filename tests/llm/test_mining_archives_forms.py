@@ -13,7 +13,7 @@ import pyarrow as pa
 import pytest
 import zstandard
 
-from natal.llm import fill_in_middle, hard_negatives, warc
+from natal.llm import fill_in_middle, hard_negatives, kneser_ney, warc
 from natal.session import scratch_path
 
 VECTORS = "vec_id long, embedding array<float>, label int, score double, cell int, kind string, anchor long, rank int"
@@ -263,3 +263,21 @@ def test_digests_of_forms(spark):
     want = [(*b[:5], sha(b[5]), sha(t or "")) for (i, t), b in ((r, brute_form(*r)) for r in rows)]
     assert rows_of(fill_in_middle.digests(docs)) == sorted(want, key=repr)
     assert fill_in_middle.digests(docs.limit(0)).count() == 0
+
+
+# Language model: hashes of words
+
+
+def test_hashes_of_words_are_checked(spark, monkeypatch):
+    own, check = np.array([5, 7, 5], np.uint64), np.array([1, 2, 1], np.uint64)
+    kneser_ney._no_clash(own, check)
+    with pytest.raises(ValueError, match="share a hash"):
+        kneser_ney._no_clash(own, np.array([1, 2, 3], np.uint64))
+    first = kneser_ney.word_hashes(b"one two one")[1]
+    assert first[0] == first[2] != first[1] and first.max() > 1 << 48
+    monkeypatch.setattr(kneser_ney, "FOLD", 50)
+    draw = random.Random(6)
+    texts = [(i, " ".join(draw.choices(["a", "b", "see", "dd"], k=draw.randint(0, 60)))) for i in range(200)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(4)
+    one, two = (kneser_ney.score(kneser_ney.train(docs, seed), docs).orderBy("doc_id").toPandas() for seed in (7, 8))
+    assert one.n_known.equals(two.n_known) and np.allclose(one.score, two.score) and np.allclose(one.base_score, two.base_score)
