@@ -11,8 +11,9 @@ space, blocks are joined by one space. Scripts, styles, comments in the markup a
 count as text.
 
 Cases: null or empty html, or a page without article blocks, gives an empty text; broken markup
-is read as far as it goes (open paragraphs and items end where the next begins, an open head where
-something begins that cannot stand in it); null and
+is read as far as it goes (an open paragraph ends where a block begins that cannot stand in it, an item
+where the next begins, an open head where something begins that cannot stand in it, an open comment at
+the end of the page); scripts, drawings and buttons inside a line of text leave the line whole; null and
 repeated page ids keep their rows; extra columns are ignored; no length is capped.
 """
 
@@ -31,13 +32,16 @@ from pyspark.sql import DataFrame
 from natal.llm.common import rows_of
 from natal.llm.labelled_pages import labelled_pages
 
-#: Elements that never hold text of a page.
-SILENT = frozenset("script style noscript template head title svg iframe object select option".split())
-#: Elements inside a line of text; all others part blocks.
-INLINE = frozenset(
-    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup "
-    "time tt u var wbr".split()
+#: Elements that never hold text of a page. Those within a line do not part it.
+SILENT = frozenset("script style noscript template head title svg iframe object select option button textarea datalist".split())
+#: Elements that part blocks; all others, unknown ones too, stand within a line of text.
+BLOCKS = frozenset(
+    "html body address article aside blockquote center details dialog dir div dl dt dd fieldset figcaption figure footer form h1 h2 h3 "
+    "h4 h5 h6 header hgroup legend li listing main menu nav ol p plaintext pre search section summary table caption colgroup thead "
+    "tbody tfoot tr td th ul xmp".split()
 )
+#: Blocks that can stand in an open paragraph; every other one ends it.
+IN_PARAGRAPH = frozenset("html body legend caption colgroup thead tbody tfoot tr td th".split())
 #: Elements that can stand in a head; any other ends an open head.
 HEAD = frozenset("html head title base link meta style script noscript template".split())
 #: Elements without an end tag.
@@ -70,6 +74,7 @@ _GROUPS = {
     **dict.fromkeys(("li", "dt", "dd"), "item"),
     **dict.fromkeys(("table", "tbody", "thead", "tfoot", "tr", "td", "th", "caption"), "table"),
     **dict.fromkeys(("form", "fieldset", "button", "textarea", "input", "legend"), "form"),
+    **dict.fromkeys(("figure", "figcaption", "details", "summary"), None),
     **dict.fromkeys(("html", "body", "div", "section", "p", "article", "main", "nav", "aside", "header", "footer", "blockquote", "pre"), None),
 }
 
@@ -100,7 +105,20 @@ class Tree(HTMLParser):
         self.links = 0
         self.broken = True
         self.feed(html)
+        if self.rawdata.startswith("<!--"):  # a comment that is not closed goes on to the end
+            self.rawdata = ""
         self.close()
+        self._leave_out_silent()
+
+    def _leave_out_silent(self) -> None:
+        """Elements that hold no text say nothing of the part that they stand in."""
+        place, kept = {-1: -1}, []
+        for i, node in enumerate(self.nodes):
+            if not node.silent:
+                place[i] = len(kept)
+                node.parent = place[node.parent]
+                kept.append(node)
+        self.nodes, self.runs = kept, [(place[at], parts) for at, parts in self.runs]
 
     def handle_starttag(self, tag, attributes):
         if tag not in HEAD:
@@ -111,20 +129,36 @@ class Tree(HTMLParser):
                     self.runs[-1][1].append(" ")
                 self.broken |= tag == "hr"
             return
-        if tag in INLINE:
+        if tag not in BLOCKS and tag not in SILENT:
             self.links += tag == "a"
             return
-        self.broken = True
-        if tag in _ITEMS:
+        if tag in BLOCKS:
+            self.broken = True
+            self._end_drawing()
+            if tag in _ITEMS:
+                self._end(*_ITEMS[tag])
+            elif tag not in IN_PARAGRAPH and self.nodes[self.open[-1]].tag == "p":
+                self.open.pop()
+            self.links = 0
+        elif tag in ("head", "title"):
+            self.broken = True
+        elif tag in _ITEMS:
             self._end(*_ITEMS[tag])
-        elif self.nodes[self.open[-1]].tag == "p":
-            self.open.pop()
-        self.links = 0
         above = self.nodes[self.open[-1]]
         mark = next((v for k, v in attributes if k == "data-main"), above.mark)
         self.nodes.append(Node(tag, self.open[-1], _kind(attributes), mark, above.silent or tag in SILENT))
         self.open.append(len(self.nodes) - 1)
 
+    def _end_drawing(self) -> None:
+        """A block that begins inside an open drawing ends it."""
+        for depth in range(len(self.open) - 1, 0, -1):
+            node = self.nodes[self.open[depth]]
+            if node.tag == "svg":
+                del self.open[depth:]
+                return
+            if not node.silent:
+                return
+
     def _end_head(self, by: str) -> None:
         """End an open head, and what is open in it, where ``by`` cannot stand in it.
 
@@ -137,7 +171,7 @@ class Tree(HTMLParser):
                 del self.open[depth:]
                 self.broken = True
                 return
-            if tag == "template" or tag == "noscript" and by != "body" or tag == "title" and (by in INLINE or by in VOID):
+            if tag == "template" or tag == "noscript" and by != "body" or tag == "title" and by and by not in BLOCKS:
                 return
 
     def handle_startendtag(self, tag, attributes):
@@ -156,10 +190,11 @@ class Tree(HTMLParser):
     def handle_endtag(self, tag):
         if tag in VOID:
             return
-        if tag in INLINE:
+        if tag not in BLOCKS and tag not in SILENT:
             self.links = max(0, self.links - (tag == "a"))
             return
-        self.broken = True
+        if tag in BLOCKS or tag in ("head", "title"):
+            self.broken = True
         for depth in range(len(self.open) - 1, 0, -1):
             if self.nodes[self.open[depth]].tag == tag:
                 del self.open[depth:]

@@ -22,6 +22,7 @@ AD_NAMES = ("ad", "advert", "sponsored", "ads-box", "advertisement")
 class _Maker:
     def __init__(self, seed: int):
         self.draw = random.Random(seed)
+        self.more = random.Random(seed + 1_000_000)  # for parts that some articles have besides
 
     def words(self, low: int, high: int) -> str:
         return " ".join("".join(self.draw.choices("aeinorst", k=self.draw.randint(2, 8))) for _ in range(self.draw.randint(low, high)))
@@ -55,6 +56,9 @@ class _Maker:
             body.append(f"<table><tr><td>{self.words(1, 5)}</td><td>{self.words(1, 5)}</td></tr></table>")
         if d.random() < 0.15:
             body.append(f"<pre>{self.words(4, 20)}</pre>")
+        for part in (self.figure, self.details):
+            if self.more.random() < 0.3:
+                body.insert(self.more.randint(0, len(body)), part())
         if d.random() < 0.25:  # parts that stand inside the article without belonging to it
             inner = d.choice((self.ad, self.share, self.side))()
             body.insert(d.randint(0, len(body)), inner)
@@ -66,6 +70,17 @@ class _Maker:
         inside = f"<{wrap} data-main=1>{inside}</{tag}>"
         return f"<main data-main=1>{inside}</main>" if tag != "main" and d.random() < 0.25 else inside
 
+    def figure(self) -> str:
+        said = "".join(self.more.choices("aeinorst ", k=self.more.randint(6, 120)))
+        inside = self.more.choice((f"<img><figcaption>{said}</figcaption>", f"<picture><img></picture><figcaption><p>{said}</p></figcaption>", f"<figcaption>{said}</figcaption><img>"))
+        return f"<figure>{inside}</figure>"
+
+    def details(self) -> str:
+        sizes = [self.more.randint(4, 24) if self.more.random() < 0.4 else self.more.randint(24, 400) for _ in range(self.more.randint(1, 4))]
+        texts = ["".join(self.more.choices("aeinorst ", k=k)) for k in sizes]
+        inside = "".join(f"<p>{t}</p>" for t in texts) if self.more.random() < 0.7 else texts[0]
+        return f"<details><summary>{texts[0][:20]}</summary>{inside}</details>"
+
     def menu(self) -> str:
         wrap = self.draw.choice(("nav", self.named("div", MENU_NAMES), self.named("ul", MENU_NAMES)))
         inside = self.links(self.draw.randint(3, 12))

@@ -103,3 +103,32 @@ def test_text_and_inline_elements_end_a_head():
     for start in ("Some text", "<a>Some text</a>", "<img>Some text"):
         tree = html_tree.Tree(f"<head><title>T</title>{start}<div>more</div>")
         assert ["".join(parts) for _, parts in tree.runs] == ["Some text", "more"]
+
+
+SHAPES = {
+    "<p>see <svg><title>t</title><path d=x></path><text>no</text></svg> icon tail.</p>": "see icon tail.",
+    "<p>see <picture><source srcset=x><img src=y></picture> picture tail.</p>": "see picture tail.",
+    "<p>see <ruby>kan<rt>ji</rt></ruby> ruby tail.</p>": "see kanji ruby tail.",
+    "<p>be<script>x = '<p>'</script>fore and <style>p{}</style>after.</p>": "before and after.",
+    "<p>a <x-y>word</x-y> tail.</p>": "a word tail.",
+    "<p>press <button>Go</button> and <select><option>1<option>2</select> choose.</p>": "press and choose.",
+    "<p>an <svg><g>x<p>drawing left open.</p>": "an drawing left open.",
+    f"<figure><img src=x><figcaption>What is seen here.</figcaption></figure><p>{BODY}</p>": f"What is seen here. {BODY}",
+    f"<details><summary>More on it</summary><p>{BODY}</p><p>Second part, {BODY}</p></details>": f"More on it {BODY} Second part, {BODY}",
+    f"<p>{BODY}</p><!-- note <nav><a>x</a></nav>": BODY,
+    f"<p>one<table><tr><td>cell {BODY}</td></tr></table>": f"one cell {BODY}",
+    f"<p>one <math><mi>x</mi></math> two <video src=a></video> three <meter>4</meter>.": "one x two three 4.",
+    f"<p>{BODY} <del>was</del><ins>is</ins> <output>7</output>": f"{BODY} wasis 7",
+}
+
+
+@pytest.mark.parametrize("inside", SHAPES)
+def test_lines_stay_whole(inside):
+    page = f"<html><body><nav><ul><li><a href=/>Home</a></ul></nav><article><h1>Title</h1>{inside}"
+    closed = page if "<!--" in inside else page + "</article><footer>Foot of the page</footer></body></html>"
+    assert html_tree.main_text(closed) == f"Title {SHAPES[inside]}"
+
+
+@pytest.mark.parametrize("inside", [k for k in SHAPES if k.startswith("<p>") and "<!--" not in k])
+def test_the_only_paragraph_stays(inside):
+    assert html_tree.main_text(f"<article>{inside.replace('tail.', 'tail of it. ' + BODY)}</article>") == SHAPES[inside].replace("tail.", "tail of it. " + BODY)
