@@ -39,13 +39,15 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from natal.llm.common import rows_of, written
+from natal.llm.common import rows_of, tasks, written
 from natal.session import scratch_path
 
 #: Bytes of records in a frame, and of records in a bundle, at which the next one begins.
 FRAME_BYTES = 1 << 20
 BUNDLE_BYTES = 256 << 20
 LEVEL = 3
+#: Bytes of records that a task reads.
+READ_BYTES = 256 << 20
 #: Digests with more than one row in so many are broadcast, hence at most so many digests.
 HOT_SHARE = 10_000
 #: Fixed values of the seekable format and of the records.
@@ -327,7 +329,10 @@ def read_records(index: DataFrame, uri: str, payloads: bool = True) -> DataFrame
                         found, size = [], 0
             yield _table(found, RECORDS)
 
-    spread = index.repartition("bundle", "frame").sortWithinPartitions("bundle", "frame", "offset")
+    # Sized by the records, of which the index rows that are shuffled show nothing.
+    size = index.agg(F.sum("length")).first()[0] or 0
+    parts = max(tasks(index.sparkSession), size // READ_BYTES)
+    spread = index.repartition(parts, "bundle", "frame").sortWithinPartitions("bundle", "frame", "offset")
     return spread.select(*INDEX_SCHEMA.names).mapInArrow(run, RECORDS_DDL)
 
 
