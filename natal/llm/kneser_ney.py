@@ -54,7 +54,9 @@ HELD_OUT_OF, HELD_OUT = 7, 2
 SHARD = 8 << 20
 #: Tokens that a task folds at a time, and bytes of text that are hashed at a time.
 FOLD = 1_000_000
-CHUNK = 1 << 20
+CHUNK = 1 << 19
+#: Words whose second hash a task remembers to have sent.
+REMEMBERED = 1_000_000
 #: Hashes of the two markers; word hashes are larger.
 START, END = 0, 1
 _BASE = 0x9E3779B97F4A7C15
@@ -75,7 +77,7 @@ def _letters(seed: int) -> np.ndarray:
     return np.random.default_rng(seed).integers(1 << 63, size=256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=1)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the hash base and of its inverse, modulo 2**64."""
     out = []
@@ -94,7 +96,7 @@ def word_hashes(buffer: bytes, seed: int = SEED) -> tuple[np.ndarray, np.ndarray
     inside = np.r_[False, ~_SPACE[b], False]
     edges = np.flatnonzero(inside[1:] != inside[:-1])
     starts, ends = edges[::2], edges[1::2]
-    powers, inverse = _powers(1 << max(21, int(len(b)).bit_length()))
+    powers, inverse = _powers(1 << max(20, int(len(b)).bit_length()))
     sums = np.r_[np.uint64(0), np.cumsum(_letters(seed)[b] * powers[: len(b)])]
     h = (sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64)
     return starts, np.maximum(_mix(h), np.uint64(2))
@@ -306,15 +308,18 @@ PAIRS = pa.schema([("shard", pa.int32()), *[(c, pa.binary()) for c in ("context"
 def _count_pairs(docs: DataFrame, shards: int, seed: int) -> DataFrame:
     """Pairs of every task, folded and packed: one row per fold and shard.
 
-    ``own`` and ``check`` are the two hashes of the fold's words that belong to the shard.
+    ``own`` and ``check`` are the two hashes of the words that belong to the shard and that the task has
+    not sent before; of the second hash 16 bits tell two words apart well enough.
     """
 
-    def fold(held):
+    def fold(held, sent):
         context, word = (np.concatenate([h[k] for h in held]) for k in (0, 1))
         own, check = (np.concatenate([h[k] for h in held]) for k in (2, 3))
         held.clear()
         own, at = np.unique(own, return_index=True)
-        check = check[at]
+        new = ~np.isin(own, sent[0], assume_unique=True)
+        own, check = own[new], check[at[new]].astype("<u2")
+        sent[0] = np.r_[sent[0], own] if len(sent[0]) + len(own) <= REMEMBERED else own
         _, context, word, count = _folded(context, word, np.ones(len(word), np.int64))
         parts: dict[int, list[bytes]] = {}
         for s, rows in _by(shard_of(context, word, shards)):
@@ -322,22 +327,22 @@ def _count_pairs(docs: DataFrame, shards: int, seed: int) -> DataFrame:
             rows = rows[np.argsort(context[rows], kind="stable")]
             parts[s] = [_packed(context[rows]), _packed(word[rows]), *_small(count[rows]), b"", b""]
         for s, rows in _by((_mix(own) % np.uint64(shards)).astype(np.int64)):
-            parts.setdefault(s, [b""] * 6)[4:] = [_packed(own[rows]), _packed(check[rows])]
+            parts.setdefault(s, [b""] * 6)[4:] = [_packed(own[rows]), check[rows].tobytes()]
         columns = [pa.array(list(parts), pa.int32()), *[pa.array(list(c), pa.binary()) for c in zip(*parts.values())]]
         return pa.RecordBatch.from_arrays(columns, schema=PAIRS)
 
     def run(batches):
-        held, total = [], 0
+        held, total, sent = [], 0, [np.empty(0, np.uint64)]
         for batch in batches:
             for texts in chunks(rows_of(batch, "text")):
                 context, word, _ = sequences(texts, seed)
                 held.append((context, word, *_distinct(texts, seed)))
                 total += len(word)
                 if total >= FOLD:
-                    yield fold(held)
+                    yield fold(held, sent)
                     total = 0
         if held:
-            yield fold(held)
+            yield fold(held, sent)
 
     return docs.select("text").mapInArrow(run, "shard int, context binary, word binary, low binary, high binary, own binary, check binary")
 
@@ -368,7 +373,8 @@ def _write_pairs(uri: str, word_shards: int):
     """Per shard: write its arrays; send on what contexts and words need."""
 
     def run(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
-        _no_clash(*(np.concatenate([_unpacked(b) for b in _joined(t, c)]) for c in ("own", "check")))
+        own = np.concatenate([_unpacked(b) for b in _joined(t, "own")])
+        _no_clash(own, np.concatenate([np.frombuffer(b, "<u2") for b in _joined(t, "check")]))
         context = np.concatenate([_unpacked(b) for b in _joined(t, "context")])
         word = np.concatenate([_unpacked(b) for b in _joined(t, "word")])
         count = np.concatenate([_large(a, b) for a, b in zip(_joined(t, "low"), _joined(t, "high"))])
