@@ -499,6 +499,29 @@ def ame_sampled(spark, sf_dir):
     return rounded(interval(per_draw, [], "ame"), ["estimate", "lower", "upper"])
 
 
+THINNED = 0.3
+
+
+@query(
+    "ame_thinned",
+    f"""WITH {VOTERS_SQL}, {DRAWS_SQL},
+    folded AS (SELECT cowcode, educ99, count(*) AS n FROM vote WHERE educ99 IS NOT NULL GROUP BY ALL),
+    u AS (SELECT *, (CAST('0x' || substr(md5('42:' || cowcode || ':' || educ99), 1, 13) AS BIGINT) + 0.5) / pow(2, 52) AS u FROM folded),
+    mass AS (SELECT cowcode, educ99, n, u, k, exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) + k * ln({THINNED}) + (n - k) * ln({1 - THINNED})) AS p
+             FROM (SELECT *, unnest(range(n + 1)) AS k FROM u)),
+    upto AS (SELECT *, sum(p) OVER (PARTITION BY cowcode, educ99 ORDER BY k) AS c FROM mass),
+    kept AS (SELECT cowcode, educ99, min(k) AS w FROM upto WHERE c >= u GROUP BY ALL)
+    SELECT d AS draw, round(sum((-0.3 + 0.004 * d) * p * (1 - p) * w) / sum(w), 6) AS ame
+    FROM (SELECT d, w, 1 / (1 + exp(-((0.1 + 0.01 * d) + (-0.3 + 0.004 * d) * educ99))) AS p FROM kept, draws) GROUP BY d""",
+)
+def ame_thinned(spark, sf_dir):
+    """Marginal effect over a share of the respondents, thinned within counted patterns."""
+    people = voters(spark, sf_dir).withColumn("educ", F.col("educ99").cast("double"))
+    counts = pattern_counts(people.select("voted_re", "educ", "educ99", "cowcode"), "voted_re", ["educ", "educ99"], "cowcode")
+    per_draw = effects.average_marginal_effect(counts, literal_draws(["educ"], SLOPES[:1]), "educ", THINNED, key=["cowcode", "educ99"])
+    return rounded(per_draw, ["ame"])
+
+
 @query(
     "random_effects",
     f"""WITH {VOTERS_SQL},

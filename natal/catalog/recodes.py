@@ -10,6 +10,7 @@ from natal.functions import names
 from natal.operators import entity
 from natal.operators.frame import observed_levels
 from natal.operators.joins import literal_table, lookup_join
+from natal.operators.name_patterns import attach_code_by_pattern
 
 
 def sql_in(values):
@@ -207,3 +208,30 @@ def select_renamed(spark, sf_dir):
         table(spark, sf_dir, "nation"), {"country": "n_name", "region": "n_regionkey", "code": "n_nationkey"}
     )
     return names.first_then_rest(df.withColumn("region_no", F.col("region") + 1).drop("region"), "code")
+
+
+# Patterns of names: alternatives, ends, an optional part, a class, and two that disagree on some names.
+NAME_PATTERNS = {
+    "^(blue|red) (anvil|bolt)$": 10,
+    r"gi[sz]+mo": 20,
+    r"\bgears?\b": 30,
+    "^green ": 40,
+    "plate$|wid": 50,
+    "^.{12,}$": 60,
+}
+
+
+PATTERN_LIST = ", ".join(f"'{p}'" for p in NAME_PATTERNS)
+
+
+@query(
+    "entity_patterns",
+    f"""WITH rules AS (SELECT unnest([{PATTERN_LIST}]) AS pattern, unnest({list(NAME_PATTERNS.values())}) AS code),
+    names AS (SELECT DISTINCT p_name, trim(regexp_replace(lower(p_name), '[^a-z0-9]+', ' ', 'g')) AS k FROM part),
+    found AS (SELECT p_name, CAST(min(code) AS INTEGER) AS code FROM names, rules WHERE regexp_matches(k, pattern)
+              GROUP BY p_name HAVING min(code) = max(code))
+    SELECT p_partkey, p_name, code AS cowcode FROM part LEFT JOIN found USING (p_name)""",
+)
+def entity_patterns(spark, sf_dir):
+    """Codes of part names by patterns; names on which patterns disagree have none."""
+    return attach_code_by_pattern(table(spark, sf_dir, "part").select("p_partkey", "p_name"), "p_name", NAME_PATTERNS)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Sequence
 from functools import reduce
 
 import numpy as np
@@ -13,31 +15,37 @@ from natal.models.draws import DrawMatrix
 from natal.models.patterns import TRIALS
 from natal.models.scoring import eta_of, logistic, map_blocks
 
-_KEY = "_natal_key"
+_UNIFORM = "_natal_uniform"
+#: Standard deviations around the mean within which the kept share of a pattern lies.
+REACH = 40
 
 
 def average_marginal_effect(
-    patterns: DataFrame, draws: DrawMatrix, x: str, prop: float = 1.0, seed: int = 42, weight: str = TRIALS
+    patterns: DataFrame, draws: DrawMatrix, x: str, prop: float = 1.0, seed: int = 42, weight: str = TRIALS,
+    key: Sequence[str] | None = None,
 ) -> DataFrame:
     """Average of ``beta_x * p * (1 - p)`` over respondents, one row per draw.
 
     ``prop`` below 1 averages over a random share of the respondents, where the caller wants
-    that: each one is kept with this probability, also within a counted pattern. The choice hangs
-    on the seed and the pattern alone, so it is the same at any partitioning. Patterns with an
+    that: each one is kept with this probability, also within a counted pattern. How many of a pattern are
+    kept is the binomial quantile at a number between 0 and 1 that a digest of the seed and the
+    columns ``key`` (all, by default) gives, so it is the same at any partitioning. Patterns with an
     unknown predictor are left out. Each task sends one partial sum per draw.
     """
     at = draws.terms.index(x)
     patterns = patterns.na.drop("any", subset=list(draws.predictors))
     if prop < 1:
-        keys = sorted(c for c in patterns.columns if not c.startswith("_natal"))
-        patterns = patterns.withColumn(_KEY, F.xxhash64(*keys))
+        keys = key or sorted(c for c in patterns.columns if not c.startswith("_natal"))
+        text = F.concat_ws(":", F.lit(str(seed)), *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in keys])
+        digits = F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("double")
+        patterns = patterns.withColumn(_UNIFORM, (digits + 0.5) / 2.0**52)
 
     def score(blocks, d):
         total, n = np.zeros(len(d)), 0.0
         for block in blocks:
             w = block[weight].to_numpy(dtype=float)
             if prop < 1:
-                w = np.array([_thinned(seed, int(k), int(n), prop) for k, n in zip(block[_KEY], w)], dtype=float)
+                w = kept(block[_UNIFORM].to_numpy(), w, prop)
             p = logistic(eta_of(block, d))
             total += w @ (p * (1 - p))
             n += w.sum()
@@ -54,10 +62,29 @@ def thin(respondents: DataFrame, key: str, prop: float, seed: int = 42) -> DataF
     return respondents.filter(F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / 2.0**52 < prop)
 
 
-def _thinned(seed: int, key: int, n: int, prop: float) -> int:
-    """How many of ``n`` respondents of a pattern are kept."""
-    stream = np.array([seed, key], dtype=np.int64).astype(np.uint64)
-    return int(np.random.Generator(np.random.Philox(key=stream)).binomial(n, prop))
+def kept(uniform: np.ndarray, n: np.ndarray, prop: float) -> np.ndarray:
+    """Binomial quantiles: how many of ``n`` are kept with probability ``prop``, at a number between 0 and 1.
+
+    Distribution functions of all rows are summed up together, over the same number of places around each
+    mean; places further off hold less than rounding does.
+    """
+    out = np.zeros(len(n))
+    if prop <= 0 or not len(n):
+        return out
+    spread = np.sqrt(n * prop * (1 - prop))
+    reach = np.ceil(REACH * spread + REACH).astype(np.int64)
+    for rows in np.array_split(np.argsort(reach, kind="stable"), max(1, int(reach.sum() // 1_000_000))):
+        low = np.maximum(np.floor(n[rows] * prop) - reach[rows], 0)
+        k = low[:, None] + np.arange(2 * reach[rows].max() + 2)[None, :]
+        m = n[rows][:, None]
+        step = np.log(np.maximum(m - k, 1e-300)) - np.log(k + 1) + math.log(prop) - math.log1p(-prop)
+        log = np.concatenate([np.zeros((len(rows), 1)), np.cumsum(step[:, :-1], axis=1)], axis=1)
+        log[k > m] = -np.inf
+        mass = np.exp(log - log.max(axis=1, keepdims=True))
+        total = np.cumsum(mass, axis=1)
+        below = (total < uniform[rows][:, None] * total[:, -1:]).sum(axis=1)
+        out[rows] = np.minimum(low + below, n[rows])
+    return out
 
 
 def effect_curve(

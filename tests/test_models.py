@@ -497,3 +497,21 @@ def test_a_fit_takes_few_jobs(spark):
     sc.setLocalProperty("spark.jobGroup.id", None)
     assert len(fit.sds) >= mixed.POINTS and len(sc.statusTracker().getJobIdsForGroup("mixed-fit")) < 20
     assert "Generate" not in fit.groups._jdf.queryExecution().toString()
+
+
+def test_kept_counts_are_binomial_quantiles():
+    rng = np.random.default_rng(4)
+    n = np.r_[0, 1, 2, rng.integers(1, 400, 40), 100_000].astype(float)
+    u = np.r_[0.5, 0.2, 0.999999, rng.random(40), 0.7]
+    for prop in (0.01, 0.3, 0.97):
+        got = effects.kept(u, n, prop)
+        for value, m, at in zip(got, n.astype(int), u):
+            total = 0.0
+            for k in range(m + 1):
+                log = math.lgamma(m + 1) - math.lgamma(k + 1) - math.lgamma(m - k + 1) + k * math.log(prop) + (m - k) * math.log1p(-prop)
+                total += math.exp(log)
+                if total >= at * (1 - 1e-12):
+                    break
+            assert value == k
+    many = effects.kept((np.arange(20_000) + 0.5) / 20_000, np.full(20_000, 50.0), 0.3)
+    assert many.mean() == pytest.approx(15, abs=0.01) and many.var() == pytest.approx(10.5, abs=0.05)
