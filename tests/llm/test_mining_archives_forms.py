@@ -281,36 +281,3 @@ def test_hashes_of_words_are_checked(spark, monkeypatch):
     docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(4)
     one, two = (kneser_ney.score(kneser_ney.train(docs, seed), docs).orderBy("doc_id").toPandas() for seed in (7, 8))
     assert one.n_known.equals(two.n_known) and np.allclose(one.score, two.score) and np.allclose(one.base_score, two.base_score)
-
-
-# Bounded samples
-
-
-def test_bounds_hold_with_one_id_on_a_third_of_the_rows(spark):
-    from natal.llm import labelled, quality
-
-    many = [(7, f"text {i}") for i in range(900)] + [(i, f"other {i}") for i in range(1000, 2200)] + [(7, "text 1")] * 300
-    docs = spark.createDataFrame(many, "doc_id long, text string")
-    labels = spark.createDataFrame([(i, i % 2, 1) for i in [7, *range(1000, 2200)]], "doc_id long, toxic int, quality int")
-    for bound in (50, 400):
-        got = labelled.sample(docs, labels, "toxic", bound).collect()
-        assert 0 < len(got) <= bound and len({r["text"] for r in got}) == len(got)
-        rows = quality.samples(docs, labels, "quality", bound, bound).collect()
-        for side in (True, False):
-            assert 0 < sum(r["positive"] == side for r in rows) <= bound
-
-
-def test_log_odds_equal_plain_sums_and_the_fit_repeats():
-    from natal.llm import quality
-
-    rng = np.random.default_rng(1)
-    xp, xu, p = rng.normal(1, 1, (30, quality.FEATURES)), rng.normal(0, 1, (40, quality.FEATURES)), 0.4
-    model = quality.learn(xp, xu)
-    again = quality.learn(xp[::1].copy(), xu.copy())
-    assert np.allclose(model.scores(xu), again.scores(xu))
-    z = model.odds(xu)
-    plain = [model.constant + sum(w[sum(c <= x[j] for c in cuts)] for j, (w, cuts) in enumerate(zip(model.weights, model.cuts))) for x in xu]
-    assert np.allclose(z, plain)
-    cut = np.array([0.1, 0.5, 0.9, 0.9, 0.2])
-    share = quality.prior(np.array([0.5, 0.9, 0.9, 0.8]), cut)
-    assert 0.02 <= share <= 0.99 and p < 1
