@@ -31,8 +31,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
-from natal.llm.common import extended, packed, rows_of
-from natal.llm.labelled import held_out
+from natal.llm.common import extended, packed, rows_of, written
+from natal.llm.labelled import held_out, rows_picked, smallest, texts_of
 
 #: Trusted positives and unlabelled rows to learn from, at most.
 POSITIVES = 10_000
@@ -99,7 +99,8 @@ def samples(docs: DataFrame, labels: DataFrame, label: str, positives: int, unla
     """(text, positive): bounded samples of trusted positives and of all web text.
 
     Unlabelled rows are drawn from all documents that may be learned from, labelled or not, by
-    the smallest hashes of their ids; each id sample is bounded before it is broadcast.
+    the smallest hashes of their ids; each id sample is bounded before it is broadcast. Equal rows
+    count once, and both bounds hold for rows also where one id has very many texts.
     """
     ids = F.col("doc_id").cast("bigint").alias("doc_id")
     may = F.col("doc_id").isNotNull() & ~held_out()
@@ -107,7 +108,10 @@ def samples(docs: DataFrame, labels: DataFrame, label: str, positives: int, unla
     trusted = trusted.filter("label = 1").orderBy(F.xxhash64("doc_id"), "doc_id").limit(positives).select("doc_id", F.lit(True).alias("positive"))
     web = docs.select(ids).filter(may).distinct().orderBy(F.xxhash64(F.lit("web"), "doc_id"), "doc_id").limit(unlabelled)
     chosen = trusted.unionByName(web.select("doc_id", F.lit(False).alias("positive")))
-    return docs.select(ids, F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id").select("positive", "text")
+    found = texts_of(docs, chosen)
+    keys = written(found.select("doc_id", "positive", "digest").distinct(), "quality-keys")
+    picked = smallest(keys.filter("positive"), positives).unionByName(smallest(keys.filter("not positive"), unlabelled, "web"))
+    return rows_picked(found, picked).select("positive", "text")
 
 
 def prior(positive: np.ndarray, unlabelled: np.ndarray, margin: float = 2.0) -> float:
