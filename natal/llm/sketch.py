@@ -10,7 +10,8 @@ as a hash below the threshold comes in.
 Cases: null text counts as empty; a text with fewer than five words is one shingle; a text
 without words has an empty sketch and the fingerprint "0"; likeness of two empty sketches is 1,
 of an empty and a filled one 0. Null ids sort last; rows with one id are ordered by the hash of
-their text; repeated rows follow each other; extra columns are ignored.
+their text; repeated rows follow each other; an empty table gives an empty result; texts of any
+length are sketched whole; extra columns, also of clashing names, are ignored.
 """
 
 from __future__ import annotations
@@ -18,16 +19,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from natal.llm.common import written
+
 SHINGLE = 5
 #: One of so many shingle hashes is kept where the caller names no other fraction.
 SCALE = 8
 #: The same for tables with texts of a few words, which need half of theirs for an estimate.
 SHORT_SCALE = 2
-#: Documents per bucket of neighbouring ids, and the most buckets there can be.
+#: Different rows per bucket of neighbours, and the most buckets whose bounds a task holds (2 MB).
+#: Beyond a product of 65 million rows buckets grow with the input, in step, and sort with spilling.
 BUCKET = 1_000
-MOST_BUCKETS = 131_072
-#: Knots between which ids are taken to be spread evenly.
-KNOTS = 64
+MOST_BUCKETS = 65_536
+#: Keys drawn per bucket to place the bounds.
+DRAWN = 4
+#: Equal rows are folded where more than one row in so many, and more than a bucket, are equal.
+EQUAL = 4_096
 _NEGATIVE = -(1 << 63)
 
 
@@ -75,51 +81,104 @@ def as_text(hashes: Column) -> Column:
     return F.when(F.size(hashes) > 0, shown).otherwise("0")
 
 
-def buckets(docs: DataFrame) -> Column:
-    """An expression that puts neighbouring ids in one bucket, in the order of the ids.
+def place_of(key: Column, bounds: Column) -> Column:
+    """How many of the sorted array ``bounds`` are ``key`` or less, by binary search."""
+    powers = F.array(*[F.lit(1 << k) for k in reversed(range((MOST_BUCKETS * 2).bit_length()))])
+    start = F.struct(F.lit(0).alias("found"), key.alias("key"), bounds.alias("bounds"))
+
+    def step(at: Column, power: Column) -> Column:
+        fits = F.get(at["bounds"], at["found"] + power - 1) <= at["key"]
+        found = F.when(fits, at["found"] + power).otherwise(at["found"])
+        return F.struct(found.alias("found"), at["key"].alias("key"), at["bounds"].alias("bounds"))
+
+    return F.aggregate(powers, start, step)["found"]
+
 
-    Quantiles of the ids are knots; between two knots ids are spread evenly over the same number
-    of buckets. Null ids come first, in bucket -1.
+def order_key() -> Column:
+    """Falling ids, null last, then the hash of the text, as one value that rises."""
+    down = F.coalesce(F.bitwise_not("doc_id"), F.lit(0).cast("bigint"))
+    return F.struct(F.col("doc_id").isNull().alias("missing"), down.alias("down"), F.col("tie").alias("tie"))
+
+
+def bounds_of(keys: DataFrame, rows: int) -> Column:
+    """Keys that part ``keys`` into even buckets, from a sample that hangs on the keys alone.
+
+    Hashes of texts are part of the key, so missing ids or one id on very many rows are parted too.
     """
-    quantiles = F.percentile_approx("doc_id", [k / KNOTS for k in range(1, KNOTS)], 1000)
-    rows, low, high, inner = docs.agg(F.count("doc_id"), F.min("doc_id"), F.max("doc_id"), quantiles).first()
-    if not rows:
-        return F.lit(-1).cast("bigint")
-    knots = sorted({low, *inner, high})
-    per = max(1, min(MOST_BUCKETS, rows // BUCKET) // len(knots))
-    place = F.lit(len(knots) * per)
-    for k in reversed(range(len(knots) - 1)):
-        a, b = knots[k], knots[k + 1]
-        inside = F.floor((F.col("doc_id").cast("double") - float(a)) / (float(b) - float(a)) * per).cast("int")
-        place = F.when(F.col("doc_id") < F.lit(b), F.lit(k * per) + F.least(inside, F.lit(per - 1))).otherwise(place)
-    return F.coalesce(F.when(F.col("doc_id").isNotNull(), place), F.lit(-1)).cast("bigint")
-
-
-def with_next(docs: DataFrame, carried: tuple[str, ...]) -> DataFrame:
-    """Each row with ``next_<column>`` of its successor by falling id, cyclically.
-
-    Rows move once, to the bucket of their id. The first row of each bucket also goes, as a
+    wanted = max(1, min(MOST_BUCKETS, rows // BUCKET))
+    share = min(1.0, DRAWN * wanted / max(1, rows))
+    drawn = keys.filter(F.pmod(F.xxhash64(F.lit("bound"), "doc_id", "tie"), F.lit(1 << 40)) < int(share * (1 << 40)))
+    found = drawn.agg(F.sort_array(F.collect_list(order_key())).alias("drawn"))
+    return found.select(F.filter("drawn", lambda _, k: k % DRAWN == DRAWN - 1)).scalar()
+
+
+def with_next(docs: DataFrame, keys: DataFrame, carried: tuple[str, ...]) -> DataFrame:
+    """Each row of (doc_id, tie, ...) with ``next_<column>`` of its successor, cyclically.
+
+    Rows move once, to the bucket of their place. The first row of each bucket also goes, as a
     guest, to the end of the bucket before it; the very first row goes to the end of the last.
     """
-    placed = docs.withColumn("bucket", buckets(docs))
-    # Per bucket the id of its first row: at most MOST_BUCKETS + KNOTS rows of three numbers.
-    firsts = placed.groupBy("bucket").agg(F.max("doc_id").alias("first_id"))
-    before = F.lag("bucket").over(Window.orderBy(F.desc("bucket")))
-    hosts = firsts.withColumn("host", F.coalesce(before, F.min("bucket").over(Window.partitionBy())))
-    rows = placed.join(F.broadcast(hosts), "bucket")
+    bounds = bounds_of(keys, keys.count())
+    bucket = place_of(F.col("key"), F.col("bounds"))
+    # Per bucket the key of its first row: a row per bound and one more.
+    firsts = keys.select(order_key().alias("key"), bounds.alias("bounds")).select("key", bucket.alias("bucket"))
+    firsts = firsts.groupBy("bucket").agg(F.min("key").alias("first_key"))
+    before = F.lag("bucket").over(Window.orderBy("bucket"))
+    hosts = firsts.withColumn("host", F.coalesce(before, F.max("bucket").over(Window.partitionBy())))
+    rows = docs.select("doc_id", *carried, order_key().alias("key"), bounds.alias("bounds"))
+    rows = rows.withColumn("bucket", bucket).drop("bounds").join(F.broadcast(hosts), "bucket")
     stays = F.struct(F.col("bucket").alias("at"), F.lit(False).alias("guest"))
     goes = F.struct(F.col("host").alias("at"), F.lit(True).alias("guest"))
-    seats = F.when(F.col("doc_id").eqNullSafe(F.col("first_id")), F.array(stays, goes)).otherwise(F.array(stays))
-    rows = rows.select("doc_id", *carried, F.xxhash64("text").alias("tie"), F.explode(seats).alias("seat"))
-    order = Window.partitionBy("seat.at").orderBy("seat.guest", F.desc_nulls_last("doc_id"), "tie")
+    seats = F.when(F.col("key") == F.col("first_key"), F.array(stays, goes)).otherwise(F.array(stays))
+    rows = rows.select("doc_id", *carried, "key", F.explode(seats).alias("seat"))
+    order = Window.partitionBy("seat.at").orderBy("seat.guest", "key")
     following = [F.lead(c).over(order).alias(f"next_{c}") for c in carried]
     return rows.select("doc_id", *carried, *following, "seat").filter("not seat.guest").drop("seat")
 
 
+def folded(docs: DataFrame, keys: DataFrame, rows: int) -> DataFrame | None:
+    """``docs`` with ``copies``, very many equal rows as one; None where no row has so many.
+
+    At most EQUAL keys can have so many rows each, so they can be broadcast.
+    """
+    many = keys.filter(F.col("n") > max(BUCKET, rows // EQUAL)).select("doc_id", "tie", F.lit(True).alias("many"))
+    if many.isEmpty():
+        return None
+    same = docs["doc_id"].eqNullSafe(many["doc_id"]) & (docs["tie"] == many["tie"])
+    marked = docs.join(F.broadcast(many), same, "left").select(docs["doc_id"], "text", docs["tie"], "many")
+    few = marked.filter("many is null").select("doc_id", "text", "tie", F.lit(1).cast("bigint").alias("copies"))
+    one = marked.filter("many").groupBy("doc_id", "tie").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
+    return few.unionByName(one)
+
+
+def unfolded(rows: DataFrame) -> DataFrame:
+    """Each row ``copies`` times; many copies of a row are dealt to tasks by pieces of a bucket."""
+    pieces = F.sequence(F.lit(0), F.floor((F.col("copies") - 1) / BUCKET))
+    rows = rows.withColumn("piece", F.explode(pieces)).repartition("doc_id", "edited_sha256", "piece")
+    here = F.least(F.lit(BUCKET), F.col("copies") - F.col("piece") * BUCKET).cast("int")
+    return rows.withColumn("_", F.explode(F.sequence(F.lit(1), here))).drop("_", "piece", "copies")
+
+
 def fingerprints(docs: DataFrame, size: int = SHINGLE, scale: int = SCALE) -> DataFrame:
     """Fingerprint of every document, of its edited text, and their likeness."""
     own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = with_next(with_sketch(own, "text", "own", size, scale), ("text", "own"))
+    own = own.withColumn("tie", F.xxhash64("text"))
+    # Ids and hashes only, one row for equal rows.
+    keys = written(own.groupBy("doc_id", "tie").agg(F.count("*").alias("n")), "sketch-keys")
+    fold = folded(own, keys, keys.agg(F.sum("n")).first()[0] or 0)
+    if fold is None:
+        rows = with_next(with_sketch(own, "text", "own", size, scale), keys, ("text", "own"))
+        return compared(rows, size, scale).drop("copies")
+    rows = with_next(with_sketch(fold, "text", "own", size, scale), keys, ("text", "own", "copies"))
+    # All copies but the last are followed by their like.
+    like = F.struct((F.col("copies") - 1).alias("copies"), F.col("text").alias("next_text"), F.col("own").alias("next_own"))
+    last = F.struct(F.lit(1).cast("bigint").alias("copies"), "next_text", "next_own")
+    rows = rows.withColumn("follows", F.explode(F.filter(F.array(like, last), lambda f: f["copies"] > 0)))
+    return unfolded(compared(rows.select("doc_id", "text", "own", "follows.*"), size, scale))
+
+
+def compared(rows: DataFrame, size: int, scale: int) -> DataFrame:
+    """Edited texts, their sketches and the likenesses."""
     half = F.floor(F.col("n_chars") / 2).cast("int")
     edited = F.concat(
         F.substring(F.col("text"), F.lit(1), (F.col("n_chars") - half).cast("int")),
@@ -134,4 +193,5 @@ def fingerprints(docs: DataFrame, size: int = SHINGLE, scale: int = SCALE) -> Da
         as_text(F.col("other")).alias("edited_fingerprint"),
         containment(F.col("own"), F.col("other")).alias("near_edited"),
         containment(F.col("own"), F.col("next_own")).alias("near_next"),
+        *[c for c in ("copies",) if c in rows.columns],
     )

@@ -12,6 +12,7 @@ import numpy as np
 import pandas as pd
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from natal.llm import bpe, components, kneser_ney, labelled, multi_index, packing, quality, queries, simhash, sketch, token_rollup, toxicity
 from natal.llm.common import tokenizer_path, written
@@ -522,21 +523,38 @@ def likeness(a, b):
     return len(a & b) / min(len(a), len(b)) if a and b else float(len(a) == len(b))
 
 
-def test_sketches(spark):
-    rows = [(i, t or "") for i, t in awkward() if i is not None] + [(k, words(40 + k % 30, k)) for k in range(100, 160)]
-    df = spark.createDataFrame([(i, t, "clash", "x") for i, t in rows], "doc_id long, text string, own string, bucket string").repartition(5)
-    got = collections.Counter(tuple(r) for r in sketch.fingerprints(df).collect())
+def sketched(rows, brute=brute_sketch):
+    """Brute-force result rows of (doc_id, text) pairs."""
     tie = lambda t: (h := xxhash.xxh64_intdigest(t.encode(), 42)) - (1 << 64) * (h >> 63)
-    rows.sort(key=lambda r: (-r[0], tie(r[1])))
+    rows = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), tie(r[1])))
     show = lambda s: ".".join(f"{x & (1 << 64) - 1:016x}" for x in sorted(s)) or "0"
     want = collections.Counter()
     for k, (i, t) in enumerate(rows):
         after = rows[(k + 1) % len(rows)][1]
         half = len(t) // 2
         edited = t[: len(t) - half] + after[:half]
-        a, b, c = map(brute_sketch, (t, edited, after))
+        a, b, c = map(brute, (t, edited, after))
         want[i, len(t), hashlib.sha256(edited.encode()).hexdigest(), show(a), show(b), likeness(a, b), likeness(a, c)] += 1
-    assert got == want
+    return want
+
+
+def test_sketches(spark):
+    rows = [(i, t or "") for i, t in awkward() if i is not None] + [(k, words(40 + k % 30, k)) for k in range(100, 160)]
+    df = spark.createDataFrame([(i, t, "clash", "x", 1) for i, t in rows], "doc_id long, text string, own string, key string, n int").repartition(5)
+    assert collections.Counter(tuple(r) for r in sketch.fingerprints(df).collect()) == sketched(rows)
+
+
+def test_sketches_with_a_third_of_null_ids_and_a_third_of_one_id(spark, monkeypatch):
+    """Buckets stay even, and equal rows in mass are folded and dealt out again."""
+    monkeypatch.setattr(sketch, "BUCKET", 20)
+    rows = [(None, words(12, k)) for k in range(200)] + [(7, words(12, 300 + k)) for k in range(200)]
+    rows += [(k * k * k, words(9, 600 + k)) for k in range(100)] + [(None, words(30, 1))] * 90 + [(9, words(8, 2))] * 61
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    assert collections.Counter(tuple(r) for r in sketch.fingerprints(df).collect()) == sketched(rows)
+    keys = df.select("doc_id", F.xxhash64("text").alias("tie")).distinct()
+    placed = keys.select(sketch.order_key().alias("key"), sketch.bounds_of(keys, keys.count()).alias("b"))
+    sizes = [r[1] for r in placed.groupBy(sketch.place_of(F.col("key"), F.col("b"))).count().collect()]
+    assert sum(sizes) == 502 and len(sizes) > 12 and max(sizes) <= 100
 
 
 def test_sketch_edges(spark, docs, no_docs):
