@@ -22,7 +22,7 @@ from natal.llm import (
     toxicity,
     warc,
 )
-from natal.llm.common import table
+from natal.llm.common import table, written
 from natal.session import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -48,15 +48,20 @@ _TOKENIZERS = {"words-1": _WORDS, "parts-2": _PARTS}
 _NOTICES = ("licensed under", "all rights reserved")
 
 
-def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Totals after four batches: all documents inserted; sources renamed to capitals and licence
-    lines dropped, as a revision; texts under five words deleted; the revision once more."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", F.coalesce("text", F.lit("")).alias("text"))
+def _without_notices(text):
+    """A text without its licence lines."""
 
     def plain(line):
         return ~(F.lower(line).contains(_NOTICES[0]) | F.lower(line).contains(_NOTICES[1]))
 
-    cleaned = docs.withColumns({"text": F.array_join(F.filter(F.split("text", "\n"), plain), "\n"), "source": F.upper("source")})
+    return F.array_join(F.filter(F.split(text, "\n"), plain), "\n")
+
+
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals after four batches: all documents inserted; sources renamed to capitals and licence
+    lines dropped, as a revision; texts under five words deleted; the revision once more."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", F.coalesce("text", F.lit("")).alias("text"))
+    cleaned = docs.withColumns({"text": _without_notices("text"), "source": F.upper("source")})
     tokenizers = {version: F.regexp_count("text", F.lit(pattern)) for version, pattern in _TOKENIZERS.items()}
     first, second = token_rollup.counted(docs, tokenizers), token_rollup.counted(cleaned, tokenizers)
     short = cleaned.filter(F.regexp_count("text", F.lit(_WORDS)) < 5)
@@ -86,6 +91,33 @@ SELECT source, lang, 'parts-2', count(*), CAST(sum(p) AS BIGINT) FROM kept GROUP
 """
 
 
+BPE_VERSION = "byte_bpe_50k"
+
+
+def token_counts_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The batches of ``op4_token_counts`` on the ids of a public tokenizer; texts under five tokens are deleted.
+
+    Each text is encoded once. A revised text is encoded only where it differs; elsewhere the revision
+    carries the count over, so that its change of tokens is none.
+    """
+    docs = table(spark, sf_dir, "documents").select("source", "lang", "text")
+    cleaned = _without_notices("text")
+    both = docs.withColumn("revised", F.when(cleaned != F.col("text"), cleaned))
+    counts = token_rollup.with_token_counts(both, {"tokens": "text", "revised_tokens": "revised"})
+    counts = written(counts.withColumn("tokenizer", F.lit(BPE_VERSION)), "token-counts")
+    first = counts.select("source", "lang", "tokenizer", F.coalesce("tokens", F.lit(0)).alias("tokens"))
+    second = counts.select(
+        F.upper("source").alias("source"), "lang", "tokenizer", F.coalesce("revised_tokens", "tokens", F.lit(0)).alias("tokens")
+    )
+    rollup = token_rollup.Rollup(spark, scratch_path(spark, "token-rollup"))
+    revised = token_rollup.revisions(first, second)
+    rollup.commit("1", token_rollup.inserts(first))
+    rollup.commit("2", revised)
+    rollup.commit("3", token_rollup.deletes(second.filter("tokens < 5")))
+    rollup.commit("2", revised)
+    return rollup.totals()
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -192,6 +224,7 @@ QUERIES: dict[str, Query] = {
         op2_best_fit_packing,
         op3_bpe_round_trip,
         op4_token_counts,
+        token_counts_bpe,
         op5_quality,
         op6_kneser_ney,
         op7_multi_index_near_dedup,

@@ -11,7 +11,9 @@ one table that remembers their ids. A hot source is folded in every task before
 
 Cases: null source, lang or tokenizer is a group of its own; a null token count counts as none; a
 null or empty text has no tokens; groups whose documents and tokens are all gone are left out;
-repeated documents count as often as they occur; an empty batch can be committed.
+repeated documents count as often as they occur; an empty batch can be committed and an empty table
+gives empty totals; texts of any length are counted whole; extra columns, also of clashing names, are
+ignored.
 """
 
 from __future__ import annotations
@@ -19,8 +21,13 @@ from __future__ import annotations
 import uuid
 from collections.abc import Mapping
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
+
+from natal.llm import bpe
+from natal.llm.common import rows_of, tokenizer_path
 
 KEYS = ("source", "lang", "tokenizer")
 _ROLLUP = "source string, lang string, tokenizer string, documents bigint, tokens bigint"
@@ -32,6 +39,29 @@ def counted(docs: DataFrame, tokenizers: Mapping[str, Column]) -> DataFrame:
     return docs.select("doc_id", "source", "lang", F.explode(versions).alias("v")).select("doc_id", "source", "lang", "v.tokenizer", "v.tokens")
 
 
+def with_token_counts(docs: DataFrame, texts: Mapping[str, str], path: str | None = None) -> DataFrame:
+    """``docs`` with a count of token ids in place of each text column; null stays null.
+
+    ``texts`` names the text column that each added column counts. The ids stay in the worker: only
+    their number leaves it.
+    """
+    path = path or tokenizer_path()
+    kept = [f for f in docs.schema if f.name not in {*texts, *texts.values()}]
+    schema = StructType([*kept, *[StructField(into, LongType()) for into in texts]])
+    names = [f.name for f in kept]
+
+    def run(batches):
+        coder = bpe.codec(path)
+        for batch in batches:
+            counts = [
+                pa.array([None if t is None else len(coder.encode(t)) // 4 for t in rows_of(batch, column)], pa.int64())
+                for column in texts.values()
+            ]
+            yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], *counts], schema.names)
+
+    return docs.mapInArrow(run, schema)
+
+
 def inserts(rows: DataFrame) -> DataFrame:
     """Changes that add ``rows`` (KEYS, tokens)."""
     return rows.select(*KEYS, F.lit(1).alias("documents"), F.coalesce("tokens", F.lit(0)).cast("bigint").alias("tokens"))

@@ -190,6 +190,53 @@ def test_racing_writers_commit_once(spark, tmp_path):
     assert [tuple(x) for x in r.totals().collect()] == [("a", "en", "t", 1, 5)]
 
 
+def written_documents(spark, rows, folder):
+    spark.createDataFrame(rows, DOCS).write.parquet(f"{folder}/documents.parquet")
+    return str(folder)
+
+
+NOTICED = [
+    (20, "a line of text here\nAll Rights Reserved by none\nand one more line", "en", "web"),
+    (20, "a line of text here\nAll Rights Reserved by none\nand one more line", "en", "web"),
+    (21, "licensed under nothing", "de", "web"),
+    (22, "four words and more than that", None, None),
+]
+
+
+def test_rollup_of_token_ids(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    rows = [(i, t, "en", "s") for i, t in awkward()] + NOTICED
+    folder = written_documents(spark, [(i, t, lang, source, 0, "clash", 1, "fp", 3, "y") for i, t, lang, source in rows], tmp_path)
+    found = queries.token_counts_bpe(spark, folder)
+    coder = Tokenizer.from_file(tokenizer_path())
+    want = collections.defaultdict(lambda: [0, 0])
+    for _, text, lang, source in rows:
+        lines = [x for x in (text or "").split("\n") if not any(n in x.lower() for n in queries._NOTICES)]
+        n = len(coder.encode("\n".join(lines), add_special_tokens=False).ids)
+        if n >= 5:
+            group = want[source and source.upper(), lang, queries.BPE_VERSION]
+            group[0] += 1
+            group[1] += n
+    assert {tuple(r)[:3]: list(r)[3:] for r in found.collect()} == dict(want)
+    assert (None, None, queries.BPE_VERSION) in want and ("WEB", "en", queries.BPE_VERSION) in want
+
+
+def test_counts_equal_those_of_the_round_trip(spark, docs):
+    counted = token_rollup.with_token_counts(docs, {"row": "text"})
+    assert "text" not in counted.columns and counted.columns.count("row") == 1
+    n = bpe.round_trip_digests(docs).agg(F.sum("n_tokens")).first()[0]
+    assert counted.agg(F.sum("row")).first()[0] == n
+    assert counted.filter("row is null").count() == docs.filter("text is null").count() > 0
+
+
+def test_rollups_of_an_empty_table(spark, tmp_path):
+    folder = written_documents(spark, [], tmp_path)
+    for query in (queries.op4_token_counts, queries.token_counts_bpe):
+        found = query(spark, folder)
+        assert found.columns == ["source", "lang", "tokenizer", "documents", "tokens"] and found.count() == 0
+
+
 # Labels, toxicity, quality
 
 
