@@ -7,7 +7,8 @@ certain spaces, into the tokenizer's own pieces and at those byte pairs; each fr
 by itself and the ids are concatenated. Fragments recur, so their ids are kept per worker.
 
 Cases: a null text counts as empty and has no ids; the special token's string is one id, as the
-library has it; texts of any length; repeated and null ids keep their rows; other columns stay.
+library has it; texts of any length; repeated and null ids keep their rows; an empty table gives an
+empty result; other columns stay, one that has the name of the added column is replaced.
 """
 
 from __future__ import annotations

@@ -16,8 +16,9 @@ of quality given g; it too needs no negative label.
 Both samples are bounded and documented parameters; scoring covers every text.
 
 Cases: null and empty texts have all features zero and are scored like others; without positives
-the score is 0; without unlabelled rows it is 1; null and repeated ids keep their rows; extra
-columns are ignored.
+the score is 0; without unlabelled rows it is 1; null and repeated ids keep their rows; equal texts
+have equal scores; texts of any length are read whole; an empty table gives no rows; extra columns,
+also of clashing names, are ignored by scores and kept by ``good``.
 """
 
 from __future__ import annotations

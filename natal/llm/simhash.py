@@ -12,7 +12,9 @@ Only different fingerprints take part. A full cell is dealt to tasks as pairs of
 block pair yields a spanning forest of its links, so what is emitted grows with the members.
 
 Cases: null text counts as empty; texts without words have fingerprint zero, linked like any
-other; a null doc_id takes its class's component and never names one; repeated rows share a class.
+other; a null doc_id takes its class's component and never names one; repeated rows share a class; texts of any
+length are fingerprinted whole; an empty table gives an empty result; extra columns, also of clashing
+names, are ignored, or kept where rows are chosen.
 """
 
 from __future__ import annotations

@@ -10,7 +10,9 @@ marks and digits, rate of words with disguised letters, hits only after undoing
 
 Cases: null and empty texts have all features zero and are scored by the model; a sample without
 both labels gives every row the sample's share of label 1 (0 without a sample); null and repeated
-ids keep their rows; extra columns are ignored.
+ids keep their rows; equal texts have equal scores, and of several labels of one id the largest counts;
+texts of any length are read whole; an empty table gives no rows; extra columns, also of clashing
+names, are ignored by scores and kept by ``clean``.
 """
 
 from __future__ import annotations

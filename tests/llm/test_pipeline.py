@@ -1,6 +1,7 @@
 """The pipeline stage by stage against the operators' own outputs."""
 
 import pytest
+from pyspark.sql import functions as F
 from test_text_operators import labelled_docs
 
 import corpus_pipeline
@@ -52,6 +53,28 @@ def test_run(spark, tables):
     assert out.columns[:2] == ["doc_id", "piece"]
 
 
+def test_clashing_columns_and_repeated_rows_pass(spark, tables, tmp_path):
+    d, labels = labelled_docs(spark)
+    d = d.withColumns({"fold": F.lit("f"), "n": F.lit("n"), "key": F.lit(1), "component": F.lit(None).cast("int"), "size": F.lit("s")})
+    d.union(d).write.parquet(f"{tmp_path}/documents.parquet")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.schema.simpleString() == d.schema.simpleString()
+    docs = docs.cache()
+    assert docs.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").isEmpty()
+    assert docs.count() > 0 and docs.filter("fold <> 'f' or n <> 'n' or key <> 1 or component is not null or size <> 's'").isEmpty()
+
+
+def test_stages_without_labels(spark, tables, tmp_path):
+    docs = spark.read.parquet(f"{tables}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    toxic, good = (f for _, f in corpus_pipeline.STAGES[:2])
+    assert toxic(spark, docs, str(tmp_path)).count() == docs.count()
+    assert good(spark, docs, str(tmp_path)).isEmpty()
+
+
 def test_run_on_nothing(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
