@@ -18,7 +18,7 @@ from natal.models.priors import WEAK
 from natal.models.store import stored
 from natal.operators.frame import standardize
 from natal.session import cut_lineage, scratch_path
-from natal.sources.tables import load_or_compute
+from natal.sources.tables import load_or_compute, write_stage
 
 RAW = ["fuzzy_corrupt", "fuzzy_polity2", "fuzzy_ln_gdpcap"]
 X = ["corrupt_z", "polity2_z", "gdpcap_z"]
@@ -147,7 +147,9 @@ def logit_fixed_prior(spark, sf_dir):
 @query("stored_fit", logit_sql(1 / 2.5**2, 1 / 2.5**2))
 def stored_fit(spark, sf_dir):
     """A fit found again by its data and specification; the second call does not fit."""
-    data, store = counted(spark, sf_dir), scratch_path(spark, "fits")
+    store = scratch_path(spark, "fits")
+    # Written once: means added up anew, in another order, may differ in the last bit and would be other data.
+    data = write_stage(counted(spark, sf_dir), scratch_path(spark, "patterns"))
     made_from = {"outcome": "voted_re", "predictors": X[:2], "priors": WEAK}
     stored(store, data, made_from, lambda: terms_frame(spark, sf_dir, fit_logit(data, "voted_re", X[:2], WEAK, patterns=data)))
     return stored(store, data, made_from, lambda: (_ for _ in ()).throw(RuntimeError("fitted again")))

@@ -28,7 +28,8 @@ def stored(store: str, patterns: DataFrame, specification: Mapping, compute: Cal
 
     ``specification`` holds all that the result depends on besides the data: outcome, predictors,
     group, priors, draws, seed. One aggregate over the counted patterns finds the entry; on a hit
-    nothing is fitted. Half-written entries do not count.
+    nothing is fitted. Half-written entries do not count. Doubles count to the last bit: patterns
+    that hold sums of doubles should be a written table, as sums made anew in another order may differ.
     """
     text = json.dumps([fingerprint(patterns), specification], sort_keys=True, default=repr)
     key = hashlib.sha256(text.encode()).hexdigest()[:32]
