@@ -209,7 +209,7 @@ def csv_levels_scan(spark, sf_dir):
 
 @query("csv_split_scan", "SELECT doc_id, text, lang, n_chars FROM documents")
 def csv_split_scan(spark, sf_dir):
-    """Long texts with quotes and line breaks, read back by as many tasks as a file has small splits."""
+    """Long texts with quotes and line breaks, read back from all the small splits of a file, many in a task."""
     path = scratch_path(spark, "texts.csv")
     texts = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "n_chars")
     tables.write_csv(texts, path)

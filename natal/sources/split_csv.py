@@ -13,6 +13,7 @@ prefix scan finds that out without reading the file in one piece:
    the true state. Parts of a record that crosses a border between ranges meet in a small aggregate.
 4. Records are parsed by Spark's own CSV expression.
 
+A task reads many ranges one after the other, so that small ranges do not each cost the start of a task.
 Within a task lines keep the order of the file, and both passes use the same splits; a range
 whose state is missing raises an error. A quote opens a field only at its start; inside it quotes
 are doubled; a quote anywhere else is a plain character. Lines end with \\n or \\r\\n. Line breaks inside
@@ -37,6 +38,9 @@ from natal.operators.joins import BROADCAST_BYTES
 FILE, START, LINE = "file", "start", "line"
 #: A range is a few numbers; this many bytes are allowed for it when sizes are checked.
 RANGE_BYTES = 64
+#: Ranges that one task reads have about this many bytes together, or less, so that every core has some tasks.
+TASK_BYTES = 16 << 20
+TASKS_PER_CORE = 4
 WHOLE, TAIL, THROUGH, HEAD = 0, 1, 2, 3
 # One field that ends on its line, with the comma behind it; and a quoted field that does not end.
 _FIELD = r'(?:[^",][^,]*|"(?:[^"]|"")*"(?:[^",][^,]*)?)?,'
@@ -64,12 +68,19 @@ def split_bytes(spark: SparkSession) -> int:
     return int(number) << 10 * " kmgtp".index(unit or " ")
 
 
-def _lines(spark: SparkSession, path: str) -> DataFrame:
+def read_tasks(spark: SparkSession, size: int) -> int:
+    """Tasks that read files of ``size`` bytes together."""
+    return max(-(-size // TASK_BYTES), TASKS_PER_CORE * spark.sparkContext.defaultParallelism)
+
+
+def _lines(spark: SparkSession, path: str, tasks: int | None = None) -> DataFrame:
+    """(file, start, line), by at most ``tasks`` tasks, each of which takes its ranges one by one."""
     at = F.col("_metadata")
     # The line separator is fixed, so that \r stays with its line.
-    return spark.read.option("lineSep", "\n").text(path).select(
+    lines = spark.read.option("lineSep", "\n").text(path).select(
         F.xxhash64(at["file_path"]).alias(FILE), at["file_block_start"].alias(START), F.col("value").alias(LINE)
     )
+    return lines if tasks is None else lines.coalesce(tasks)
 
 
 def transitions(lines: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -105,7 +116,7 @@ def _runs(batch: pa.RecordBatch) -> Iterator[tuple[int, int, pa.RecordBatch]]:
         yield int(file[a]), int(start[a]), batch.slice(a, b - a)
 
 
-def range_functions(spark: SparkSession, path: str) -> DataFrame:
+def range_functions(spark: SparkSession, path: str, tasks: int | None = None) -> DataFrame:
     """(file, start, from_outside, from_inside): the state at the end of every range."""
 
     def run(batches):
@@ -126,7 +137,7 @@ def range_functions(spark: SparkSession, path: str) -> DataFrame:
         return pa.RecordBatch.from_pydict({FILE: [now[0]], START: [now[1]], "from_outside": [state[0]], "from_inside": [state[1]]})
 
     # Lines without a quote change nothing; an empty text stands for them, so that ranges stay known.
-    marked = _lines(spark, path).withColumn(LINE, F.when(F.contains(LINE, F.lit('"')), F.col(LINE)).otherwise(""))
+    marked = _lines(spark, path, tasks).withColumn(LINE, F.when(F.contains(LINE, F.lit('"')), F.col(LINE)).otherwise(""))
     return marked.mapInArrow(run, f"{FILE} bigint, {START} bigint, from_outside boolean, from_inside boolean")
 
 
@@ -249,10 +260,13 @@ def _records(lines: DataFrame, wholes: bool, fragments: bool) -> DataFrame:
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
     """(record): the text of every record of some files, headers and empty lines left out."""
-    names = file_sizes(spark, path).agg(F.count("*").alias("n"), F.count_distinct(F.xxhash64("path")).alias("hashes")).first()
+    names = file_sizes(spark, path).agg(
+        F.count("*").alias("n"), F.count_distinct(F.xxhash64("path")).alias("hashes"), F.sum("length").alias("bytes")
+    ).first()
     if names["n"] != names["hashes"]:
         raise ValueError("two paths share a hash; read the files in two parts")
-    functions = range_functions(spark, path).persist()
+    tasks = read_tasks(spark, names["bytes"] or 0)
+    functions = range_functions(spark, path, tasks).persist()
     try:
         states = range_states(functions)
         found = states.agg(F.count("*").alias("n"), F.count_if(F.col("opens") | F.col("closes")).alias("inside")).first()
@@ -263,7 +277,7 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     finally:
         functions.unpersist()
     known = F.when(F.col("opens").isNull(), F.raise_error(F.lit("the ranges of the files have changed"))).otherwise(F.col("opens"))
-    lines = _lines(spark, path).join(F.broadcast(held.select(FILE, START, "opens")), [FILE, START], "left").withColumn("opens", known)
+    lines = _lines(spark, path, tasks).join(F.broadcast(held.select(FILE, START, "opens")), [FILE, START], "left").withColumn("opens", known)
     records = _records(lines, wholes=True, fragments=False)
     if found["inside"]:
         touched = held.filter("opens or closes").select(FILE, START)

@@ -82,6 +82,15 @@ def test_equals_the_reader_of_whole_files(small, tmp_path, seed, longest, end):
     assert split_csv._lines(small, path).rdd.getNumPartitions() > 3
 
 
+def test_a_task_reads_many_ranges(small, tmp_path):
+    path = str(tmp_path / "f.csv")
+    (tmp_path / "f.csv").write_text(text_of(rows(12_000, 11, 60)))
+    ranges = split_csv._lines(small, path).rdd.getNumPartitions()
+    got = tables.read_csv(small, path, SCHEMA)
+    assert ranges > 300 and 8 <= got.rdd.getNumPartitions() < ranges / 4
+    assert listed(got) == listed(whole(small, path))
+
+
 def test_long_fields_and_headers_cross_many_ranges(small, tmp_path):
     long = "line, with \"quotes\"\n" * 1500
     header = ("id", "note " + "of\nmany lines " * 400, "value", "odd\nname")
