@@ -1,11 +1,12 @@
 """One row of each group of near copies: five-word Jaccard similarity of 0.8 or more, exactly.
 
-A text is the set of its five-word shingles. Candidates share a band of min-hashes and have
-SimHashes within ``DISTANCE`` bits; they are joined to groups, and inside each group the sets of
-all members are compared, so no pair below the threshold is ever linked. A pair at exactly 0.8
-shares no band with probability (1 - 0.8^5)^28 = 1.5e-5; its SimHashes of 64 bits differ in ten
-bits on average with a standard deviation of three, so ``DISTANCE`` lies four deviations above. Above 0.8
-both fall steeply.
+A text is the set of its five-word shingles. Candidates are found by their SimHashes as in
+:mod:`natal.llm.simhash`: the grid join on segment counts gives every pair within ``NEAR`` bits. A
+pair at exactly 0.8 differs in ten of 64 bits on average with a standard deviation of three, too
+far for grids; such pairs up to ``DISTANCE`` bits, four deviations above, are looked for among texts
+that share a band of min-hashes, which one at 0.8 misses with probability (1 - 0.8^5)^28 = 1.5e-5.
+Candidates of both kinds are joined to groups, and inside each group the sets of all members are
+compared, so no pair below the threshold is ever linked.
 
 Cases: null text counts as empty; texts without words are one class; a text with fewer than five
 words is one shingle; equal sets are one class and compared once. A full group is dealt to tasks
@@ -29,6 +30,8 @@ from natal.llm.common import extended, packed, rows_of, tasks, written
 from natal.llm.components import components
 
 SHINGLE = 5
+#: Bits that the grid join finds in full, and the runs of segments that its grids are made of.
+NEAR, RUNS = 4, 6
 DISTANCE = 22
 #: Bands of min-hashes, and min-hashes in each.
 BANDS, ROWS = 28, 5
@@ -131,8 +134,10 @@ def near_classes(printed: DataFrame, doc_id, block: int = BLOCK) -> DataFrame:
     spark = printed.sparkSession
     least = printed.groupBy("key").agg(F.min(doc_id).alias("first_id"), F.min("n").alias("n"))
     classes = written(printed.select("n", "fp", "bands").join(least, "n"), "near-classes")
+    near = simhash.near_links(classes.select("fp").distinct(), RUNS, distance=NEAR)
     cells = classes.select("fp", F.posexplode("bands").alias("grid", "cell"))
-    maybe = components(simhash.links_in_cells(cells, distance=DISTANCE), "near-candidates").withColumnRenamed("node", "fp")
+    far = simhash.links_in_cells(cells, distance=DISTANCE)
+    maybe = components(near.unionByName(far), "near-candidates").withColumnRenamed("node", "fp")
     grouped = classes.select("n", "key", "fp").join(maybe, "fp", "left").withColumn("group", F.coalesce("component", "fp"))
     sizes = grouped.groupBy("group").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     members = written(grouped.select("n", "key", "group").join(sizes, "group"), "near-members")

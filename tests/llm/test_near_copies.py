@@ -5,6 +5,7 @@ import itertools
 import random
 
 import pytest
+from pyspark.sql import functions as F
 from test_text_operators import DOCS, ascii_split, awkward, words
 
 import corpus_pipeline
@@ -59,3 +60,27 @@ def test_near_copies(spark, monkeypatch, block, small):
         least[g] += [i] if i is not None else []
     assert len(ids) == len(least)
     assert sorted(i for i in ids if i is not None) == sorted(min(v) for v in least.values() if v)
+
+
+def test_grid_join_of_simhashes_finds_candidates(spark):
+    """Without any band, the pairs that the grid join reaches are still compared and linked."""
+    rows = []
+    for k in range(40):
+        w = words(400, 900 + k).split()
+        rows += [(3 * k + n, " ".join(w[:50] + ["changed"] * n + w[50 + n :])) for n in range(3)]
+    sets = {k: near_copies.shingle_set(t) for k, t in rows}
+    prints = {k: simhash.simhash(simhash.shingle_hashes(t, 5)) for k, t in rows}
+    near = set()
+    for a, b in itertools.combinations(sets, 2):
+        c = len(set(sets[a]) & set(sets[b]))
+        if (prints[a] ^ prints[b]).bit_count() <= near_copies.NEAR and 5 * c >= 4 * (len(sets[a]) + len(sets[b]) - c):
+            near.add((a, b))
+    assert len(near) > 40 and any((prints[a] ^ prints[b]).bit_count() > 3 for a, b in near)
+    df = spark.createDataFrame([(i, t, "en", "s", 0, "clash", 1, "fp", 3, "y") for i, t in rows], DOCS)
+    printed = near_copies._printed(df).withColumn("bands", F.array().cast("array<bigint>")).persist()
+    doc_id = F.col("row.doc_id").cast("bigint")
+    of = dict(near_copies.near_classes(printed, doc_id).select("key", "component").collect())
+    key = dict(printed.select(doc_id, "key").collect())
+    assert all(of[key[a]] == of[key[b]] for a, b in near)
+    least = dict(zip(sets, brute_groups(rows)))
+    assert all(least[a] == least[b] for a, b in itertools.combinations(sets, 2) if of[key[a]] == of[key[b]])
